@@ -9,10 +9,28 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.decontaminate import find_contamination
 from corpusloom.llm.line_dedup import dedup_lines
+from corpusloom.llm.mixing import mix
+from corpusloom.llm.near_dup import near_duplicates
+
+
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
+
+
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir, "doc_id", "text")).select(
+        "doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(documents(spark, sf_dir, "doc_id", "text", "source")).select(
+        "doc_id", "size", "source_size", "target", "taken"
+    )
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = documents(spark, sf_dir, "doc_id", "text")
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
     return find_contamination(docs, items).select(
         "doc_id",
@@ -25,7 +43,7 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = documents(spark, sf_dir, "doc_id", "text")
     return dedup_lines(docs, min_docs=10).select(
         "doc_id",
         F.col("_n_lines").alias("n_lines"),
@@ -35,6 +53,8 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
+    "op2_mixing": op2_mixing,
     "op3_decontaminate": op3_decontaminate,
     "op6_line_dedup": op6_line_dedup,
 }
