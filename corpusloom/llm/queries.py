@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.llm import langid, quality
 from corpusloom.llm.decontaminate import find_contamination
 from corpusloom.llm.line_dedup import dedup_lines
 from corpusloom.llm.mixing import mix
@@ -52,11 +53,35 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    net = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(docs, net).select(
+        "doc_id",
+        quality.held_out("doc_id", 5, 0).alias("held_out"),
+        F.col("_score").alias("score"),
+        (F.col("_score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
+    model = langid.train(docs, langid.taught_by_id())
+    return langid.identify(docs.select("doc_id", "text"), model).select(
+        "doc_id",
+        quality.held_out("doc_id", 3, 1).alias("held_out"),
+        F.col("_lang_pred").alias("lang_pred"),
+        F.col("_lang_score").alias("score"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_mixing": op2_mixing,
     "op3_decontaminate": op3_decontaminate,
     "op6_line_dedup": op6_line_dedup,
+    "op9_quality": op9_quality,
+    "op10_langid": op10_langid,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
