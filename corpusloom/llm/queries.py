@@ -12,6 +12,8 @@ from corpusloom.llm.decontaminate import find_contamination
 from corpusloom.llm.line_dedup import dedup_lines
 from corpusloom.llm.mixing import mix
 from corpusloom.llm.near_dup import near_duplicates
+from corpusloom.llm.suffix_dedup import remove_repeats
+from corpusloom.llm.topk import quantized, top_k
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -53,6 +55,21 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir, "doc_id", "text"), whole=False).select(
+        "doc_id",
+        F.col("_n_bytes").alias("n_bytes"),
+        F.col("_n_removed").alias("n_removed"),
+        F.col("_n_spans").alias("n_spans"),
+        F.lower(F.hex("_kept")).alias("kept_sha256"),
+    )
+
+
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = quantized(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text")
     net = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -79,7 +96,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_mixing": op2_mixing,
     "op3_decontaminate": op3_decontaminate,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_line_dedup": op6_line_dedup,
+    "op7_topk": op7_topk,
     "op9_quality": op9_quality,
     "op10_langid": op10_langid,
 }
@@ -109,4 +128,12 @@ common AS (SELECT k FROM l WHERE k <> '' GROUP BY k HAVING count(DISTINCT doc_id
 SELECT doc_id, count(*) AS n_lines, count(common.k) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY ord) FILTER (WHERE common.k IS NULL), '')) AS kept_sha256
 FROM l LEFT JOIN common ON l.k = common.k GROUP BY doc_id""",
+    "op7_topk": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+           AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
 }
