@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import langid, quality
@@ -12,6 +12,7 @@ from corpusloom.llm.decontaminate import find_contamination
 from corpusloom.llm.line_dedup import dedup_lines
 from corpusloom.llm.mixing import mix
 from corpusloom.llm.near_dup import near_duplicates
+from corpusloom.llm.secrets import find_secrets, listing
 from corpusloom.llm.suffix_dedup import remove_repeats
 from corpusloom.llm.topk import quantized, top_k
 
@@ -55,6 +56,18 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def count(kind: str) -> Column:
+        return F.size(F.filter("_base", lambda m: m["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return find_secrets(documents(spark, sf_dir, "doc_id", "text")).select(
+        "doc_id",
+        *[count(kind) for kind in ("assign", "access", "hex")],
+        F.sha2(listing(F.col("_base")).cast("binary"), 256).alias("base_sha256"),
+        listing(F.col("_spans")).alias("spans"),
+    )
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir, "doc_id", "text"), whole=False).select(
         "doc_id",
@@ -96,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_mixing": op2_mixing,
     "op3_decontaminate": op3_decontaminate,
+    "op4_secrets": op4_secrets,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_line_dedup": op6_line_dedup,
     "op7_topk": op7_topk,
