@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import langid, quality
+from corpusloom.llm.class_lm import score_texts
 from corpusloom.llm.decontaminate import find_contamination
 from corpusloom.llm.line_dedup import dedup_lines
 from corpusloom.llm.mixing import mix
@@ -83,6 +84,10 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
 
 
+def op8_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(documents(spark, sf_dir, "doc_id", "text"), quality.held_out("doc_id", 5, 1))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text")
     net = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -113,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_line_dedup": op6_line_dedup,
     "op7_topk": op7_topk,
+    "op8_class_lm": op8_class_lm,
     "op9_quality": op9_quality,
     "op10_langid": op10_langid,
 }
