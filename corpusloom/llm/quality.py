@@ -153,9 +153,10 @@ def fit(texts: list[list[bytes]], labels: list[int], shares: tuple[float, float]
     net = new_network(rng)
     train_chunks(net, raw, y_row[owner], weight.astype(np.float32), rng)
     # combine: logistic regression on the summaries, by Newton steps with a small ridge
-    pooled = np.maximum((np.concatenate([
-        np.ascontiguousarray(columns(raw[a : a + 512], net.embed)) @ net.filters for a in range(0, len(raw), 512)
-    ])).max(axis=1) + net.bias, 0)
+    parts = [
+        (np.ascontiguousarray(columns(raw[a : a + 256], net.embed)) @ net.filters).max(axis=1) for a in range(0, len(raw), 256)
+    ]
+    pooled = np.maximum(np.concatenate(parts) + net.bias, 0)
     z = np.maximum(pooled @ net.w1 + net.b1, 0) @ net.w2 + net.b2
     x = np.array([summary(z[owner == i]) for i in range(len(texts))])
     w, pull = np.zeros(4), np.eye(4) * 0.02 * len(x) / 100
