@@ -154,7 +154,12 @@ def mark_duplicates(df: DataFrame, order: str, text: str = "text", keep: str = "
         return exact.withColumn("is_fuzzy_duplicate", F.lit(False))
     exact = checkpoint(exact)
     left = checkpoint(exact.filter(~F.col("is_exact_duplicate")).select(order, simhash64(F.col(text)).alias("simhash")))
-    fallen = fuzzy_dropped(near_pairs(left, order, threshold), keep).select(F.col("r").alias(order), F.lit(True).alias("_f"))
+    # of rows with equal hashes all but the first (or last) fall whatever else happens: only that one is compared
+    pick = F.min(order) if keep == "first" else F.max(order)
+    ends = checkpoint(left.groupBy("simhash").agg(pick.alias(order)))
+    fallen = fuzzy_dropped(near_pairs(ends, order, threshold), keep).select(F.col("r").alias(order))
+    equal = left.select(order).join(ends.select(order), order, "left_anti")
+    fallen = fallen.unionByName(equal).withColumn("_f", F.lit(True))
     return exact.join(fallen, order, "left").select(*exact.columns, F.coalesce("_f", F.lit(False)).alias("is_fuzzy_duplicate"))
 
 
