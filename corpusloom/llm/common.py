@@ -2,52 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.storage import checkpoint, new_path, shared_folder
+
+__all__ = ["as_bytes", "binary_column", "checkpoint", "connected_components", "mix64", "new_path", "shared_folder", "SPACE", "WORD"]
+
 #: Characters between words, and at the ends of a line key.
 SPACE = b"\x20\t\n\x0b\x0c\r"
 #: The same class for regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if set_dir:
-        return set_dir
-    given = spark.sparkContext.getCheckpointDir()
-    if given:
-        return given
-    made = tempfile.mkdtemp(prefix="spark-")
-    spark.sparkContext.setCheckpointDir(made)
-    return spark.sparkContext.getCheckpointDir()
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """An unused path for a written table in the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df, computed once and cut from its lineage, in the shared folder."""
-    spark = df.sparkSession
-    folder = shared_folder(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
-def lower_ascii(text: Column) -> Column:
-    """A-Z lower-cased, all other characters as they are."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def as_bytes(text: Column | str) -> Column:
     """UTF-8 bytes of a text; null is empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("binary")
@@ -68,10 +37,6 @@ def binary_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def binary_array(pieces: list[bytes]) -> pa.Array:
-    return pa.array(pieces, pa.binary())
-
-
 def mix64(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser on unsigned 64-bit values, so that all bits depend on all bits."""
     h = h.astype(np.uint64, copy=True)
