@@ -16,7 +16,9 @@ from corpusloom.llm.common import WORD, checkpoint
 
 BLOCK_WORDS = 1024
 #: Hash ranges per source, and slots per chunk: the most rows of a source that one task orders.
-RANGES, CHUNK = 1024, 1 << 16
+RANGES, CHUNK = 1024, 1 << 12
+#: Equal cells of the cumulative weights, by which points meet the sources that overlap their cell.
+CELLS = 4096
 SEED = 7
 PATTERN = (5.0, 2.0, 1.0)
 GOLDEN = 0.6180339887498949
@@ -68,15 +70,19 @@ def schedule(targets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     spark = targets.sparkSession
     # points beyond the number of blocks make up for the few by which a source's share may lag
     points = int((total["n"] or 0) + 4 * ((total["k"] or 0) + 1))
-    place = F.pmod(F.col("id") * F.lit(GOLDEN), F.lit(1.0)) * F.lit(float(total["t"] or 0))
-    edges = F.broadcast(bounds.agg(F.array_sort(F.collect_list(F.struct("source_no", "_lo", "_hi"))).alias("_edges")))
+    width = max(1.0, float(total["t"] or 0)) / CELLS
+    place = F.pmod(F.col("id") * F.lit(GOLDEN), F.lit(1.0)) * F.lit(width * CELLS)
+    cell = lambda x: F.floor(x / F.lit(width))
+    cells = bounds.filter("take > 0").select(
+        "source_no", "_lo", "_hi", F.explode(F.sequence(cell(F.col("_lo")), F.least(cell(F.col("_hi")), F.lit(CELLS - 1)))).alias("_cell")
+    )
     drawn = (
         spark.range(points if total["t"] else 0)
         .withColumn("_x", place)
-        .crossJoin(edges)  # one row: the cumulative weights
-        .select("id", F.filter("_edges", lambda e: (e["_lo"] <= F.col("_x")) & (F.col("_x") < e["_hi"]))[0]["source_no"].alias("source_no"))
-        .filter("source_no is not null")
-        .withColumn("_chunk", F.expr(f"id div {CHUNK}"))
+        .withColumn("_cell", F.least(cell(F.col("_x")), F.lit(CELLS - 1)))
+        .join(cells, "_cell")
+        .filter((F.col("_lo") <= F.col("_x")) & (F.col("_x") < F.col("_hi")))
+        .select("id", "source_no", F.expr(f"id div {CHUNK}").alias("_chunk"))
     )
     chunks = drawn.groupBy("source_no", "_chunk").count()
     earlier = Window.partitionBy("source_no").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
