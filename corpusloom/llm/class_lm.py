@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import as_bytes, checkpoint
 
-BLOCK_BYTES, BUCKET_BYTES = 16_000_000, 32_000_000
+BLOCK_BYTES, BUCKET_BYTES = 8_000_000, 12_000_000
 CLASSES, SEEDS, SWEEPS = 24, 600, 12
 #: Words of each block that are offered as seeds.
 OFFERED = 4 * SEEDS
@@ -211,8 +211,8 @@ def _ask(seeds: np.ndarray, seed_class: np.ndarray, buckets: int):
                 counts = np.bincount(c.tokens[c.taught], minlength=len(c.keys))
                 sides = []
                 for side in (prev, after):
-                    full = np.bincount((t * K + side)[c.taught], minlength=size).reshape(-1, K)
-                    sides.append(full)
+                    full = np.bincount((t * K + side)[c.taught], minlength=size).astype(np.uint32)
+                    sides.append(full.reshape(-1, K))
                 order, numbers, bounds = bucket_order(c.keys, buckets)
                 rows = []
                 for i in range(len(numbers)):
