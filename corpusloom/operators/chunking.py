@@ -110,7 +110,7 @@ def content_type(text: Column) -> Column:
     backticks opens or closes a fence; lines inside count as code. Blank texts are prose."""
     lines = F.split(F.regexp_replace(F.regexp_replace(text, r"^(?U)\s+", ""), r"(?U)\s+$", ""), "\n", -1)
     zero = F.lit(0)
-    start = F.struct(F.lit(False).alias("fence"), zero.alias("code"), zero.alias("table"), zero.alias("list"))
+    start = F.struct(F.lit(False).alias("fence"), zero.alias("n"), zero.alias("code"), zero.alias("table"), zero.alias("list"))
 
     def step(acc: Column, line: Column) -> Column:
         fence = line.startswith("```")
@@ -118,12 +118,12 @@ def content_type(text: Column) -> Column:
         listed = ~code & line.rlike(r"^\s*[-*+]\s|^\s*\d+\.\s")
         table = ~code & ~listed & line.rlike(r"^\|.*\|")
         return F.struct(
-            (acc["fence"] != fence).alias("fence"), (acc["code"] + code.cast("int")).alias("code"),
+            (acc["fence"] != fence).alias("fence"), (acc["n"] + 1).alias("n"), (acc["code"] + code.cast("int")).alias("code"),
             (acc["table"] + table.cast("int")).alias("table"), (acc["list"] + listed.cast("int")).alias("list"),
         )
 
     def name(acc: Column) -> Column:
-        half = F.size(lines) * 0.5
+        half = acc["n"] * 0.5
         return (
             F.when(acc["code"] > half, "code")
             .when(acc["table"] > half, "table")
@@ -208,8 +208,12 @@ def chunk_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     others = [c for c in docs.columns if c != text]
     blank = F.array(F.struct(*[F.lit(None).cast("string").alias(h) for h in _HEADS], whole.alias("text")))
     found = sections(whole)
-    rows = docs.select(*others, F.posexplode(F.when(F.size(found) > 0, found).otherwise(blank)).alias("section", "s"))
-    typed = rows.select(*others, "section", "s.*").withColumn("content_type", content_type(F.col("text")))
+    # bound as lambda variables, so that sections and types are computed once for each document and section
+    chosen = F.transform(F.array(found), lambda x: F.when(F.size(x) > 0, x).otherwise(blank))[0]
+    whole_or_sections = F.transform(
+        chosen, lambda s: F.struct(*[s[h].alias(h) for h in _HEADS], s["text"].alias("text"), content_type(s["text"]).alias("content_type"))
+    )
+    typed = docs.select(*others, F.posexplode(whole_or_sections).alias("section", "s")).select(*others, "section", "s.*")
     size = F.create_map(*[x for k, v in SPLITS.items() for x in (F.lit(k), F.lit(v[0]))])[F.col("content_type")]
     cut = F.when(F.col("content_type") == "code", _udf(split_code)(F.when(F.col("content_type") == "code", F.col("text"))))
     for kind, (n, overlap, separators) in SPLITS.items():

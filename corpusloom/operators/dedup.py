@@ -110,7 +110,7 @@ def near_pairs(df: DataFrame, order: str, threshold: float = THRESHOLD, simhash:
     d = max_distance(threshold)
     if d < 0:
         return df.select(F.col(order).alias("earlier"), F.col(order).alias("later")).filter(F.lit(False))
-    rows = df.select(F.col(order).alias("r"), F.col(simhash).alias("simhash"))
+    rows = checkpoint(df.select(F.col(order).alias("r"), F.col(simhash).alias("simhash")))  # hashed once, read five times
     values = rows.select("simhash").distinct()
     met = near_values(values, d)
     same = values.select(F.col("simhash").alias("a"), F.col("simhash").alias("b"))

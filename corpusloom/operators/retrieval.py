@@ -52,7 +52,7 @@ def _nearest(ids: list, matrix: np.ndarray, most: int):
 
     def apply(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            vectors = np.array(b.column(1).to_pylist(), np.float64).reshape(b.num_rows, -1)
+            vectors = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
             norms = np.linalg.norm(vectors, axis=1, keepdims=True)
             scores = unit @ (vectors / np.where(norms > 0, norms, 1)).T
             # rounded for the cut, with ties kept, so that equal scores don't depend on the batch
