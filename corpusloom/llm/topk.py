@@ -41,27 +41,34 @@ _BLOCK = "block long, most double, n int, ids binary, matrix binary"
 
 def _pack(size: int):
     def apply(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, ids = [], []
+        held: list[np.ndarray] = []
+        ids = np.zeros(0, np.int64)
         for b in it:
-            held += b.column(1).to_pylist()
-            ids += b.column(0).to_pylist()
+            held += _rows(b.column(1))
+            ids = np.concatenate([ids, b.column(0).to_numpy()])
             while len(ids) >= size:
                 yield _packed(ids[:size], held[:size])
                 held, ids = held[size:], ids[size:]
-        if ids:
+        if len(ids):
             yield _packed(ids, held)
 
     return apply
 
 
-def _packed(ids: list[int], rows: list[list[int]]) -> pa.RecordBatch:
+def _rows(column: pa.ListArray) -> list[np.ndarray]:
+    """The lists as arrays, without going through Python numbers."""
+    flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum(column.value_lengths().to_numpy())
+    return np.split(flat, ends[:-1]) if len(column) else []
+
+
+def _packed(ids: np.ndarray, rows: list[np.ndarray]) -> pa.RecordBatch:
     width = max(1, max(map(len, rows)))
-    m = np.zeros((len(rows), width))
+    m = np.zeros((len(rows), width), np.int64)
     for i, r in enumerate(rows):
         m[i, : len(r)] = r
-    most = float(np.sqrt((m * m).sum(axis=1).max()))
-    raw = np.array(ids, np.int64).tobytes()
-    values = [pa.array([0], pa.int64()), pa.array([most]), pa.array([len(ids)], pa.int32()), pa.array([raw]), pa.array([m.astype(np.int64).tobytes()])]
+    real = m.astype(np.float64)
+    most = float(np.sqrt((real * real).sum(axis=1).max()))
+    values = [pa.array([0], pa.int64()), pa.array([most]), pa.array([len(ids)], pa.int32()), pa.array([ids.tobytes()]), pa.array([m.tobytes()])]
     return pa.RecordBatch.from_arrays(values, ["block", "most", "n", "ids", "matrix"])
 
 
