@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,7 +88,10 @@ def source_types(store: DataFrame) -> DataFrame:
 
 class Snapshots:
     """A table as numbered snapshot folders with a pointer to the current one. A reader sees the old or the new table;
-    the pointer is one row, written after its snapshot is complete."""
+    the pointer is one row, written after its snapshot is complete. Pointers are numbered by one writer; those without
+    a number come before all others, in the order of their times."""
+
+    POINTER = "name string, ts timestamp, no long"
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -95,9 +99,23 @@ class Snapshots:
     def commit(self, table: DataFrame, as_of: str) -> str:
         name = f"snapshot-{uuid.uuid4().hex}"
         table.write.parquet(f"{self.path}/{name}")
-        self.spark.range(1).select(F.lit(name).alias("name"), at(as_of).alias("ts")).write.mode("append").parquet(f"{self.path}/_pointers/log")
+        no = self._next()
+        self.spark.range(1).select(F.lit(name).alias("name"), at(as_of).alias("ts"), F.lit(no).cast("long").alias("no")).write.mode("append").parquet(f"{self.path}/_pointers/log")
         return name
 
+    def _pointers(self) -> DataFrame:
+        return self.spark.read.schema(self.POINTER).parquet(f"{self.path}/_pointers/log")
+
+    def _next(self) -> int:
+        """One more than the greatest number so far; 0 where there is no pointer."""
+        try:
+            last = self._pointers().agg(F.max("no").alias("no")).first()["no"]
+        except AnalysisException as x:
+            if x.getCondition() != "PATH_NOT_FOUND":
+                raise
+            last = None
+        return 0 if last is None else last + 1
+
     def current(self) -> DataFrame:
-        newest = self.spark.read.parquet(f"{self.path}/_pointers/log").orderBy(F.col("ts").desc(), F.col("name").desc()).first()
+        newest = self._pointers().orderBy(F.col("no").desc_nulls_last(), F.col("ts").desc(), F.col("name").desc()).first()
         return self.spark.read.parquet(f"{self.path}/{newest['name']}")
