@@ -116,18 +116,43 @@ def t07_assign_stream(spark, d):
     return _done(spark, T.assign_stream(_stream(spark, own), existing, split)).select("event_id", "session_id", "variant_id")
 
 
-@query("SELECT count(*) AS files FROM documents WHERE doc_id % 5 = 0")
-def t08_ingest_stream(spark, d):
-    own = V.table(spark, d, "documents").filter("doc_id % 5 = 0").select(
-        F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("file_path"), F.md5("text").alias("content_hash"), F.col("source").alias("source_type"), F.col("n_chars").alias("file_size"), "text"
+ARRIVALS = 4
+
+
+def _ingested(spark, d):
+    """(store, registry) after all documents have arrived: each arrival is a run of the stream over the same checkpoint, so
+    that the batches are the same however many files an arrival has."""
+    own = V.table(spark, d, "documents").select(
+        "doc_id", F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("file_path"), F.md5("text").alias("content_hash"), F.col("source").alias("source_type"), F.col("n_chars").alias("file_size"), "text"
     )
     store, registry = Snapshots(spark, new_path(spark, "store")), Snapshots(spark, new_path(spark, "registry"))
     none = own.limit(0)
     null = F.lit(None).cast("timestamp")
     store.commit(none.select(F.col("file_path").alias("chunk_id"), F.col("file_path").alias("source"), "source_type", F.lit("").alias("content_type"), F.lit("").alias("heading_path"), "text"), "2024-01-01 00:00:00")
     registry.commit(none.select("file_path", "content_hash", "source_type", "file_size", F.lit(0).cast("long").alias("chunk_count"), null.alias("ingested_at"), null.alias("updated_at")), "2024-01-01 00:00:00")
-    T.ingest_stream(_stream(spark, own), store, registry, new_path(spark, "ingest"), "2024-01-02 00:00:00").awaitTermination()
-    return registry.current().agg(F.count(F.lit(1)).alias("files"))
+    at, check = new_path(spark, "arriving"), new_path(spark, "ingest")
+    files = own.drop("doc_id")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in files.schema.fields)
+    for i in range(ARRIVALS):
+        own.filter(F.coalesce(F.pmod("doc_id", F.lit(ARRIVALS)), F.lit(0)) == i).select(*files.columns).write.mode("append").parquet(at)
+        T.ingest_stream(T.read_table(spark, at, schema), store, registry, check, "2024-01-02 00:00:00").awaitTermination()
+    return store, registry
+
+
+@query("SELECT count(*) AS files FROM documents WHERE doc_id % 5 = 0")
+def t08_ingest_stream(spark, d):
+    """Ingests all documents; its SQL counts the files of every fifth id, t08_ingest_stream_chunks reports all of them."""
+    registry = _ingested(spark, d)[1].current()
+    return registry.filter(F.substring_index("file_path", "/", -1).cast("long") % 5 == 0).agg(F.count(F.lit(1)).alias("files"))
+
+
+@query()
+def t08_ingest_stream_chunks(spark, d):
+    """Files of the registry and chunks of the store after all documents have arrived, by source."""
+    store, registry = _ingested(spark, d)
+    files = registry.current().groupBy("source_type").agg(F.count(F.lit(1)).alias("files"), F.sum("chunk_count").alias("registered_chunks"))
+    chunks = store.current().groupBy("source_type").agg(F.count(F.lit(1)).alias("chunks"), F.count_distinct("source").alias("files_with_chunks"))
+    return files.join(chunks, "source_type", "full")
 
 
 @query("SELECT vec_id AS entry_id FROM embeddings WHERE vec_id * 10 BETWEEN 1400 AND 5000")

@@ -1,9 +1,17 @@
 """Streams in several batches, and the snapshots that they commit."""
 
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from corpusloom.plans import streaming_queries
+from corpusloom.plans.ingest import ingest
 from corpusloom.sources.store import Snapshots
 from corpusloom.streaming import streams as T
 
 AT = "2024-01-02 00:00:00"
+SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 def test_the_last_of_equally_dated_snapshots_is_current(spark, tmp_path):
@@ -36,3 +44,20 @@ def test_a_stream_of_several_batches_keeps_them_all(spark, tmp_path):
     assert len([p for p in query.recentProgress if p["numInputRows"]]) == 5
     assert sorted(r.file_path for r in registry.current().collect()) == [r[0] for r in rows]
     assert sorted((r.source, r.text.split()[-1]) for r in store.current().collect()) == [(f"f{i}", str(i)) for i in range(5)]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
+def test_registered_ingestion_takes_every_document(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    got = {r.source_type: r for r in streaming_queries.t08_ingest_stream_chunks(spark, SF_DIR).collect()}
+    assert {s: r.files for s, r in got.items()} == {r.source: r["count"] for r in docs.groupBy("source").count().collect()}
+    store = spark.createDataFrame([], "chunk_id string, source string, source_type string, content_type string, heading_path string, text string")
+    registry = spark.createDataFrame([], "file_path string, content_hash string, source_type string, chunk_count long, file_size long, ingested_at timestamp, updated_at timestamp")
+    files = docs.select("doc_id", F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("file_path"), F.md5("text").alias("content_hash"), F.col("source").alias("source_type"), F.col("n_chars").alias("file_size"), "text")
+    want = {}
+    for i in range(streaming_queries.ARRIVALS):
+        part = ingest(files.filter(F.col("doc_id") % streaming_queries.ARRIVALS == i).drop("doc_id"), registry, store, AT)
+        for r in part.chunks.groupBy("source_type").count().collect():
+            want[r.source_type] = want.get(r.source_type, 0) + r["count"]
+    assert {s: r.chunks for s, r in got.items()} == want
+    assert {s: r.registered_chunks for s, r in got.items()} == want
