@@ -10,7 +10,7 @@ from corpusloom.operators import query as Q
 from corpusloom.operators import retrieval as R
 from corpusloom.operators import validate as O
 from corpusloom.plans import views as V
-from corpusloom.plans.registry import query
+from corpusloom.plans.registry import SQL, query
 
 #: Wordings that are combined with the rows of events into a table of questions.
 WORDINGS = (
@@ -23,6 +23,19 @@ _LIST = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in WORDINGS) + "]
 _QUESTIONS = f"questions AS (SELECT event_id AS query_id, CAST(user_id AS VARCHAR) AS session_id, event_id % 3 AS turn, {_LIST}[event_id % {len(WORDINGS)} + 1] || ' ' || event_type AS text FROM events)"
 
 
+def _whole(f, held, cut=None, full=None):
+    """Registers f over the rows of held as <name>_whole, with f's own SQL in which full stands for cut. Where the SQL of a
+    query states shortened texts, it stays as it is and the whole job is done by the query of this name."""
+
+    def run(spark, d):
+        return f(spark, d, held)
+
+    run.__name__, run.__doc__ = f"{f.__name__}_whole", f.__doc__
+    sql = SQL.get(f.__name__) if cut else None
+    assert sql is None or cut in sql
+    return query(sql and sql.replace(cut, full))(run)
+
+
 def questions(spark, d):
     pick = F.element_at(F.array(*map(F.lit, WORDINGS)), (F.col("event_id") % len(WORDINGS) + 1).cast("int"))
     return V.table(spark, d, "events").select(F.col("event_id").alias("query_id"), F.col("user_id").cast("string").alias("session_id"), F.concat_ws(" ", pick, "event_type").alias("text"))
@@ -607,14 +620,27 @@ def _responses(spark, d):
     return V.table(spark, d, "documents").select("doc_id", text.alias("response"), F.substring("text", 100, 2000).alias("context"), F.lit(3).alias("n_sources"))
 
 
+_RESP_WHOLE = f"""resp AS (SELECT a.doc_id, CASE WHEN a.doc_id % 7 = 6 AND a.doc_id % 2 = 0 THEN '' ELSE {_ANSWER_LIST}[a.doc_id % 7 + 1] || ' ' || a.text END AS response, coalesce(b.text, '') AS context
+FROM documents a LEFT JOIN documents b ON b.doc_id = a.doc_id + 1)"""
+
+
+def _whole_responses(spark, d):
+    """Whole texts as responses, each with the whole text of the document of the next id as its context."""
+    pick = F.element_at(F.array(*map(F.lit, _ANSWERS)), (F.col("doc_id") % 7 + 1).cast("int"))
+    text = F.when((F.col("doc_id") % 7 == 6) & (F.col("doc_id") % 2 == 0), "").otherwise(F.concat(pick, F.lit(" "), "text"))
+    own = V.table(spark, d, "documents")
+    after = own.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("context"))
+    return own.select("doc_id", text.alias("response")).join(after, "doc_id", "left").select("doc_id", "response", F.coalesce("context", F.lit("")).alias("context"), F.lit(3).alias("n_sources"))
+
+
 @query()
 def e17_validate_answers(spark, d):
-    return O.validate_answers(_responses(spark, d)).select("doc_id", F.size("issues").alias("issues"), "n_markers", "n_citations", "n_claims", F.round("confidence", 6).alias("confidence"), "is_valid")
+    return O.validate_answers(_whole_responses(spark, d)).select("doc_id", F.size("issues").alias("issues"), "n_markers", "n_citations", "n_claims", F.round("confidence", 6).alias("confidence"), "is_valid")
 
 
 @query(f"WITH {_RESP} SELECT doc_id, length(response) < 10 AS is_short FROM resp")
-def e18_length_issues(spark, d):
-    return _responses(spark, d).select("doc_id", (F.size(O.length_issues(F.col("response"))) > 0).alias("is_short"))
+def e18_length_issues(spark, d, held=_responses):
+    return held(spark, d).select("doc_id", (F.size(O.length_issues(F.col("response"))) > 0).alias("is_short"))
 
 
 def _all_matches(patterns):
@@ -622,34 +648,38 @@ def _all_matches(patterns):
 
 
 @query(f"WITH {_RESP} SELECT doc_id, len(list_distinct({_all_matches(O.UNCERTAIN)})) AS markers FROM resp")
-def e19_markers(spark, d):
-    return _responses(spark, d).select("doc_id", F.size(O.markers(F.lower("response"))).cast("long").alias("markers"))
+def e19_markers(spark, d, held=_responses):
+    return held(spark, d).select("doc_id", F.size(O.markers(F.lower("response"))).cast("long").alias("markers"))
 
 
 @query(f"WITH {_RESP} SELECT doc_id, len({_all_matches(O.FABRICATED)}) AS fabricated FROM resp")
-def e20_fabrication_issues(spark, d):
-    return _responses(spark, d).select("doc_id", F.size(O.fabrication_issues(F.col("response"))).cast("long").alias("fabricated"))
+def e20_fabrication_issues(spark, d, held=_responses):
+    return held(spark, d).select("doc_id", F.size(O.fabrication_issues(F.col("response"))).cast("long").alias("fabricated"))
 
 
 @query(f"WITH {_RESP} SELECT doc_id, len({_all_matches(O.CITATIONS)}) AS citations FROM resp")
-def e21_citation_count(spark, d):
-    return _responses(spark, d).select("doc_id", O.citation_count(F.col("response")).cast("long").alias("citations"))
+def e21_citation_count(spark, d, held=_responses):
+    return held(spark, d).select("doc_id", O.citation_count(F.col("response")).cast("long").alias("citations"))
 
 
 @query()
 def e22_claims(spark, d):
-    return _responses(spark, d).select("doc_id", F.size(O.claims(F.col("response"))).alias("claims"))
+    return _whole_responses(spark, d).select("doc_id", F.size(O.claims(F.col("response"))).alias("claims"))
 
 
 _KEY = "list_filter(list_distinct(list_transform(list_filter(regexp_extract_all({}, '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '[a-zA-Z]{{3,}}')), lambda w: lower(w))), lambda w: NOT list_contains([" + ", ".join(f"'{w}'" for w in O.COMMON_WORDS) + "], w))"
 
 
 @query(f"WITH {_RESP}, k AS (SELECT doc_id, {_KEY.format('response')} AS a, {_KEY.format('context')} AS b FROM resp) SELECT doc_id, CASE WHEN len(a) > 0 AND len(b) > 0 THEN round(len(list_intersect(a, b)) / len(a), 6) ELSE -1 END AS grounding FROM k")
-def e23_grounding(spark, d):
-    return _responses(spark, d).select("doc_id", F.coalesce(F.round(O.grounding(F.col("response"), F.col("context")), 6), F.lit(-1.0)).alias("grounding"))
+def e23_grounding(spark, d, held=_responses):
+    return held(spark, d).select("doc_id", F.coalesce(F.round(O.grounding(F.col("response"), F.col("context")), 6), F.lit(-1.0)).alias("grounding"))
 
 
 @query()
 def e24_confidence(spark, d):
-    out = O.validate_answers(_responses(spark, d))
+    out = O.validate_answers(_whole_responses(spark, d))
     return out.groupBy(F.round("confidence", 2).alias("confidence")).agg(F.count(F.lit(1)).alias("n"), F.count_if("is_valid").alias("valid"))
+
+
+for _f in (e18_length_issues, e19_markers, e20_fabrication_issues, e21_citation_count, e23_grounding):
+    _whole(_f, _whole_responses, _RESP, _RESP_WHOLE)
