@@ -49,6 +49,14 @@ def messages(spark, d):
 _MESSAGES = f"messages AS (SELECT CAST(conv_id AS VARCHAR) AS session_id, turn, role, {_LIST}[(conv_id + turn) % {len(WORDINGS)} + 1] || ' ' || substr(text, 1, 30) AS text FROM conversations)"
 
 
+def _whole_messages(spark, d):
+    pick = F.element_at(F.array(*map(F.lit, WORDINGS)), ((F.col("conv_id") + F.col("turn")) % len(WORDINGS) + 1).cast("int"))
+    return V.table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), "turn", "role", F.concat_ws(" ", pick, "text").alias("text"))
+
+
+_MESSAGES_WHOLE = _MESSAGES.replace("substr(text, 1, 30)", "text")
+
+
 def _re(pattern, column="text"):
     flag = ""
     if pattern.startswith("(?i)"):
@@ -124,9 +132,9 @@ def q09_query_hash(spark, d):
 
 
 @query(f"WITH {_MESSAGES}, r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn DESC) AS k, count(*) OVER (PARTITION BY session_id) AS n FROM messages) SELECT session_id, md5(string_agg(turn || role || text, '|' ORDER BY turn)) AS history, max(n) AS messages, max(n) > 4 AS is_cut FROM r WHERE k <= 4 GROUP BY session_id")
-def q10_history(spark, d):
+def q10_history(spark, d, held=messages):
     joined = F.array_join(F.transform("history", lambda m: F.concat(m["turn"].cast("string"), m["role"], m["text"])), "|")
-    return Q.history(messages(spark, d), 4).select("session_id", F.md5(joined).alias("history"), "messages", "is_cut")
+    return Q.history(held(spark, d), 4).select("session_id", F.md5(joined).alias("history"), "messages", "is_cut")
 
 
 @query(f"WITH {_QUESTIONS} SELECT query_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN {_re(p)} THEN '{n}' END" for n, p in Q.REFERENCES) + "], lambda x: x IS NOT NULL), ',') AS refs FROM questions")
@@ -138,8 +146,8 @@ _TERMS = "flatten([" + ", ".join(f"regexp_extract_all(lower(text), '{p[4:]}')" f
 
 
 @query(f"WITH {_MESSAGES} SELECT session_id, turn, array_to_string(list_sort(list_distinct(list_filter({_TERMS}, lambda t: length(t) > 2 AND t <> 'step'))), ',') AS terms FROM messages")
-def q12_domain_terms(spark, d):
-    return messages(spark, d).select("session_id", "turn", F.array_join(F.array_sort(Q.domain_terms(F.col("text"))), ",").alias("terms"))
+def q12_domain_terms(spark, d, held=messages):
+    return held(spark, d).select("session_id", "turn", F.array_join(F.array_sort(Q.domain_terms(F.col("text"))), ",").alias("terms"))
 
 
 @query(
@@ -149,18 +157,18 @@ FROM t a LEFT JOIN t b ON b.session_id = a.session_id AND b.i BETWEEN a.i - 6 AN
 c AS (SELECT *, list_sort(list_distinct(coalesce(last, []))) AS s FROM b)
 SELECT session_id, turn, coalesce(array_to_string(terms, ','), '') AS terms, array_to_string((CASE WHEN len(list_filter(s, lambda x: x IN {Q.TOPIC_FIRST})) > 0 THEN list_filter(s, lambda x: x IN {Q.TOPIC_FIRST}) ELSE s END)[1:2], ' ') AS topic FROM c"""
 )
-def q13_conversation_context(spark, d):
-    return Q.conversation_context(messages(spark, d)).select("session_id", "turn", F.array_join("terms", ",").alias("terms"), "topic")
+def q13_conversation_context(spark, d, held=messages):
+    return Q.conversation_context(held(spark, d)).select("session_id", "turn", F.array_join("terms", ",").alias("terms"), "topic")
 
 
 @query()
 def q14_should_expand(spark, d):
-    return Q.conversation_context(messages(spark, d)).select("session_id", "turn", Q.should_expand(F.col("text"), F.col("history_size"), F.col("has_user")).alias("skip_reason"))
+    return Q.conversation_context(_whole_messages(spark, d)).select("session_id", "turn", Q.should_expand(F.col("text"), F.col("history_size"), F.col("has_user")).alias("skip_reason"))
 
 
 @query()
 def q15_expand_followup(spark, d):
-    return Q.conversation_context(messages(spark, d)).select("session_id", "turn", Q.expand_followup(F.col("text"), F.col("terms"), F.col("topic")).alias("expanded"))
+    return Q.conversation_context(_whole_messages(spark, d)).select("session_id", "turn", Q.expand_followup(F.col("text"), F.col("terms"), F.col("topic")).alias("expanded"))
 
 
 @query(
@@ -197,6 +205,10 @@ def q19_validate_queries(spark, d):
     return Q.validate_queries(V.table(spark, d, "documents").select("doc_id", "text"), 2000)[1].select("doc_id", "reason")
 
 
+for _f in (q10_history, q12_domain_terms, q13_conversation_context):
+    _whole(_f, _whole_messages, _MESSAGES, _MESSAGES_WHOLE)
+
+
 # retrieval
 
 

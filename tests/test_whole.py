@@ -24,3 +24,13 @@ def test_answers_are_validated_to_their_end(spark, folder):
     assert run("e17_validate_answers")[2].n_citations == early + 2
     assert run("e19_markers_whole")[2].markers == run("e19_markers")[2].markers + 1
     assert run("e23_grounding_whole")[2].grounding > 0
+
+
+def test_messages_are_read_to_their_end(spark, folder):
+    text = "w " * 50 + "helm"
+    d = folder(conversations=([(1, 0, "user", text), (1, 1, "user", "why does it fail?")], "conv_id long, turn int, role string, text string"))
+    run = lambda name: [r.asDict() for r in catalog.QUERIES[name](spark, d).orderBy("turn").collect()]
+    assert "helm" in run("q12_domain_terms_whole")[0]["terms"].split(",")
+    assert "helm" not in run("q12_domain_terms")[0]["terms"].split(",")
+    assert "helm" in run("q13_conversation_context_whole")[1]["terms"].split(",")
+    assert any("helm" in r["expanded"] for r in run("q15_expand_followup"))
