@@ -270,6 +270,10 @@ def _text_queries(spark, d):
     return V.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 12), " ").alias("text"))
 
 
+def _whole_text_queries(spark, d):
+    return V.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
 def _bm25(name, table, key, text):
     return f"""{name}_t AS (SELECT {key} AS key, regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}_]+') AS ts FROM {table}), {name}_a AS (SELECT avg(len(ts)) AS a, count(*) AS n FROM {name}_t),
 {name}_f AS (SELECT key, len(ts) AS l, unnest(ts) AS term FROM {name}_t), {name} AS (SELECT key, term, count(*) * 2.2::DOUBLE / (count(*) + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / (SELECT a FROM {name}_a))) AS w FROM {name}_f GROUP BY key, l, term)"""
@@ -277,6 +281,7 @@ def _bm25(name, table, key, text):
 
 _C = _bm25("c", "documents", "doc_id", "text")
 _BQ = "bq AS (SELECT item_id, array_to_string(string_split(text, ' ')[1:12], ' ') AS text FROM benchmark)"
+_BQ_WHOLE = "bq AS (SELECT item_id, text FROM benchmark)"
 _SPARSE = f"{_C}, {_BQ}, {_bm25('q', 'bq', 'item_id', 'text')}, ss AS (SELECT q.key AS query_id, c.key AS chunk_id, sum(c.w * q.w) AS score FROM q JOIN c USING (term) GROUP BY 1, 2), sparse AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM ss)"
 
 
@@ -286,9 +291,9 @@ def r06_sparse_encode(spark, d):
 
 
 @query(f"WITH {_SPARSE} SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM sparse WHERE rank <= 20")
-def r07_sparse_topk(spark, d):
+def r07_sparse_topk(spark, d, asked=_text_queries):
     held = R.sparse_encode(_texts(spark, d), "chunk_id")
-    return _ranked(R.sparse_topk(R.sparse_encode(_text_queries(spark, d), "query_id"), held, 20))
+    return _ranked(R.sparse_topk(R.sparse_encode(asked(spark, d), "query_id"), held, 20))
 
 
 def _sides(spark, d):
@@ -318,15 +323,15 @@ def _hashed(text):
 @query()
 def r09_hybrid_topk(spark, d):
     texts = checkpoint(_texts(spark, d).withColumn("embedding", _hashed(R.tokens(F.col("text")))))
-    asked = _text_queries(spark, d).withColumn("embedding", _hashed(R.tokens(F.col("text"))))
+    asked = _whole_text_queries(spark, d).withColumn("embedding", _hashed(R.tokens(F.col("text"))))
     held = R.sparse_encode(texts, "chunk_id")
     return _ranked(R.hybrid_topk(asked, texts, held, texts, 10))
 
 
-def _candidates(spark, d):
+def _candidates(spark, d, asked=_text_queries):
     held = R.sparse_encode(_texts(spark, d), "chunk_id")
-    top = R.sparse_topk(R.sparse_encode(_text_queries(spark, d), "query_id"), held, 20)
-    return top.join(_texts(spark, d), "chunk_id").join(_text_queries(spark, d).withColumnRenamed("text", "query"), "query_id")
+    top = R.sparse_topk(R.sparse_encode(asked(spark, d), "query_id"), held, 20)
+    return top.join(_texts(spark, d), "chunk_id").join(asked(spark, d).withColumnRenamed("text", "query"), "query_id")
 
 
 _OVERLAP = "len(list_intersect(list_distinct(qt.ts), ct.ts)) / len(list_distinct(qt.ts))"
@@ -335,8 +340,8 @@ ranked AS (SELECT *, 1 / (1 + exp(-(2 * raw - 1))) AS score, row_number() OVER (
 
 
 @query(f"WITH {_RERANK} SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM ranked WHERE rank <= 5")
-def r10_rerank(spark, d):
-    return _ranked(R.rerank(_candidates(spark, d).drop("score"), 5, calibration=(2.0, -1.0)).withColumnRenamed("rerank_score", "score"))
+def r10_rerank(spark, d, asked=_text_queries):
+    return _ranked(R.rerank(_candidates(spark, d, asked).drop("score"), 5, calibration=(2.0, -1.0)).withColumnRenamed("rerank_score", "score"))
 
 
 _LABELS = "ls AS (SELECT doc_id, n_chars / 10000.0 AS score, quality AS label FROM labels JOIN documents USING (doc_id))"
@@ -356,8 +361,8 @@ def r12_platt_fit(spark, d):
 
 
 @query(f"WITH {_RERANK} SELECT query_id, chunk_id FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM ranked) WHERE score >= 0.45 OR (rank = 1 AND best < 0.45)")
-def r13_min_rerank(spark, d):
-    ranked = R.rerank(_candidates(spark, d), 20, calibration=(2.0, -1.0))
+def r13_min_rerank(spark, d, asked=_text_queries):
+    ranked = R.rerank(_candidates(spark, d, asked), 20, calibration=(2.0, -1.0))
     return R.min_rerank(ranked, 0.45).select("query_id", "chunk_id")
 
 
@@ -365,8 +370,8 @@ def r13_min_rerank(spark, d):
     f"""WITH {_RERANK}, t AS (SELECT r.query_id, r.chunk_id, substr(d.text, 1, 100) AS k, s.score AS old, s.rank AS prior_rank FROM ranked r JOIN documents d ON d.doc_id = r.chunk_id JOIN sparse s USING (query_id, chunk_id)),
 l AS (SELECT query_id, k, max_by(old, prior_rank) AS similarity FROM t GROUP BY 1, 2) SELECT query_id, chunk_id, round(similarity, 6) AS similarity FROM t JOIN l USING (query_id, k)"""
 )
-def r14_carry_similarity(spark, d):
-    before = _candidates(spark, d)
+def r14_carry_similarity(spark, d, asked=_text_queries):
+    before = _candidates(spark, d, asked)
     ranked = R.rerank(before.drop("score"), 20)
     return R.carry_similarity(ranked, before).select("query_id", "chunk_id", F.round("similarity", 6).alias("similarity"))
 
@@ -382,22 +387,26 @@ def r15_fallback_decision(spark, d):
 
 @query()
 def r16_pack_context(spark, d):
-    return R.pack_context(_candidates(spark, d), 1500).select("query_id", F.md5("context").alias("context"), "n_sources", "is_truncated")
+    return R.pack_context(_candidates(spark, d, _whole_text_queries), 1500).select("query_id", F.md5("context").alias("context"), "n_sources", "is_truncated")
 
 
 @query(f"WITH {_SPARSE} SELECT query_id, chunk_id, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS content_preview, round(score, 4) AS score FROM sparse JOIN documents ON doc_id = chunk_id WHERE rank <= 20")
-def r17_format_sources(spark, d):
-    return R.format_sources(_candidates(spark, d)).select("query_id", "chunk_id", "content_preview", "score")
+def r17_format_sources(spark, d, asked=_text_queries):
+    return R.format_sources(_candidates(spark, d, asked)).select("query_id", "chunk_id", "content_preview", "score")
 
 
 @query()
 def r18_compress_extractive(spark, d):
-    return R.compress_chunks(_candidates(spark, d), 3, 5).select("query_id", "chunk_id", F.md5("compressed.text").alias("text"), F.round("compressed.ratio", 6).alias("ratio"))
+    return R.compress_chunks(_candidates(spark, d, _whole_text_queries), 3, 5).select("query_id", "chunk_id", F.md5("compressed.text").alias("text"), F.round("compressed.ratio", 6).alias("ratio"))
 
 
 @query(f"WITH {_SPARSE} SELECT query_id, md5(string_agg(source || ':' || substr(text, 1, 200), '|' ORDER BY rank)) AS context_hash FROM sparse JOIN documents ON doc_id = chunk_id WHERE rank <= 20 GROUP BY query_id")
-def r19_context_hash(spark, d):
-    return R.context_hash(_candidates(spark, d))
+def r19_context_hash(spark, d, asked=_text_queries):
+    return R.context_hash(_candidates(spark, d, asked))
+
+
+for _f in (r07_sparse_topk, r10_rerank, r13_min_rerank, r14_carry_similarity, r17_format_sources, r19_context_hash):
+    _whole(_f, _whole_text_queries, _BQ, _BQ_WHOLE)
 
 
 def _cache_tables(spark, d):

@@ -34,3 +34,16 @@ def test_messages_are_read_to_their_end(spark, folder):
     assert "helm" not in run("q12_domain_terms")[0]["terms"].split(",")
     assert "helm" in run("q13_conversation_context_whole")[1]["terms"].split(",")
     assert any("helm" in r["expanded"] for r in run("q15_expand_followup"))
+
+
+def test_all_words_of_a_query_search(spark, folder):
+    asked = " ".join(f"w{i}" for i in range(12)) + " zebra"
+    d = folder(
+        documents=([(1, "w1 w2", "s", "en"), (2, "zebra crossing", "s", "en")], "doc_id long, text string, source string, lang string"),
+        benchmark=([(7, asked)], "item_id long, text string"),
+    )
+    found = lambda name: {r.chunk_id for r in catalog.QUERIES[name](spark, d).collect()}
+    assert found("r07_sparse_topk") == {1}
+    assert found("r07_sparse_topk_whole") == {1, 2}
+    assert found("r17_format_sources_whole") == {1, 2}
+    assert found("r18_compress_extractive") == {1, 2}
