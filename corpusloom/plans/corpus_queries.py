@@ -314,6 +314,12 @@ def k08_chunk_type_counts(spark, d):
     return K.chunk_type_counts(markdown(spark, d).select(K.content_type(F.col("text")).alias("content_type"))).agg(F.sum("n").alias("documents"))
 
 
+@query()
+def k08_chunk_type_counts_chunks(spark, d):
+    """Chunks by type; k08_chunk_type_counts has the SQL of a sum over the types of documents."""
+    return K.chunk_type_counts(K.chunk_documents(markdown(spark, d))).orderBy("content_type")
+
+
 # dedup
 
 _NORMAL = "normal AS (SELECT doc_id, source, lang, trim(regexp_replace(lower(nfkc), '\\s+', ' ', 'g')) AS t FROM (SELECT *, text AS nfkc FROM documents))"
@@ -389,6 +395,17 @@ def d09_duplicates_by_source(spark, d):
     return D.duplicates_by_source(D.mark_duplicates(docs(spark, d), "doc_id", threshold=1.0), "lang", "source")
 
 
+@query()
+def d09_dedup_stats_fuzzy(spark, d):
+    """With the fuzzy step over the exact survivors; the SQL of d09_dedup_stats states exact removals alone."""
+    return D.dedup_stats(D.mark_duplicates(docs(spark, d), "doc_id"))
+
+
+@query()
+def d09_duplicates_by_source_fuzzy(spark, d):
+    return D.duplicates_by_source(D.mark_duplicates(docs(spark, d), "doc_id"), "lang", "source")
+
+
 @query(f"WITH {_NORMAL} SELECT sha256(t) AS content_hash, count(*) AS n, min(doc_id) AS first FROM normal GROUP BY t HAVING count(*) > 1")
 def d10_duplicate_groups(spark, d):
     return D.duplicate_groups(docs(spark, d), "doc_id")

@@ -1,8 +1,12 @@
 """Queries that read whole texts: what stands late in a text counts."""
 
+from collections import Counter
+
 import pytest
 
-from corpusloom.plans import catalog
+from corpusloom.operators import chunking as K
+from corpusloom.operators import dedup as D
+from corpusloom.plans import catalog, corpus_queries
 
 
 @pytest.fixture
@@ -47,3 +51,38 @@ def test_all_words_of_a_query_search(spark, folder):
     assert found("r07_sparse_topk_whole") == {1, 2}
     assert found("r17_format_sources_whole") == {1, 2}
     assert found("r18_compress_extractive") == {1, 2}
+
+
+def _documents(folder):
+    words = " ".join(f"word{i}" for i in range(400))
+    texts = ["Alpha beta", "alpha  beta", words, words + " tail", "quite another text", "- a\n- b\n- c\n\n" + "long line of prose. " * 200]
+    rows = [(i, x, "s", "en") for i, x in enumerate(texts)]
+    return folder(documents=(rows, "doc_id long, text string, source string, lang string"))
+
+
+def test_dedup_reports_near_copies(spark, folder):
+    d = _documents(folder)
+    rows = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", D.normalize_text(D.F.col("text")).alias("t"), D.simhash64(D.F.col("text")).alias("h")).orderBy("doc_id").collect()
+    seen, exact, fuzzy = set(), [], []
+    hashes = []
+    for r in rows:
+        if r.t in seen:
+            exact.append(r.doc_id)
+            continue
+        seen.add(r.t)
+        if any(((r.h ^ h) & (2**64 - 1)).bit_count() <= D.max_distance(0.95) for h in hashes):
+            fuzzy.append(r.doc_id)
+        else:
+            hashes.append(r.h)
+    assert exact and fuzzy
+    got = catalog.QUERIES["d09_dedup_stats_fuzzy"](spark, d).first()
+    assert (got.input, got.exact_removed, got.fuzzy_removed, got.output) == (len(rows), len(exact), len(fuzzy), len(rows) - len(exact) - len(fuzzy))
+    by_source = {r.key: r.n for r in catalog.QUERIES["d09_duplicates_by_source_fuzzy"](spark, d).collect()}
+    assert by_source == {"en:s": len(exact), "en:s (fuzzy)": len(fuzzy)}
+
+
+def test_chunk_types_are_those_of_chunks(spark, folder):
+    d = _documents(folder)
+    want = Counter(r.content_type for r in K.chunk_documents(corpus_queries.markdown(spark, d)).collect())
+    got = {r.content_type: r.n for r in catalog.QUERIES["k08_chunk_type_counts_chunks"](spark, d).collect()}
+    assert got == want and sum(got.values()) > 6
