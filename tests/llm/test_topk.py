@@ -29,7 +29,7 @@ def brute(vectors, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("sizes", [(4096, 512), (32, 4)])
+@pytest.mark.parametrize("sizes", [(64_000_000, 4096, 4096), (24 * 8 * 32, 4, 8)])
 def test_equals_brute_force(spark, sizes):
     vectors = quantized(spark.createDataFrame(rows(), SCHEMA))
     got = top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), 5, *sizes)
@@ -55,3 +55,14 @@ def test_fewer_than_k_and_empty_tables(spark):
     none = quantized(spark.createDataFrame([], SCHEMA))
     assert top_k(none, none).count() == 0
     assert top_k(few, none).count() == 0
+    assert top_k(none, few).count() == 0
+
+
+def test_products_beyond_doubles_and_repeated_queries(spark):
+    big = 2**27
+    rows = [(0, [big, 3]), (1, [big, 1]), (2, [big, 2]), (3, [-big, 9]), (4, [1])]
+    vectors = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    asked = spark.createDataFrame([rows[0], rows[0]], "vec_id long, v array<long>")
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in top_k(vectors, asked, 3).collect()]
+    want = [(0, 1, 2, big * big + 6), (0, 2, 1, big * big + 3), (0, 3, 4, big)]
+    assert sorted(got) == sorted(want * 2)
