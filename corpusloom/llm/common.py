@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.storage import checkpoint, new_path, shared_folder
 
-__all__ = ["as_bytes", "binary_column", "checkpoint", "connected_components", "mix64", "new_path", "shared_folder", "SPACE", "WORD"]
+__all__ = ["as_bytes", "binary_column", "carried", "checkpoint", "connected_components", "mix64", "new_path", "shared_folder", "SPACE", "WORD"]
 
 #: Characters between words, and at the ends of a line key.
 SPACE = b"\x20\t\n\x0b\x0c\r"
@@ -17,6 +17,13 @@ SPACE = b"\x20\t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def carried(docs: DataFrame, *outputs: str) -> Column:
+    """All columns of docs in one struct, so that no name in it, dotted or like one that an operator uses inside, can
+    clash; `select("row.*", ...)` gives them back. Columns with the name of an output are left out: outputs replace them."""
+    taken = {c.lower() for c in outputs}
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in taken]).alias("row")
+
+
 def as_bytes(text: Column | str) -> Column:
     """UTF-8 bytes of a text; null is empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("binary")

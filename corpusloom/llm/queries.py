@@ -76,6 +76,7 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("_n_removed").alias("n_removed"),
         F.col("_n_spans").alias("n_spans"),
         F.lower(F.hex("_kept")).alias("kept_sha256"),
+        F.col("_n_shared").alias("n_shared_words"),
     )
 
 

@@ -32,3 +32,18 @@ def documents(spark):
 
 def empty(spark):
     return spark.createDataFrame([], SCHEMA)
+
+
+#: Names that operators use or might use inside, a dotted one too.
+CLASHES = [
+    "row", "digest", "_digest", "_less", "_bytes", "_h", "_l", "_joined", "_common", "_base", "_added", "_spans", "_n_dropped", "a.b",
+    "block", "keys", "bucket", "payload", "t", "_kept_id", "_fp", "component_id", "_rows", "_n_bytes", "_kept", "n_removed", "kept", "all",
+]
+
+
+def clashing(spark):
+    """Documents with extra columns of all these names, each holding 7."""
+    from pyspark.sql import functions as F
+
+    docs = documents(spark).select("doc_id", "text", "lang", "source", "n_chars")
+    return docs.select("*", *[F.lit(7).alias(c) for c in CLASHES])
