@@ -1,12 +1,14 @@
 """Brown class-based n-gram language model over all training documents.
 
 1. Documents are coded once into blocks of about BLOCK_BYTES of text: a block's own vocabulary and its documents as
-   numbers, checkpointed.
-2. The SEEDS most frequent words get classes by sequential exchange clustering on their bigram counts: each word moves to
-   the class that raises the likelihood most, until none moves. These counts cover all training text and fit on the driver
-   (SEEDS squared at most).
-3. Every word, seen by a block, sends its training count and its neighbours' classes to the bucket of its hash. A
-   bucket sums them and moves every word that is not a seed to its best class; counts and classes go back to the blocks.
+   numbers, dealt by block and checkpointed, so that no later step moves them again.
+2. A start: the SEEDS most frequent words get classes by sequential exchange on their bigram counts, which cover all
+   training text and fit on the driver (SEEDS squared at most). All other words are one class at first.
+3. Exchange over all words, in sweeps. Blocks send each word's training count and the classes before and after it to the
+   bucket of its hash, which sums them. The class bigram counts of all training text are known exactly, and every word,
+   seeds too, moves to the class that raises the likelihood most; words with fewer than EXACT_FROM tokens by the first
+   term of that gain. Classes go back to the blocks, which count the class bigrams anew. Words move side by side in a
+   sweep, so a sweep stands only if the likelihood rose; SWEEPS bounds them. No word is left out.
 4. Blocks score their documents: word emissions (count + 1/2) / (class tokens + words / 2), class transitions smoothed
    towards the class shares, and a probability of unknown words by the share of tokens seen once.
 
@@ -29,8 +31,10 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import as_bytes, checkpoint
 
 BLOCK_BYTES, BUCKET_BYTES = 8_000_000, 12_000_000
-CLASSES, SEEDS, SWEEPS = 24, 600, 12
-#: Words of each block that are offered as seeds.
+CLASSES, SEEDS, SEED_SWEEPS, SWEEPS = 24, 600, 12, 2
+#: Tokens of a word from which its gains are exact.
+EXACT_FROM = 16
+#: Words of each block that are offered as seeds; they only start the exchange.
 OFFERED = 4 * SEEDS
 #: Weight of the class shares in a transition.
 PULL = 20.0
@@ -101,7 +105,7 @@ class Coded:
     def before(self, classes: np.ndarray) -> np.ndarray:
         """Class of the token before each token; of the end token at a document's start."""
         out = np.empty(len(self.tokens), np.int64)
-        out[0] = END
+        out[:1] = END
         out[1:] = classes[self.tokens[:-1]]
         return out
 
@@ -138,12 +142,37 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
 
-def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> tuple[np.ndarray, np.ndarray]:
+def likelihood(m: np.ndarray) -> float:
+    """The part of the log-likelihood that classes decide, from their bigram counts."""
+    return float(_xlogx(m).sum() - _xlogx(m.sum(axis=0)).sum() - _xlogx(m.sum(axis=1)).sum())
+
+
+def gains(m: np.ndarray, right: np.ndarray, left: np.ndarray, s: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Of each word and class, the gain in likelihood of having the word there rather than nowhere.
+
+    m: class bigram counts; right, left: classes after and before each word, itself left out; s: how often it follows
+    itself; of: the class that it leaves."""
+    w, k = np.arange(len(of)), m.shape[0]
+    rest = np.repeat(m[None], len(of), axis=0)
+    rest[w, of] -= right
+    rest[w, :, of] -= left
+    rest[w, of, of] -= s
+    rows, cols = rest.sum(axis=2) + left, rest.sum(axis=1) + right  # wherever the word is, its neighbours have it
+    logs, diag = _xlogx(rest), np.arange(k)
+    add_row = _xlogx(rest + right[:, None, :]) - logs
+    add_col = _xlogx(rest + left[:, :, None]) - logs
+    both = _xlogx(rest[:, diag, diag] + right + left + s[:, None]) - logs[:, diag, diag]
+    gain = add_row.sum(axis=2) - add_row[:, diag, diag] + add_col.sum(axis=1) - add_col[:, diag, diag] + both
+    gain -= _xlogx(rows + (right.sum(axis=1) + s)[:, None]) - _xlogx(rows)
+    return gain - _xlogx(cols + (left.sum(axis=1) + s)[:, None]) + _xlogx(cols)
+
+
+def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SEED_SWEEPS) -> tuple[np.ndarray, np.ndarray]:
     """(class of each word, class bigram counts) for counts whose last two rows are the end token and all other words,
     which keep the classes `classes` and `classes + 1`.
 
     Words start dealt round by frequency. In a sweep every word in turn leaves its class and joins the one
-    with the greatest gain in sum N(a,b) log N(a,b) - sum N(a) log N(a) - sum N(b) log N(b)."""
+    with the greatest gain in likelihood."""
     n, k = len(bigrams), classes + 2
     b = bigrams.astype(np.float64)
     of = np.empty(n, np.int64)
@@ -159,25 +188,16 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS)
             a, s = of[w], b[w, w]
             member[w, a] = 0
             right, left = b[w] @ member, b[:, w] @ member  # without the word itself
-            m[a] -= right
-            m[:, a] -= left
-            m[a, a] -= s
-            rows, cols = m.sum(axis=1), m.sum(axis=0)
-            add_row = _xlogx(m + right) - _xlogx(m)
-            add_col = (_xlogx(m + left[:, None]) - _xlogx(m)).T
-            diag = np.arange(k)
-            both = _xlogx(m[diag, diag] + right + left + s) - _xlogx(m[diag, diag])
-            gain = add_row.sum(axis=1) - add_row[diag, diag] + add_col.sum(axis=1) - add_col[diag, diag] + both
-            gain -= _xlogx(rows + right.sum() + s) - _xlogx(rows) + _xlogx(cols + left.sum() + s) - _xlogx(cols)
+            gain = gains(m, right[None], left[None], np.array([s]), np.array([a]))[0]
             best = int(np.argmax(gain[:classes]))
-            if gain[best] <= gain[a] + 1e-9:
-                best = a
-            moved += best != a
-            of[w] = best
-            member[w, best] = 1
-            m[best] += right
-            m[:, best] += left
-            m[best, best] += s
+            if gain[best] > gain[a] + 1e-9:
+                moved += 1
+                for c, sign in ((a, -1), (best, 1)):
+                    m[c] += sign * right
+                    m[:, c] += sign * left
+                    m[c, c] += sign * s
+                of[w] = best
+            member[w, of[w]] = 1
         if not moved:
             break
     return of[:-2], m
@@ -195,7 +215,37 @@ def bucket_order(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray
     return order, numbers.astype(np.int64), [*first.tolist(), len(keys)]
 
 
-def _ask(seeds: np.ndarray, seed_class: np.ndarray, buckets: int):
+def _neighbours(c: Coded, cls: np.ndarray, block: int, buckets: int) -> pa.RecordBatch:
+    """A block's rows for the buckets: of each word its count, how often it follows itself, and the classes around it."""
+    now = cls[c.tokens]
+    prev, after = c.before(cls), np.append(now[1:], END)
+    after[c.tokens == 0] = END
+    t, taught = c.tokens.astype(np.int64)[c.taught], c.taught
+    counts = np.bincount(t, minlength=len(c.keys))
+    twice = np.flatnonzero(c.taught[1:] & (c.tokens[1:] == c.tokens[:-1])) + 1
+    itself = np.bincount(c.tokens[twice], minlength=len(c.keys))
+    order, numbers, bounds = bucket_order(c.keys, buckets)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    sides = []
+    for side in (prev, after):
+        pair, n = np.unique(place[t] * K + side[taught], return_counts=True)
+        sides.append((pair, n, np.searchsorted(pair, np.asarray(bounds) * K)))
+    rows = []
+    for i in range(len(numbers)):
+        pick = order[bounds[i] : bounds[i + 1]]
+        entry: dict = {"keys": c.keys[pick], "n": counts[pick].astype(np.uint32), "self": itself[pick].astype(np.uint32), "cls": cls[pick].astype(np.uint8)}
+        for name, (pair, n, cut) in zip(("prev", "after"), sides, strict=True):
+            own = pair[cut[i] : cut[i + 1]]
+            word = own // K - bounds[i]
+            entry[name] = (np.bincount(word, minlength=len(pick)).astype(np.uint8), (own % K).astype(np.uint8), n[cut[i] : cut[i + 1]].astype(np.uint32))
+        rows.append(pack(**entry))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(numbers), pa.array([block] * len(rows), pa.int64()), pa.array(rows, pa.binary())], schema=_ASK_SCHEMA
+    )
+
+
+def _first_ask(seeds: np.ndarray, seed_class: np.ndarray, buckets: int):
     def apply(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for block, payload in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -203,29 +253,45 @@ def _ask(seeds: np.ndarray, seed_class: np.ndarray, buckets: int):
                 number = c.seed_numbers(seeds)
                 cls = np.where(number >= 0, np.append(seed_class, OTHER)[number], OTHER)
                 cls[0] = END
-                now = cls[c.tokens]
-                prev, after = c.before(cls), np.append(now[1:], END)
-                after[c.tokens == 0] = END
-                size = len(c.keys) * K
-                t = c.tokens.astype(np.int64)
-                counts = np.bincount(c.tokens[c.taught], minlength=len(c.keys))
-                sides = []
-                for side in (prev, after):
-                    full = np.bincount((t * K + side)[c.taught], minlength=size).astype(np.uint32)
-                    sides.append(full.reshape(-1, K))
-                order, numbers, bounds = bucket_order(c.keys, buckets)
-                rows = []
-                for i in range(len(numbers)):
-                    pick = order[bounds[i] : bounds[i + 1]]
-                    entry: dict = {"keys": c.keys[pick], "n": counts[pick].astype(np.uint32)}
-                    for name, full in zip(("prev", "after"), sides, strict=True):
-                        part = full[pick]
-                        word, side = np.nonzero(part)
-                        entry[name] = (np.bincount(word, minlength=len(pick)).astype(np.uint8), side.astype(np.uint8), part[word, side].astype(np.uint32))
-                    rows.append(pack(**entry))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(numbers), pa.array([block] * len(rows), pa.int64()), pa.array(rows, pa.binary())], schema=_ASK_SCHEMA
-                )
+                yield _neighbours(c, cls, block, buckets)
+
+    return apply
+
+
+def _told(c: Coded, told: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(training count, class) of each word of a block."""
+    order, numbers, bounds = bucket_order(c.keys, buckets)
+    replies = dict(zip(told.column("bucket").to_pylist(), told.column("packed").to_pylist(), strict=True))
+    n, cls = np.zeros(len(c.keys), np.int64), np.full(len(c.keys), OTHER, np.int64)
+    for i, b in enumerate(numbers.tolist()):
+        x = unpack(replies[b])
+        n[order[bounds[i] : bounds[i + 1]]] = x["n"]
+        cls[order[bounds[i] : bounds[i + 1]]] = x["cls"]
+    return n, cls
+
+
+def _ask_again(buckets: int):
+    def apply(key: tuple, blocks: pa.Table, told: pa.Table) -> pa.Table:
+        if not blocks.num_rows:
+            return _ASK_SCHEMA.empty_table()
+        c = Coded(blocks.column("payload")[0].as_py())
+        return pa.Table.from_batches([_neighbours(c, _told(c, told, buckets)[1], key[0].as_py(), buckets)])
+
+    return apply
+
+
+_PAIR_SCHEMA = pa.schema([("pair", pa.int64()), ("n", pa.int64())])
+
+
+def _class_bigrams(buckets: int):
+    def apply(key: tuple, blocks: pa.Table, told: pa.Table) -> pa.Table:
+        if not blocks.num_rows:
+            return _PAIR_SCHEMA.empty_table()
+        c = Coded(blocks.column("payload")[0].as_py())
+        cls = _told(c, told, buckets)[1]
+        total = np.bincount((c.before(cls) * K + cls[c.tokens])[c.taught], minlength=K * K)
+        used = np.flatnonzero(total)
+        return pa.Table.from_arrays([pa.array(used), pa.array(total[used])], schema=_PAIR_SCHEMA)
 
     return apply
 
@@ -236,31 +302,40 @@ _TOLD_SCHEMA = pa.schema(
 )
 
 
-def _tell(seeds: np.ndarray, seed_class: np.ndarray, m: np.ndarray):
-    """One bucket: total counts, and the class of each word that fits its neighbours best."""
+def moved(m: np.ndarray, of: np.ndarray, n: np.ndarray, itself: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """The best class of each word, given the classes around its tokens, before it and after it."""
     smooth = m + 0.1
-    size = np.maximum(smooth[:, :CLASSES].sum(axis=0), 1.0)
-    by_prev = np.log(smooth[:, :CLASSES] / size)  # class before -> class
-    by_after = np.log(smooth[:CLASSES, :].T / size)  # class after -> class
+    size = smooth[:, :CLASSES].sum(axis=0)
+    out = (before @ np.log(smooth[:, :CLASSES] / size) + after @ np.log(smooth[:CLASSES, :].T / size)).argmax(axis=1)
+    often = np.flatnonzero(n >= EXACT_FROM)
+    for at in range(0, len(often), 1024):
+        w = often[at : at + 1024]
+        right, left, s, a = after[w].astype(np.float64), before[w].astype(np.float64), itself[w].astype(np.float64), of[w]
+        own = np.arange(len(w))
+        right[own, a] -= s
+        left[own, a] -= s
+        gain = gains(m, right, left, s, a)
+        best = gain[:, :CLASSES].argmax(axis=1)
+        stay = (a < CLASSES) & (gain[own, best] <= gain[own, a] + 1e-9)
+        out[w] = np.where(stay, a, best)
+    return out
+
+
+def _tell(m: np.ndarray):
+    """One bucket: total counts, and the class that each word moves to."""
 
     def apply(key: tuple, table: pa.Table) -> pa.Table:
         asked = [unpack(p) for p in table.column("packed").to_pylist()]
         keys, at = np.unique(np.concatenate([a["keys"] for a in asked]), return_inverse=True)
-        n = np.bincount(at, np.concatenate([a["n"] for a in asked]).astype(np.float64), len(keys)).astype(np.int64)
-        fit = np.zeros((len(keys), CLASSES))
-        lo = 0
-        for a in asked:
-            own = at[lo : lo + len(a["keys"])]
-            lo += len(own)
-            for name, weight in (("prev", by_prev), ("after", by_after)):
-                pairs, side, count = a[name]
-                word = np.repeat(own, pairs)
-                full = np.bincount(word * K + side, count.astype(np.float64), len(keys) * K).reshape(-1, K)
-                fit += full @ weight
-        cls = fit.argmax(axis=1)
-        if len(seeds):
-            place = np.minimum(np.searchsorted(seeds, keys), len(seeds) - 1)
-            cls = np.where(seeds[place] == keys, seed_class[place], cls)
+        n, itself = (np.bincount(at, np.concatenate([a[f] for a in asked]).astype(np.float64), len(keys)).astype(np.int64) for f in ("n", "self"))
+        of = np.zeros(len(keys), np.int64)
+        of[at] = np.concatenate([a["cls"] for a in asked])
+        sides = []
+        for name in ("prev", "after"):
+            word = np.repeat(at, np.concatenate([a[name][0] for a in asked]))
+            side, count = (np.concatenate([a[name][i] for a in asked]) for i in (1, 2))
+            sides.append(np.bincount(word * K + side, count.astype(np.float64), len(keys) * K).astype(np.float32).reshape(-1, K))
+        cls = moved(m, of, n, itself, *sides)
         cls = np.where(keys == END_KEY, END, np.where(n == 0, OTHER, cls))
         rows, lo = [], 0
         for a in asked:
@@ -284,66 +359,84 @@ def _tell(seeds: np.ndarray, seed_class: np.ndarray, m: np.ndarray):
     return apply
 
 
-_DOC = "doc_id string, held_out boolean, n_tokens long, n_known long, base double, emitted double, steps binary"
+_DOC = "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 _DOC_SCHEMA = pa.schema(
-    [("doc_id", pa.string()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("emitted", pa.float64()), ("steps", pa.binary())]
+    [("doc_id", pa.string()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
 )
 
 
-def _emit(tokens: np.ndarray, words: np.ndarray, once: int, buckets: int):
-    """One block: of each document its counts, base score, emissions, and class transitions."""
-    total, kinds = int(tokens.sum()), int(words.sum())
-    unknown = (once + 0.5) / (total + 1) if kinds else 1.0
-    floor = total + 0.5 * (kinds + 1)
+class Model:
+    """Counts by class: tokens, words and class bigrams; of unknown words the probability."""
+
+    def __init__(self, tokens: np.ndarray, words: np.ndarray, once: int, steps: np.ndarray):
+        self.tokens, self.words, self.total = tokens, words, int(tokens.sum())
+        self.unknown = (once + 0.5) / (self.total + 1) if words.sum() else 1.0
+        self.floor = self.total + 0.5 * (int(words.sum()) + 1)
+        share = tokens / max(1.0, tokens.sum())
+        self.step = (steps + PULL * share) / (steps.sum(axis=1, keepdims=True) + PULL)
+
+    def emission(self, n: np.ndarray, cls: np.ndarray) -> np.ndarray:
+        """log10 of the probability of words in their classes; of unknown ones, of an unknown word."""
+        size = np.maximum(self.tokens + 0.5 * self.words, 0.5)
+        known = np.log10((n + 0.5) / size[cls]) + math.log10(max(1 - self.unknown, 1e-300))
+        return np.where(n > 0, known, math.log10(self.unknown))
+
+
+def _score(model: Model, buckets: int):
+    with np.errstate(divide="ignore"):
+        log_step = np.log10(model.step)
+    log_step = np.where(np.isfinite(log_step), log_step, 0.0).ravel()  # classes without words are never reached
 
     def apply(key: tuple, blocks: pa.Table, told: pa.Table) -> pa.Table:
         if not blocks.num_rows:
             return _DOC_SCHEMA.empty_table()
         c = Coded(blocks.column("payload")[0].as_py())
-        order, numbers, bounds = bucket_order(c.keys, buckets)
-        replies = dict(zip(told.column("bucket").to_pylist(), told.column("packed").to_pylist(), strict=True))
-        n, cls = np.zeros(len(c.keys)), np.full(len(c.keys), OTHER, np.int64)
-        for i, b in enumerate(numbers.tolist()):
-            x = unpack(replies[b])
-            n[order[bounds[i] : bounds[i + 1]]] = x["n"]
-            cls[order[bounds[i] : bounds[i + 1]]] = x["cls"]
-        base = np.log10((n + 0.5) / floor)
-        with np.errstate(divide="ignore"):
-            emission = np.log10((n + 0.5) / (tokens + 0.5 * words)[cls]) + math.log10(max(1 - unknown, 1e-300))
-        emission = np.where(n > 0, emission, math.log10(unknown))
+        n, cls = _told(c, told, buckets)
+        base, emission = np.log10((n + 0.5) / model.floor), model.emission(n, cls)
         starts = np.concatenate([[0], np.cumsum(c.lengths)[:-1]])
         known = (n > 0)[c.tokens]
-        code = c.before(cls) * K + cls[c.tokens]
-        sums = [np.add.reduceat(x, starts) for x in (known.astype(np.int64), base[c.tokens], emission[c.tokens])]
-        steps = []
-        for s, length in zip(starts.tolist(), c.lengths.tolist(), strict=True):
-            own = code[s : s + length][known[s : s + length]]
-            pair, count = np.unique(own, return_counts=True)
-            steps.append(pair.astype("<u2").tobytes() + count.astype("<u4").tobytes())
+        score = emission[c.tokens] + np.where(known, log_step[c.before(cls) * K + cls[c.tokens]], 0.0)
+        sums = [np.add.reduceat(x, starts) for x in (known.astype(np.int64), base[c.tokens], score)]
         return pa.Table.from_arrays(
-            [
-                pa.array(c.ids, pa.string()), pa.array(c.held), pa.array(c.lengths, pa.int64()),
-                pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2]), pa.array(steps, pa.binary()),
-            ],
-            schema=_DOC_SCHEMA,
-        )
+            [pa.array(c.ids, pa.string()), pa.array(c.held), pa.array(c.lengths, pa.int64()), *map(pa.array, sums)], schema=_DOC_SCHEMA
+        )
 
     return apply
 
 
-def _steps(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(raw) // 6
-    return np.frombuffer(raw[: 2 * n], "<u2").astype(np.int64), np.frombuffer(raw[2 * n :], "<u4")
+def _matrix(pairs: DataFrame, width: int) -> np.ndarray:
+    counted = pairs.groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # width squared rows at most
+    out = np.zeros(width * width)
+    out[counted.column("pair").to_numpy()] = counted.column("n").to_numpy()
+    return out.reshape(width, width)
 
 
-def _transitions(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(K * K, np.int64)
-    for b in it:
-        for raw in b.column(0):
-            pair, n = _steps(raw.as_py())
-            np.add.at(total, pair, n)
-    used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["pair", "n"])
+def coded_blocks(docs: DataFrame, held_out: Column, doc_id: str, text: str, size: int) -> DataFrame:
+    """block, payload, top and top_n, dealt by block."""
+    source = docs.select(F.col(f"`{doc_id}`").cast("string").alias("i"), held_out.alias("h"), as_bytes(f"`{text}`").alias("t"))
+    coded = source.mapInArrow(_encode(BLOCK_BYTES), "payload binary, top array<long>, top_n array<long>")
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(size / BLOCK_BYTES))
+    return checkpoint(coded.withColumn("block", F.monotonically_increasing_id()).repartition(parts, "block"))
+
+
+def classes_of(coded: DataFrame, buckets: int) -> tuple[DataFrame, np.ndarray]:
+    """(what buckets tell blocks: counts and classes; class bigram counts of all training text)."""
+    offered = coded.select(F.explode(F.arrays_zip("top", "top_n")).alias("x")).groupBy("x.top").agg(F.sum("x.top_n").alias("n"))
+    chosen = offered.orderBy(F.col("n").desc(), "top").limit(SEEDS).select("top").toArrow().column("top").to_numpy()
+    seeds = np.sort(chosen.astype(np.int64).view(np.uint64)) if len(chosen) else np.zeros(0, np.uint64)
+    bigrams = _matrix(coded.select("payload").mapInArrow(_seed_bigrams(seeds), "pair long, n long"), len(seeds) + 2)
+    seed_class, m = exchange(bigrams)
+    blocks = coded.select("block", "payload")
+    asked, told = blocks.mapInArrow(_first_ask(seeds, seed_class, buckets), _ASK), None
+    for sweep in range(SWEEPS):
+        new = checkpoint(asked.groupBy("bucket").applyInArrow(_tell(m), _TOLD))
+        replies = new.filter("class < 0").select("block", "bucket", "packed")
+        counted = _matrix(blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_class_bigrams(buckets), "pair long, n long"), K)
+        if sweep and likelihood(counted) <= likelihood(m):
+            break
+        told, m = new, counted
+        asked = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_ask_again(buckets), _ASK)
+    return told, m
 
 
 def score_texts(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -352,55 +445,19 @@ def score_texts(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text:
     The model learns from the documents for which held_out is false. A null or empty text is its end token alone.
     Every row gives one row and counts once, rows with equal ids too; a null id stays null. Without training documents
     every token is unknown and has probability 1. An empty table gives an empty table; other columns are not read."""
-    spark = docs.sparkSession
     kind = docs.schema[doc_id].dataType
-    raw = as_bytes(f"`{text}`")
-    source = docs.select(F.col(f"`{doc_id}`").cast("string").alias("i"), held_out.alias("h"), raw.alias("t"))
-    coded = checkpoint(
-        source.mapInArrow(_encode(BLOCK_BYTES), "payload binary, top array<long>, top_n array<long>").withColumn(
-            "block", F.monotonically_increasing_id()
-        )
-    )
     size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
     buckets = max(1, math.ceil(size / BUCKET_BYTES))
-    offered = coded.select(F.explode(F.arrays_zip("top", "top_n")).alias("x")).groupBy("x.top").agg(F.sum("x.top_n").alias("n"))
-    chosen = offered.orderBy(F.col("n").desc(), "top").limit(SEEDS).select("top").toArrow().column("top").to_numpy()
-    seeds = np.sort(chosen.astype(np.int64).view(np.uint64)) if len(chosen) else np.zeros(0, np.uint64)
-    pairs = coded.select("payload").mapInArrow(_seed_bigrams(seeds), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    width = len(seeds) + 2
-    bigrams = np.zeros(width * width)
-    bigrams[pairs.column("pair").to_numpy()] = pairs.column("n").to_numpy()
-    seed_class, m = exchange(bigrams.reshape(width, width))
-
-    asked = coded.select("block", "payload").mapInArrow(_ask(seeds, seed_class, buckets), _ASK)
-    told = checkpoint(asked.groupBy("bucket").applyInArrow(_tell(seeds, seed_class, m), _TOLD))
+    coded = coded_blocks(docs, held_out, doc_id, text, size)
+    told, steps = classes_of(coded, buckets)
     stats = told.filter("class >= 0").groupBy("class").agg(F.sum("tokens"), F.sum("words"), F.sum("once")).collect()  # K rows
     tokens, words, once = np.zeros(K), np.zeros(K), 0
     for r in stats:
         tokens[r[0]], words[r[0]] = r[1], r[2]
         once += r[3]
+    model = Model(tokens, words, once, steps)
     replies = told.filter("class < 0").select("block", "bucket", "packed")
-    rows = checkpoint(
-        coded.select("block", "payload").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_emit(tokens, words, once, buckets), _DOC)
-    )
-    counted = rows.filter(~F.col("held_out")).select("steps").mapInArrow(_transitions, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    steps = np.zeros(K * K)
-    steps[counted.column("pair").to_numpy()] = counted.column("n").to_numpy()
-    steps = steps.reshape(K, K)
-    share = tokens / max(1.0, tokens.sum())
-    with np.errstate(divide="ignore"):
-        log_step = np.log10((steps + PULL * share) / (steps.sum(axis=1, keepdims=True) + PULL)).ravel()
-    log_step = np.where(np.isfinite(log_step), log_step, 0.0)
-
-    def finish(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            out = []
-            for raw_steps in b.column(6):
-                pair, n = _steps(raw_steps.as_py())
-                out.append(float(log_step[pair] @ n))
-            total = pa.array(np.array(out) + b.column(5).to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], total], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
-
-    return rows.mapInArrow(finish, "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double").select(
-        F.col("doc_id").cast(kind), "held_out", "n_tokens", "n_known", F.lit(int(tokens.sum())).cast("long").alias("train_tokens"), "base_score", "score"
+    rows = coded.select("block", "payload").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_score(model, buckets), _DOC)
+    return rows.select(
+        F.col("doc_id").cast(kind), "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score"
     )

@@ -45,18 +45,68 @@ def test_language_model_counts_and_base_scores(spark, monkeypatch):
     assert class_lm.score_texts(empty(spark), quality.held_out("doc_id", 5, 1)).count() == 0
 
 
-def test_scores_are_probabilities_of_next_words(spark):
-    """Over all known words and the unknown one, the probabilities after a given word sum to 1."""
+def test_scores_are_probabilities_and_equal_brute_force(spark, monkeypatch):
+    """After every class the probabilities of all known words, the end and the unknown word sum to 1; scores are their
+    products, counted by hand from the classes."""
+    monkeypatch.setattr(class_lm, "BLOCK_BYTES", 1500)
+    monkeypatch.setattr(class_lm, "SEEDS", 8)  # the rest gets classes by the sweeps alone
     rng = random.Random(9)
-    words = [f"w{i}" for i in range(12)]
-    train = [(i, " ".join(rng.choice(words) for _ in range(30))) for i in range(40)]
-    probe = [(1000 + i, w) for i, w in enumerate([*words, "unseen", ""])]
+    words = [f"w{i}" for i in range(40)]
+    train = [(i, " ".join(rng.choice(words[(i % 2) * 20 :][:20]) for _ in range(30))) for i in range(60)]
+    probe = [(1000, "w1 unseen w2 w2"), (1001, ""), (1002, None), (1003, "unseen other"), (1004, "w39")]
     docs = spark.createDataFrame(train + probe, "doc_id long, text string")
-    got = {r.doc_id: r.score for r in class_lm.score_texts(docs, F.col("doc_id") >= 1000).collect()}
-    # a one-word text is P(word | start) * P(end | word); the empty text is P(end | start)
-    from_start = 10 ** got[1000 + len(words) + 1]
-    assert 0 < from_start < 1
-    assert sum(10 ** got[1000 + i] for i in range(len(words) + 1)) < 1
+    held = F.col("doc_id") >= 1000
+    coded = class_lm.coded_blocks(docs, held, "doc_id", "text", 4000)
+    told, m = class_lm.classes_of(coded, 3)
+    of = {class_lm.END_KEY: class_lm.END}
+    for row in coded.collect():
+        c = class_lm.Coded(row.payload)
+        n, cls = class_lm._told(c, told.filter((F.col("class") < 0) & (F.col("block") == row.block)).select("bucket", "packed").toArrow(), 3)
+        of |= dict(zip(c.keys.tolist(), np.where(n > 0, cls, class_lm.OTHER).tolist(), strict=True))
+    kind = lambda w: of.get(class_lm.xxhash.xxh64_intdigest(w) if w else 0, class_lm.OTHER)
+    tokens = {i: [*(t or "").lower().encode().split(), b""] for i, t in train + probe}
+    count = Counter(w for i, _ in train for w in tokens[i])
+    steps = Counter((kind(a), kind(b)) for i, _ in train for a, b in zip([b"", *tokens[i]], tokens[i], strict=False))
+    assert {(int(a), int(b)): int(m[a, b]) for a, b in zip(*np.nonzero(m), strict=True)} == dict(steps)
+    assert all(kind(w) < class_lm.CLASSES for w in count if w)
+    total, once = sum(count.values()), sum(n == 1 for n in count.values())
+    size, kinds = Counter(), Counter(map(kind, count))
+    for w, n in count.items():
+        size[kind(w)] += n
+    unknown = (once + 0.5) / (total + 1)
+
+    def p(before, w):
+        if w not in count:
+            return unknown
+        b = kind(w)
+        row = sum(n for (x, _), n in steps.items() if x == before)
+        step = (steps[before, b] + class_lm.PULL * size[b] / total) / (row + class_lm.PULL)
+        return (1 - unknown) * step * (count[w] + 0.5) / (size[b] + 0.5 * kinds[b])
+
+    for before in range(class_lm.K):
+        assert sum(p(before, w) for w in count) + unknown == pytest.approx(1, abs=1e-9)
+    want = {i: sum(math.log10(p(kind(a), b)) for a, b in zip([b"", *t], t, strict=False)) for i, t in tokens.items()}
+    got = {r.doc_id: r.score for r in class_lm.score_texts(docs, held).collect()}
+    assert got == pytest.approx(want, abs=1e-6)
+
+
+def test_gains_equal_the_difference_of_likelihoods():
+    rng = np.random.default_rng(5)
+    b, of = rng.poisson(1.0, (9, 9)).astype(float), np.array([0, 1, 2, 0, 1, 2, 0, 3, 4])
+
+    def whole(classes):
+        member = np.zeros((9, 5))
+        member[np.arange(9), classes] = 1
+        return member.T @ b @ member
+
+    for w in range(7):
+        member = np.zeros((9, 5))
+        member[np.arange(9), of] = 1
+        member[w] = 0
+        gain = class_lm.gains(whole(of), (b[w] @ member)[None], (b[:, w] @ member)[None], np.array([b[w, w]]), of[w : w + 1])[0]
+        for c in range(3):
+            moved = np.where(np.arange(9) == w, c, of)
+            assert gain[c] - gain[of[w]] == pytest.approx(class_lm.likelihood(whole(moved)) - class_lm.likelihood(whole(of)), abs=1e-6)
 
 
 def test_exchange_raises_the_likelihood_and_finds_groups():
