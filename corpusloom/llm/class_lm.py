@@ -1,7 +1,7 @@
 """Brown class-based n-gram language model over all training documents.
 
 1. Documents are coded once into blocks of about BLOCK_BYTES of text: a block's own vocabulary and its documents as
-   numbers, dealt by block and checkpointed, so that no later step moves them again.
+   numbers, written in buckets of blocks, so that no later step moves them again.
 2. A start: the SEEDS most frequent words get classes by sequential exchange on their bigram counts, which cover all
    training text and fit on the driver (SEEDS squared at most). All other words are one class at first.
 3. Exchange over all words, in sweeps. Blocks send each word's training count and the classes before and after it to the
@@ -28,9 +28,9 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import as_bytes, checkpoint
+from corpusloom.llm.common import as_bytes, bucketed, checkpoint
 
-BLOCK_BYTES, BUCKET_BYTES = 8_000_000, 12_000_000
+BLOCK_BYTES, BUCKET_BYTES = 12_000_000, 12_000_000
 CLASSES, SEEDS, SEED_SWEEPS, SWEEPS = 24, 600, 12, 2
 #: Tokens of a word from which its gains are exact.
 EXACT_FROM = 16
@@ -412,11 +412,11 @@ def _matrix(pairs: DataFrame, width: int) -> np.ndarray:
 
 
 def coded_blocks(docs: DataFrame, held_out: Column, doc_id: str, text: str, size: int) -> DataFrame:
-    """block, payload, top and top_n, dealt by block."""
+    """block, payload, top and top_n, written in buckets of block."""
     source = docs.select(F.col(f"`{doc_id}`").cast("string").alias("i"), held_out.alias("h"), as_bytes(f"`{text}`").alias("t"))
     coded = source.mapInArrow(_encode(BLOCK_BYTES), "payload binary, top array<long>, top_n array<long>")
-    parts = max(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(size / BLOCK_BYTES))
-    return checkpoint(coded.withColumn("block", F.monotonically_increasing_id()).repartition(parts, "block"))
+    parts = min(100_000, max(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(size / BLOCK_BYTES)))
+    return bucketed(coded.withColumn("block", F.monotonically_increasing_id()), parts, "block")
 
 
 def classes_of(coded: DataFrame, buckets: int) -> tuple[DataFrame, np.ndarray]:

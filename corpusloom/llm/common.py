@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.storage import checkpoint, new_path, shared_folder
 
-__all__ = ["as_bytes", "binary_column", "carried", "checkpoint", "connected_components", "mix64", "new_path", "shared_folder", "SPACE", "WORD"]
+__all__ = ["as_bytes", "binary_column", "bucketed", "carried", "checkpoint", "connected_components", "mix64", "new_path", "shared_folder", "SPACE", "WORD"]
 
 #: Characters between words, and at the ends of a line key.
 SPACE = b"\x20\t\n\x0b\x0c\r"
@@ -24,6 +24,19 @@ def carried(docs: DataFrame, *outputs: str) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in taken]).alias("row")
 
 
+def bucketed(df: DataFrame, buckets: int, key: str) -> DataFrame:
+    """df, written once to the shared folder in buckets of key, so that grouping by key moves none of it again.
+
+    Spark writes buckets only through its catalog; the entry goes again, the files stay."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, "bucketed")
+    name = "bucketed_" + path.rsplit("-", 1)[-1]
+    df.write.bucketBy(buckets, key).option("path", path).saveAsTable(name)
+    held = spark.table(name)
+    held.schema  # noqa: B018  resolves the table while the catalog has it
+    spark.sql(f"DROP TABLE {name}")
+    return held
+
+
 def as_bytes(text: Column | str) -> Column:
     """UTF-8 bytes of a text; null is empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("binary")
