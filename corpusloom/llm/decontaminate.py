@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
 
-from corpusloom.llm.common import as_bytes, binary_column, mix64
+from corpusloom.llm.common import as_bytes, binary_column, carried, mix64
 
 WINDOW, K = 13, 5
 #: Of benchmark text; the index takes about 20 times as much.
@@ -179,9 +180,6 @@ def hits(raw: np.ndarray, index: ItemIndex) -> tuple[int, int, list[str]]:
     return n, 0 if hit is None else int(hit.sum()), sorted(found)
 
 
-_RESULT = "_n_words long, _n_hit long, _items array<string>"
-
-
 def _results(rows: list[tuple[int, int, list[str]]]) -> list[pa.Array]:
     return [
         pa.array([r[0] for r in rows], pa.int64()),
@@ -190,8 +188,8 @@ def _results(rows: list[tuple[int, int, list[str]]]) -> list[pa.Array]:
     ]
 
 
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+#: Parts that a fingerprint is dealt to where it is joined, since one passage may be in many documents.
+SALT = 16
 
 
 def find_contamination(
@@ -207,13 +205,13 @@ def find_contamination(
 
     Null and empty texts have no words and no hits; items with no words have no window; items with a null id take
     part as the id "null". Equal items count once per id. Every row of docs gives one row, repeated rows too. Empty
-    tables on either side give rows without hits, or no rows. Other columns pass through, whatever their names."""
-    spark, names = docs.sparkSession, docs.columns
-    schema = f"{_ddl(docs)}, {_RESULT}"
-    new = ["_n_words", "_n_hit", "_items"]
-    held = docs.select(*[F.col(f"`{c}`") for c in names], as_bytes(f"`{text}`").alias("_bytes"))
+    tables on either side give rows without hits, or no rows. Other columns pass through, whatever their names; one
+    named like an output is replaced by it."""
+    spark, new = docs.sparkSession, ["_n_words", "_n_hit", "_items"]
+    held = docs.select(carried(docs, *new), as_bytes(f"`{text}`").alias("bytes"))
+    schema = StructType([held.schema["row"]]).add(new[0], "long").add(new[1], "long").add(new[2], ArrayType(StringType()))
     test = items.select(
-        F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("item"), as_bytes(item_text).alias("words")
+        F.coalesce(F.col(f"`{item_id}`").cast("string"), F.lit("null")).alias("item"), as_bytes(f"`{item_text}`").alias("words")
     ).distinct()
     size = test.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     if size <= broadcast_bytes:
@@ -222,36 +220,35 @@ def find_contamination(
 
         def apply(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in it:
-                raw, at = binary_column(b.column(b.num_columns - 1))
+                raw, at = binary_column(b.column(1))
                 rows = [hits(raw[at[i] : at[i + 1]], sent.value) for i in range(b.num_rows)]
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], *_results(rows)], [*names, *new])
+                yield pa.RecordBatch.from_arrays([b.column(0), *_results(rows)], ["row", *new])
 
-        return held.mapInArrow(apply, schema)
+        return held.mapInArrow(apply, schema).select("row.*", *new)
 
     # beyond the bound: fingerprints joined by a shuffle, and hits extended against the joined items only
-    key = [F.xxhash64("_bytes").alias("_h"), F.octet_length("_bytes").alias("_l")]
-    sizes = list(range(1, WINDOW + 1))
+    key = [F.xxhash64("bytes").alias("hash"), F.octet_length("bytes").alias("length")]
 
     def item_prints(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             rows = []
             for item, words in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 for n, found in ItemIndex([(item, words)]).prints.items():
-                    rows += [(x, n, item, words) for x in found.astype(np.int64).tolist()]
+                    rows += [(x, n, item) for x in found.astype(np.int64).tolist()]
             yield pa.RecordBatch.from_pylist(
-                [dict(zip(("p", "n", "item", "words"), r, strict=True)) for r in rows],
-                pa.schema([("p", pa.int64()), ("n", pa.int32()), ("item", pa.string()), ("words", pa.binary())]),
+                [dict(zip(("p", "n", "item"), r, strict=True)) for r in rows],
+                pa.schema([("p", pa.int64()), ("n", pa.int32()), ("item", pa.string())]),
             )
 
-    prints = test.mapInArrow(item_prints, "p long, n int, item string, words binary")
-    used = [r["n"] for r in prints.select("n").distinct().collect()]  # 13 at most
+    prints = test.mapInArrow(item_prints, "p long, n int, item string")
+    used = sorted(r["n"] for r in prints.select("n").distinct().collect())  # 13 at most
 
     def doc_prints(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             h, ln, p, n = [], [], [], []
             for th, tl, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 hashes = words_of(np.frombuffer(t, np.uint8))[3]
-                for size in (s for s in sizes if s in used):
+                for size in used:
                     own = np.unique(document_prints(hashes, size, K)[0]).astype(np.int64)
                     p += own.tolist()
                     n += [size] * len(own)
@@ -259,34 +256,32 @@ def find_contamination(
                     ln += [tl] * len(own)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(h, pa.int64()), pa.array(ln, pa.int32()), pa.array(p, pa.int64()), pa.array(n, pa.int32())],
-                ["_h", "_l", "p", "n"],
+                ["hash", "length", "p", "n"],
             )
 
+    salted = prints.distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     joined = (
-        held.select(*key, "_bytes")
-        .mapInArrow(doc_prints, "_h long, _l int, p long, n int")
-        .join(prints, ["p", "n"])
-        .select("_h", "_l", "item", "words")
+        held.select(*key, "bytes")
+        .mapInArrow(doc_prints, "hash long, length int, p long, n int")
+        .withColumn("salt", F.pmod("hash", F.lit(SALT)).cast("int"))
+        .join(salted, ["p", "n", "salt"])
+        .select("hash", "length", "item")
         .distinct()
-        .groupBy("_h", "_l")
-        .agg(F.collect_list(F.struct("item", "words")).alias("_joined"))
+        .join(test, "item")
+        .groupBy("hash", "length")
+        .agg(F.collect_list(F.struct("item", "words")).alias("joined"))
     )
 
     def extend(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            raw, at = binary_column(b.column(b.num_columns - 2))
+            raw, at = binary_column(b.column(1))
             rows = []
-            for i, own in enumerate(b.column(b.num_columns - 1).to_pylist()):
+            for i, own in enumerate(b.column(2).to_pylist()):
                 index = ItemIndex([(x["item"], x["words"]) for x in own or []])
                 rows.append(hits(raw[at[i] : at[i + 1]], index))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-2], *_results(rows)], [*names, *new])
+            yield pa.RecordBatch.from_arrays([b.column(0), *_results(rows)], ["row", *new])
 
-    return (
-        held.select("*", *key)
-        .join(joined, ["_h", "_l"], "left")
-        .select(*[f"`{c}`" for c in names], "_bytes", "_joined")
-        .mapInArrow(extend, schema)
-    )
+    return held.select("*", *key).join(joined, ["hash", "length"], "left").select("row", "bytes", "joined").mapInArrow(extend, schema).select("row.*", *new)
 
 
 def items_digest(items: list[str]) -> str:

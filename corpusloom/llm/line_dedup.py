@@ -3,8 +3,8 @@
 A run is a table (key, n), sorted by key: a line key's 64-bit hash, and in how many documents of some batches it
 occurs. Batches add runs at level 0. Once a level holds `fanout` runs they are
 merged into one run of the next level, so a key is rewritten once per level. A new batch is anti-joined with the
-keys that the runs already show to be common: these need no more counting. What a batch adds is
-summed before it is shuffled, so that a line of every document costs one row per task."""
+keys that the runs already show to be common: these need no more counting. Texts are read and hashed once, into a table
+of (batch, key, n) that is summed within each task, so that a line of every document costs one row per task and batch."""
 
 from __future__ import annotations
 
@@ -16,11 +16,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from corpusloom.llm.common import SPACE, as_bytes, new_path
+from corpusloom.llm.common import SPACE, as_bytes, carried, new_path
 
 #: At most so many common keys are sent to all executors (8 bytes each); beyond it they are joined.
 BROADCAST_KEYS = 500_000
+#: Parts that a key is dealt to where it is joined, since one line may be in every document.
+SALT = 16
 
 
 def line_keys(text: bytes) -> list[bytes]:
@@ -34,12 +37,16 @@ def key_hash(key: bytes) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+_COUNTS = "batch int, key long, n long"
+
+
 def _count_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: dict[int, int] = {}
+    """(batch, key, n) from columns batch and text."""
+    seen: dict[tuple[int, int], int] = {}
     for batch in batches:
-        for text in batch.column(0):
+        for number, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             for key in {key_hash(k) for k in line_keys(text.as_py()) if k}:
-                seen[key] = seen.get(key, 0) + 1
+                seen[number, key] = seen.get((number, key), 0) + 1
         if len(seen) > 200_000:
             yield _counted(seen)
             seen = {}
@@ -47,9 +54,10 @@ def _count_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _counted(seen)
 
 
-def _counted(seen: dict[int, int]) -> pa.RecordBatch:
+def _counted(seen: dict[tuple[int, int], int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["key", "n"]
+        [pa.array([b for b, _ in seen], pa.int32()), pa.array([k for _, k in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())],
+        ["batch", "key", "n"],
     )
 
 
@@ -86,11 +94,11 @@ class LineRuns:
 
     def add(self, texts: DataFrame) -> None:
         """Adds one batch: a table with one binary column, the whole texts."""
-        counts = (
-            texts.mapInArrow(_count_lines, "key long, n long")
-            .groupBy("key")
-            .agg(F.sum("n").alias("n"))
-        )
+        self.add_counts(texts.select(F.lit(0).alias("batch"), F.col(texts.columns[0]).alias("text")).mapInArrow(_count_lines, _COUNTS))
+
+    def add_counts(self, counts: DataFrame) -> None:
+        """Adds one batch: keys, and in how many documents of it they are; a key may have several rows."""
+        counts = counts.groupBy("key").agg(F.sum("n").alias("n"))
         known = self.common()
         if known is not None:
             counts = counts.join(known, "key", "left_anti")
@@ -106,10 +114,13 @@ class LineRuns:
 
 def line_runs(docs: DataFrame, text: str = "text", batch_key: str = "doc_id", min_docs: int = 10, batches: int = 4) -> LineRuns:
     """Runs over all of docs, added in batches dealt by a hash of batch_key."""
-    runs = LineRuns(docs.sparkSession, min_docs)
+    spark = docs.sparkSession
+    runs, at = LineRuns(spark, min_docs), new_path(spark, "line-hashes")
+    batch = F.pmod(F.xxhash64(F.col(f"`{batch_key}`")), F.lit(batches)).cast("int").alias("batch")
+    docs.select(batch, as_bytes(f"`{text}`").alias("text")).mapInArrow(_count_lines, _COUNTS).write.partitionBy("batch").parquet(at)
+    hashed = spark.read.schema("key long, n long, batch int").parquet(at)
     for b in range(batches):
-        part = docs.filter(F.pmod(F.xxhash64(batch_key), F.lit(batches)) == b)
-        runs.add(part.select(as_bytes(text).alias("text")))
+        runs.add_counts(hashed.filter(F.col("batch") == b))
     return runs
 
 
@@ -149,27 +160,26 @@ def dedup_lines(
 
     A line is common if its key (stripped, A-Z lower-cased) is not empty and at least min_docs rows hold it;
     it goes from every row, the first included. Null and empty texts are one empty line, which stays. Rows with
-    equal ids each count as a document. Other columns pass through, whatever their names; an empty table gives
-    an empty table. A text whose lines all go is empty, with all its lines counted as dropped."""
-    spark = docs.sparkSession
+    equal ids each count as a document. Other columns pass through, whatever their names; one named like an output is
+    replaced by it. An empty table gives an empty table. A text whose lines all go is empty, with all its lines counted
+    as dropped."""
+    spark, new = docs.sparkSession, ["_n_lines", "_n_dropped", "_kept"]
     common = line_runs(docs, text, batch_key, min_docs, batches).common()
-    schema = f"{_ddl(docs)}, {_OUT}"
-    names = docs.columns
-    held = docs.select(*[F.col(f"`{c}`") for c in names], as_bytes(f"`{text}`").alias("_bytes"))
+    held = docs.select(carried(docs, *new), as_bytes(f"`{text}`").alias("bytes"))
+    schema = StructType([held.schema["row"]]).add(new[0], "long").add(new[1], "long").add(new[2], "binary")
     few = common.limit(broadcast_keys + 1).toArrow()
     if few.num_rows <= broadcast_keys:
         sent = spark.sparkContext.broadcast(np.sort(few.column("key").to_numpy()))
 
         def apply(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in it:
-                values = b.column(b.num_columns - 1).to_pylist()
-                new = _dropped(values, [sent.value] * len(values))
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], *new], [*names, "_n_lines", "_n_dropped", "_kept"])
+                values = b.column(1).to_pylist()
+                yield pa.RecordBatch.from_arrays([b.column(0), *_dropped(values, [sent.value] * len(values))], ["row", *new])
 
-        return held.mapInArrow(apply, schema)
+        return held.mapInArrow(apply, schema).select("row.*", *new)
 
     # beyond the bound: the common keys that a text holds are joined to it, by a hash of the text
-    id_of = [F.xxhash64("_bytes").alias("_h"), F.octet_length("_bytes").alias("_l")]
+    id_of = [F.xxhash64("bytes").alias("hash"), F.octet_length("bytes").alias("length")]
 
     def lines_of(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -180,29 +190,26 @@ def dedup_lines(
                 n += [tl] * len(own)
                 key += own
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h, pa.int64()), pa.array(n, pa.int32()), pa.array(key, pa.int64())], ["_h", "_l", "key"]
+                [pa.array(h, pa.int64()), pa.array(n, pa.int32()), pa.array(key, pa.int64())], ["hash", "length", "key"]
             )
 
+    salted = common.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     own = (
-        held.select(*id_of, "_bytes")
-        .mapInArrow(lines_of, "_h long, _l int, key long")
-        .join(common, "key", "left_semi")
-        .groupBy("_h", "_l")
-        .agg(F.collect_set("key").alias("_common"))
+        held.select(*id_of, "bytes")
+        .mapInArrow(lines_of, "hash long, length int, key long")
+        .withColumn("salt", F.pmod("hash", F.lit(SALT)).cast("int"))
+        .join(salted, ["key", "salt"], "left_semi")
+        .groupBy("hash", "length")
+        .agg(F.collect_set("key").alias("common"))
     )
 
     def apply_joined(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            values = b.column(b.num_columns - 2).to_pylist()
-            commons = [np.sort(np.array(c or [], np.int64)) for c in b.column(b.num_columns - 1).to_pylist()]
-            new = _dropped(values, commons)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-2], *new], [*names, "_n_lines", "_n_dropped", "_kept"])
-
-    return held.select("*", *id_of).join(own, ["_h", "_l"], "left").select(*[f"`{c}`" for c in names], "_bytes", "_common").mapInArrow(apply_joined, schema)
-
+            commons = [np.sort(np.array(c or [], np.int64)) for c in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *_dropped(b.column(1).to_pylist(), commons)], ["row", *new])
 
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    joined = held.select("*", *id_of).join(own, ["hash", "length"], "left").select("row", "bytes", "common")
+    return joined.mapInArrow(apply_joined, schema).select("row.*", *new)
 
 
 def kept_digest(kept: bytes) -> str:

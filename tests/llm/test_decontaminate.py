@@ -3,7 +3,7 @@ import re
 import pytest
 
 from corpusloom.llm.decontaminate import find_contamination, winnow
-from tests.llm.fixtures import documents, empty, texts
+from tests.llm.fixtures import CLASHES, clashing, documents, empty, texts
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -65,3 +65,13 @@ def test_winnowing_keeps_a_minimum_of_every_window():
             window = range(i, min(n, i + w))
             least = min(v[j] for j in window)
             assert any(j in picked and v[j] == least for j in window)
+
+
+@pytest.mark.parametrize("limit", [8_000_000, 0])
+def test_names_do_not_clash(spark, limit):
+    docs = clashing(spark)
+    items = spark.createDataFrame([(1, docs.filter("doc_id = 7").first().text[:400])], "`item.id` long, `a.text` string")
+    got = find_contamination(docs, items, item_id="item.id", item_text="a.text", broadcast_bytes=limit)
+    assert set(CLASHES) <= set(got.columns) and len(set(got.columns)) == len(got.columns)
+    assert all(r["a.b"] == 7 and r._bytes == 7 and r._h == 7 for r in got.collect())
+    assert got.filter("doc_id = 7").first()._items == ["1"]

@@ -4,7 +4,7 @@ from collections import Counter
 import pytest
 
 from corpusloom.llm.line_dedup import LineRuns, dedup_lines
-from tests.llm.fixtures import documents, empty
+from tests.llm.fixtures import CLASHES, clashing, documents, empty
 
 STRIP = " \t\n\x0b\x0c\r"
 
@@ -44,3 +44,12 @@ def test_runs_are_compacted_and_keep_their_counts(spark):
     assert runs.common().count() == 1
     total = {r.n for r in runs.merged().collect()}
     assert max(total) >= 3 and min(total) == 1
+
+
+@pytest.mark.parametrize("limit", [1000, 0])
+def test_names_do_not_clash(spark, limit):
+    docs = clashing(spark)
+    got = dedup_lines(docs, broadcast_keys=limit)
+    assert set(CLASHES) <= set(got.columns) and len(set(got.columns)) == len(got.columns)
+    assert all(r["a.b"] == 7 and r._bytes == 7 and r._common == 7 for r in got.collect())
+    assert got.agg({"_n_dropped": "max"}).first()[0] > 0
