@@ -4,13 +4,13 @@ A fingerprint has eight bytes. Two that differ in at most four bits differ in at
 least four positional bytes: (position, value) pairs. Lists of single positional bytes hold 1/256 of all fingerprints
 each, and pairs counted straight from them would grow with the square of the input. The index therefore holds the
 lists intersected four at a time: a posting is a choice of four positions with their values, and two fingerprints meet
-in a posting exactly if their tally of shared positional bytes reaches the guaranteed minimum of four. Pairs that
-meet are verified on all 64 bits.
+in a posting exactly if their tally of shared positional bytes reaches the guaranteed minimum of four. In a posting the
+tally of each pair is taken, pairs below the minimum are left out, and the rest are verified on all 64 bits.
 
-Equal fingerprints are one entry. Of the pairs in one posting only a spanning forest of the verified links leaves its
-task. A posting with more than POSTING entries is not paired: its entries have 32 bits left, two of them are within
-four bits exactly if the balls of radius two around them meet, and so each is linked to the 529 centres of its ball by
-a grouped minimum, which spreads over all tasks and grows in proportion. Components come from repeated joins."""
+A posting with more than POSTING entries is indexed once more in the same way, on the eight half bytes of the four bytes that
+are still open: at most four of them differ, so at least four are shared. Such a posting has 16 bits left and thus no
+more than 65,536 entries. Equal fingerprints are one entry. Of the pairs in one posting only a spanning forest of the
+verified links leaves its task. Components come from repeated joins."""
 
 from __future__ import annotations
 
@@ -26,10 +26,13 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import as_bytes, checkpoint, connected_components
 
 SEED, SHINGLE, BITS, MAX_BITS = 42, 4, 64, 4
-#: Entries of a posting that are compared in one task; larger postings go by their balls.
+#: Entries of a posting that are compared at once; larger postings are indexed by half bytes first.
 POSTING = 8192
-#: The choices of four byte positions; their order numbers the postings.
+#: The choices of four of eight positions; their order numbers the postings.
 CHOICES = list(combinations(range(8), BITS // 8 - MAX_BITS))
+LEAST_TALLY = BITS // 8 - MAX_BITS
+#: A fingerprint with more than this share of the rows is hot; there are fewer than its inverse.
+HOT = 1000
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -67,45 +70,56 @@ def with_fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGL
     return held.mapInArrow(apply, f"{schema}, _fp long" if schema else "_fp long")
 
 
-def _masks() -> np.ndarray:
-    return np.array([sum(0xFF << (8 * p) for p in c) for c in CHOICES], np.uint64)
+def _masks() -> list[int]:
+    """Per posting number the bits that it fixes: first the choices of four bytes, then of each of these the choices of
+    four half bytes of the open bytes."""
+    whole = [sum(0xFF << (8 * p) for p in c) for c in CHOICES]
+    halves = []
+    for mask in whole:
+        open_halves = [i for i in range(16) if not mask >> (4 * i) & 1]
+        halves += [mask | sum(0xF << (4 * open_halves[p]) for p in c) for c in CHOICES]
+    return whole + halves
+
+
+MASKS = np.array(_masks(), np.uint64)
 
 
 def _postings(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    masks = _masks()
+    """(choice, fp) for every posting of fp; of (fp, choice) for every posting of half bytes within that choice."""
+    n = len(CHOICES)
     for b in it:
-        prints = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+        prints = b.column(0).to_numpy(zero_copy_only=False)
+        first = (b.column(1).to_numpy(zero_copy_only=False).astype(np.int32) + 1) * n if b.num_columns > 1 else np.zeros(len(prints), np.int32)
         for at in range(0, len(prints), 4096):
             part = prints[at : at + 4096]
-            keys = (part[:, None] & masks[None, :]).ravel()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.tile(np.arange(len(masks), dtype=np.int8), len(part))),
-                    pa.array(keys.view(np.int64)),
-                    pa.array(np.repeat(part, len(masks)).view(np.int64)),
-                ],
-                ["choice", "key", "fp"],
-            )
+            choice = first[at : at + 4096, None] + np.arange(n, dtype=np.int32)[None, :]
+            yield pa.RecordBatch.from_arrays([pa.array(choice.ravel()), pa.array(np.repeat(part, n))], ["choice", "fp"])
+
+
+def tally(prints: np.ndarray, one: np.uint64) -> np.ndarray:
+    """How many positional bytes each fingerprint shares with one."""
+    return ((prints ^ one).view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
 
 
 def forest(prints: np.ndarray, bits: int = MAX_BITS) -> list[tuple[int, int]]:
-    """Links of a spanning forest of the distinct fingerprints within some bits of each other."""
+    """Links of a spanning forest of the distinct fingerprints that share enough bytes and differ in few bits."""
     rest, out = prints, []
     while len(rest):
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
             one = queue.pop()
-            near = np.bitwise_count(rest ^ one) <= bits
-            if near.any():
+            near = np.flatnonzero(tally(rest, one) >= LEAST_TALLY)
+            near = near[np.bitwise_count(rest[near] ^ one) <= bits]
+            if len(near):
                 found = rest[near]
                 out += [(int(one), int(x)) for x in found]
                 queue += list(found)
-                rest = rest[~near]
+                rest = np.delete(rest, near)
     return out
 
 
-def _pairs(posting: int):
-    """Links within sorted postings, as (a, b, -1, 0); rows of too large postings as (fp, null, choice, key)."""
+def _pairs(posting: int | None):
+    """Links within sorted postings, as (a, b, -1); entries of too large postings as (fp, null, choice)."""
 
     def apply(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, key, large = [], None, False  # of the posting that may go on in the next batch
@@ -115,8 +129,9 @@ def _pairs(posting: int):
 
         seen: set[tuple[int, int]] = set()
         for b in it:
-            choice, keys = b.column(0).to_numpy(), b.column(1).to_numpy()
-            prints = b.column(2).to_numpy().view(np.uint64)
+            choice = b.column(0).to_numpy()
+            prints = b.column(1).to_numpy().view(np.uint64)
+            keys = prints & MASKS[choice]
             links, spill = [], []
             cut = np.flatnonzero((keys[1:] != keys[:-1]) | (choice[1:] != choice[:-1])) + 1
             bounds = np.concatenate([[0], cut, [len(keys)]])
@@ -130,9 +145,9 @@ def _pairs(posting: int):
                     links += flush()
                     held, key, large = [], own, False
                 held.append(prints[lo:hi])
-                if large or sum(map(len, held)) > posting:
+                if posting is not None and (large or sum(map(len, held)) > posting):
                     large = True
-                    spill += [(own, held)]
+                    spill += [(own[0], held)]
                     held = []
             seen_now = [x for x in dict.fromkeys(links) if x not in seen]
             if len(seen) < 200_000:
@@ -144,66 +159,37 @@ def _pairs(posting: int):
 
 
 def _out(links: list, spill: list) -> Iterator[pa.RecordBatch]:
-    names = ["a", "b", "choice", "key"]
+    names = ["a", "b", "choice"]
     if links:
         ends = np.array(links, np.uint64).view(np.int64)
-        n = len(ends)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ends[:, 0]), pa.array(ends[:, 1]), pa.array(np.full(n, -1, np.int8)), pa.array(np.zeros(n, np.int64))],
-            names,
-        )
-    for (choice, key), parts in spill:
+        yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1]), pa.array(np.full(len(ends), -1, np.int32))], names)
+    for choice, parts in spill:
         prints = np.concatenate(parts).view(np.int64)
         n = len(prints)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(prints), pa.nulls(n, pa.int64()), pa.array(np.full(n, choice, np.int8)), pa.array(np.full(n, key, np.int64))],
-            names,
-        )
-
-
-def _balls(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(choice, centre, fp): every value within two bits of fp in the bytes that the choice leaves open."""
-    masks = _masks()
-    flips = {}
-    for c, mask in enumerate(masks):
-        free = [np.uint64(1) << np.uint64(i) for i in range(BITS) if not int(mask) >> i & 1]
-        flips[c] = np.array([0, *free, *[a | b for a, b in combinations(free, 2)]], np.uint64)
-    for b in it:
-        prints, choice = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()
-        for c in np.unique(choice):
-            own = prints[choice == c]
-            for at in range(0, len(own), 64):
-                part = own[at : at + 64]
-                centre = (part[:, None] ^ flips[int(c)][None, :]).ravel()
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(centre), c, np.int8)),
-                        pa.array(centre.view(np.int64)),
-                        pa.array(np.repeat(part, len(flips[int(c)])).view(np.int64)),
-                    ],
-                    ["choice", "centre", "fp"],
-                )
+        yield pa.RecordBatch.from_arrays([pa.array(prints), pa.nulls(n, pa.int64()), pa.array(np.full(n, choice, np.int32))], names)
+
+
+def _met(entries: DataFrame, masks: np.ndarray, posting: int | None) -> DataFrame:
+    """Links and large postings among entries(choice, fp); a posting's key is not shuffled, it follows from both."""
+    fixed = F.element_at(F.array(*[F.lit(int(m)) for m in masks.view(np.int64)]), F.pmod("choice", F.lit(len(masks))) + 1)
+    key = F.col("fp").bitwiseAND(fixed)
+    return checkpoint(
+        entries.repartition("choice", key).sortWithinPartitions("choice", key).mapInArrow(_pairs(posting), "a long, b long, choice int")
+    )
 
 
 def fingerprint_links(prints: DataFrame, posting: int = POSTING) -> DataFrame:
     """Links (a, b) that connect exactly the distinct fingerprints (column _fp) within four bits of each other.
 
     They generate the components of all such pairs; pairs that others connect may be left out."""
-    found = checkpoint(
-        prints.mapInArrow(_postings, "choice byte, key long, fp long")
-        .repartition("choice", "key")
-        .sortWithinPartitions("choice", "key")
-        .mapInArrow(_pairs(posting), "a long, b long, choice byte, key long")
-    )
+    n = len(CHOICES)
+    found = _met(prints.mapInArrow(_postings, "choice int, fp long"), MASKS[:n], posting)
     links = found.filter("choice < 0").select("a", "b")
     large = found.filter("choice >= 0").select(F.col("a").alias("fp"), "choice").distinct()
     if large.isEmpty():
         return links
-    balls = large.mapInArrow(_balls, "choice byte, centre long, fp long")
-    centres = balls.groupBy("choice", "centre").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return links.unionByName(
-        balls.join(centres, ["choice", "centre"]).filter("fp <> a").select("a", F.col("fp").alias("b")).distinct()
-    )
+    halves = large.mapInArrow(_postings, "choice int, fp long")
+    return links.unionByName(_met(halves, MASKS, None).select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", posting: int = POSTING) -> DataFrame:
@@ -214,7 +200,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Rows with equal ids each give a row. A null id reaches others but is never a component's id, unless no
     document of the component has an id. An empty table gives an empty table; other columns are not read."""
     prints = checkpoint(with_fingerprints(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))))
-    distinct = checkpoint(prints.groupBy("_fp").agg(F.min("doc_id").alias("first_id")))
+    distinct = checkpoint(prints.groupBy("_fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")))
     links = fingerprint_links(distinct.select("_fp"), posting)
     groups = connected_components(links).withColumnRenamed("node", "_fp")
     least = (
@@ -224,5 +210,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         .join(groups, "component")
         .select("_fp", "component_id")
     )
-    chosen = distinct.join(least, "_fp", "left").select("_fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    return prints.join(chosen, "_fp").select("doc_id", "_fp", "component_id")
+    chosen = checkpoint(distinct.join(least, "_fp", "left").select("_fp", "n", F.coalesce("component_id", "first_id").alias("component_id")))
+    rows = prints.count()
+    hot = F.broadcast(chosen.filter(F.col("n") * HOT > rows).select("_fp", "component_id"))  # fewer than HOT rows
+    cold = chosen.filter(F.col("n") * HOT <= rows).select("_fp", "component_id")
+    out = prints.join(hot, "_fp").unionByName(prints.join(hot, "_fp", "left_anti").join(cold, "_fp"))
+    return out.select("doc_id", "_fp", "component_id")

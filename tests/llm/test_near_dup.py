@@ -4,7 +4,7 @@ import xxhash
 
 from corpusloom.llm import near_dup
 from corpusloom.llm.common import connected_components
-from tests.llm.fixtures import documents, empty
+from tests.llm.fixtures import clashing, documents, empty
 
 
 def slow_print(text):
@@ -60,6 +60,20 @@ def test_links_connect_the_same_pairs_as_brute_force(spark, posting):
     assert {n: got.get(n, n) for n in fps} == want
 
 
+def test_tally_counts_shared_positional_bytes():
+    prints = np.array([0, 0x01, 0x0100_0000_0000_0001, 0xFFFF_FFFF_FFFF_FFFF], np.uint64)
+    assert near_dup.tally(prints, np.uint64(0)).tolist() == [8, 7, 6, 0]
+    assert len(near_dup.MASKS) == 70 + 70 * 70 and all(int(m).bit_count() in (32, 48) for m in near_dup.MASKS)
+
+
+def test_hot_fingerprints_and_clashing_names(spark):
+    docs = clashing(spark)
+    copies = spark.createDataFrame([(5000 + i, "same words in every copy here") for i in range(300)], "doc_id long, text string")
+    got = near_dup.near_duplicates(docs.unionByName(copies, allowMissingColumns=True))
+    assert got.filter("component_id = 5000").count() == 300
+    assert got.count() == docs.count() + 300
+
+
 def test_empty_table(spark):
     assert near_dup.near_duplicates(empty(spark)).count() == 0
 
