@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corpusloom.llm.common import as_bytes, checkpoint, connected_components
 
@@ -60,14 +61,14 @@ def with_fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGL
     """docs without its text, with _fp: the fingerprint as a signed long. Null texts have no words."""
     names = [c for c in docs.columns if c != text]
     held = docs.select(*[F.col(f"`{c}`") for c in names], as_bytes(f"`{text}`").alias("_bytes"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema.fields[:-1])
+    schema = StructType(held.schema.fields[:-1]).add("_fp", "long")
 
     def apply(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             prints = np.array([fingerprint(t.as_py(), shingle) for t in b.column(b.num_columns - 1)], np.uint64)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(prints.view(np.int64))], [*names, "_fp"])
 
-    return held.mapInArrow(apply, f"{schema}, _fp long" if schema else "_fp long")
+    return held.mapInArrow(apply, schema)
 
 
 def _masks() -> list[int]:
@@ -193,8 +194,8 @@ def fingerprint_links(prints: DataFrame, posting: int = POSTING) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", posting: int = POSTING) -> DataFrame:
-    """doc_id, _fp (signed long) and component_id: the smallest doc_id reachable over links of fingerprints that
-    differ in four bits or fewer, the document's own included.
+    """doc_id, _fp (signed long), component_id: the smallest doc_id reachable over links of fingerprints that
+    differ in four bits or fewer, the document's own included; and _component, a number of its own for each component.
 
     Texts are whole; null, empty and blank texts have no words and the fingerprint 0, which is linked like any other.
     Rows with equal ids each give a row. A null id reaches others but is never a component's id, unless no
@@ -208,11 +209,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         .groupBy("component")
         .agg(F.min("first_id").alias("component_id"))
         .join(groups, "component")
-        .select("_fp", "component_id")
+        .select("_fp", "component_id", "component")
+    )
+    chosen = checkpoint(
+        distinct.join(least, "_fp", "left").select(
+            "_fp", "n", F.coalesce("component_id", "first_id").alias("component_id"), F.coalesce("component", "_fp").alias("_component")
+        )
     )
-    chosen = checkpoint(distinct.join(least, "_fp", "left").select("_fp", "n", F.coalesce("component_id", "first_id").alias("component_id")))
     rows = prints.count()
-    hot = F.broadcast(chosen.filter(F.col("n") * HOT > rows).select("_fp", "component_id"))  # fewer than HOT rows
-    cold = chosen.filter(F.col("n") * HOT <= rows).select("_fp", "component_id")
+    hot = F.broadcast(chosen.filter(F.col("n") * HOT > rows).drop("n"))  # fewer than HOT rows
+    cold = chosen.filter(F.col("n") * HOT <= rows).drop("n")
     out = prints.join(hot, "_fp").unionByName(prints.join(hot, "_fp", "left_anti").join(cold, "_fp"))
-    return out.select("doc_id", "_fp", "component_id")
+    return out.select("doc_id", "_fp", "component_id", "_component")

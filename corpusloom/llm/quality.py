@@ -6,8 +6,9 @@ turns the pooled values of a chunk into one logit, and the mean, greatest and le
 are combined into one probability. Only text goes in.
 
 Training takes at most TRAIN_ROWS labelled rows of each label (the bound of the sample), chosen by a hash of the id,
-and from each at most TRAIN_CHUNKS chunks spread evenly over its text. It runs on the driver over these bytes (about
-12 MB at most). Scoring runs in Arrow batches over all rows and whole texts."""
+and from each at most TRAIN_CHUNKS chunks spread evenly over its text. The filters are fitted on the driver over these
+bytes (about 12 MB at most). The last step, which combines a document's logits, is fitted on the same rows with all their
+chunks, whose logits the executors compute as in scoring. Scoring runs in Arrow batches over all rows and whole texts."""
 
 from __future__ import annotations
 
@@ -18,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from corpusloom.llm.common import as_bytes, binary_column
+from corpusloom.llm.common import as_bytes, binary_column, carried
 
 CHUNK, KERNEL, STEP, EMBED, FILTERS, HIDDEN = 256, 8, 2, 6, 24, 16
 TRAIN_ROWS, TRAIN_CHUNKS = 2000, 6
@@ -136,34 +138,29 @@ def probability(net: Network, raw: np.ndarray) -> float:
     return float(1 / (1 + np.exp(-z)))
 
 
-def fit(texts: list[list[bytes]], labels: list[int], shares: tuple[float, float] | None = None) -> Network | float:
-    """A network from the chunks of each training row and its label (0 or 1); shares: the labels' shares among all
-    rows, which the probabilities follow. With one label only, that label's constant; without rows, 0.5."""
+def fit(texts: list[list[bytes]], labels: list[int]) -> Network | float:
+    """A network from chunks of each training row and its label (0 or 1), not combined yet. With one label only, that
+    label's constant; without rows, 0.5."""
     if len(set(labels)) < 2:
         return float(labels[0]) if labels else 0.5
     rng = np.random.default_rng(SEED)
-    y_row = np.array(labels, np.float32)
-    have = np.array([np.mean(y_row == 0), np.mean(y_row == 1)])
-    by = np.array(shares if shares else have) / have
     raw = np.frombuffer(b"".join(b for t in texts for b in t), np.uint8).reshape(-1, CHUNK)
     owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-    count = np.bincount(owner)
-    weight = (1 / np.sqrt(count))[owner]
+    weight = (1 / np.sqrt(np.bincount(owner)))[owner]
     weight /= weight.mean()
     net = new_network(rng)
-    train_chunks(net, raw, y_row[owner], weight.astype(np.float32), rng)
-    # combine: logistic regression on the summaries, by Newton steps with a small ridge
-    parts = [
-        (np.ascontiguousarray(columns(raw[a : a + 256], net.embed)) @ net.filters).max(axis=1) for a in range(0, len(raw), 256)
-    ]
-    pooled = np.maximum(np.concatenate(parts) + net.bias, 0)
-    z = np.maximum(pooled @ net.w1 + net.b1, 0) @ net.w2 + net.b2
-    x = np.array([summary(z[owner == i]) for i in range(len(texts))])
+    train_chunks(net, raw, np.array(labels, np.float32)[owner], weight.astype(np.float32), rng)
+    return net
+
+
+def combine(net: Network, x: np.ndarray, y: np.ndarray, shares: tuple[float, float]) -> Network:
+    """The network with weights for summaries x of rows with labels y: logistic regression, by Newton steps with a small
+    ridge. shares: the labels' shares among all rows, which the probabilities follow."""
+    row_weight = (np.array(shares) / np.array([np.mean(y == 0), np.mean(y == 1)]))[y.astype(int)]
     w, pull = np.zeros(4), np.eye(4) * 0.02 * len(x) / 100
-    row_weight = by[y_row.astype(int)]
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (row_weight * (p - y_row)) + pull @ w
+        g = x.T @ (row_weight * (p - y)) + pull @ w
         h = (x * (row_weight * p * (1 - p))[:, None]).T @ x + pull + np.eye(4) * 1e-6
         w -= np.clip(np.linalg.solve(h, g), -2, 2)
     net.top = w.astype(np.float32)
@@ -194,38 +191,48 @@ def train(
             chunks = [b"".join(spread_chunks(t.as_py(), TRAIN_CHUNKS)) for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(chunks, pa.binary())], ["id", "y", "chunks"])
 
-    found = (
+    used = (
         docs.select(F.col(f"`{doc_id}`").alias("_id"), as_bytes(f"`{text}`").alias("_bytes"))
         .join(F.broadcast(chosen), "_id")
         .select(F.col("_id").cast("string"), "_y", "_bytes")
-        .mapInArrow(cut, "id string, y int, chunks binary")
-        .toArrow()
-        .to_pylist()
     )
+    found = used.mapInArrow(cut, "id string, y int, chunks binary").toArrow().to_pylist()
     found.sort(key=lambda r: (r["id"], r["chunks"]))
-    total = sum(counts.values())
-    shares = (counts.get(0, 0) / total, counts.get(1, 0) / total) if total else None
     pieces = [[c[a : a + CHUNK] for a in range(0, len(c), CHUNK)] for c in (r["chunks"] for r in found)]
-    return fit(pieces, [r["y"] for r in found], shares)
+    net = fit(pieces, [r["y"] for r in found])
+    if isinstance(net, float):
+        return net
+    sent = docs.sparkSession.sparkContext.broadcast(net)
+
+    def summaries(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            raw, at = binary_column(b.column(2))
+            x = [summary(chunk_logits(sent.value, raw[at[i] : at[i + 1]])).tolist() for i in range(b.num_rows)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.list_(pa.float64()))], ["id", "y", "x"])
+
+    rows_x = used.mapInArrow(summaries, "id string, y int, x array<double>").toArrow().to_pylist()
+    rows_x.sort(key=lambda r: (r["id"], r["x"]))
+    total = sum(counts.values())
+    shares = (counts.get(0, 0) / total, counts.get(1, 0) / total)
+    return combine(net, np.array([r["x"] for r in rows_x]), np.array([r["y"] for r in rows_x], np.float64), shares)
 
 
 def score(docs: DataFrame, net: Network | float, text: str = "text") -> DataFrame:
     """docs with _score: the probability of label 1.
 
     Null and empty texts are scored as one chunk of padding. Every row gives one row; other columns pass through,
-    whatever their names; an empty table gives an empty table. A constant in place of a network is every row's score."""
-    names = docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    whatever their names, but for one named _score, which is replaced; an empty table gives an empty table. A constant in
+    place of a network is every row's score."""
     sent = docs.sparkSession.sparkContext.broadcast(net)
 
     def apply(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for b in it:
-            raw, at = binary_column(b.column(b.num_columns - 1))
+            raw, at = binary_column(b.column(1))
             scores = [
                 model if isinstance(model, float) else probability(model, raw[at[i] : at[i + 1]]) for i in range(b.num_rows)
             ]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scores, pa.float64())], [*names, "_score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], ["row", "_score"])
 
-    held = docs.select(*[F.col(f"`{c}`") for c in names], as_bytes(f"`{text}`").alias("_bytes"))
-    return held.mapInArrow(apply, f"{schema}, _score double")
+    held = docs.select(carried(docs, "_score"), as_bytes(f"`{text}`").alias("bytes"))
+    return held.mapInArrow(apply, StructType([held.schema["row"]]).add("_score", "double")).select("row.*", "_score")
