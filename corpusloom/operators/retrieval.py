@@ -321,7 +321,10 @@ def format_sources(ranked: DataFrame, scores: tuple[str, ...] = ("score",)) -> D
 
 
 #: Words that do not count in a query.
-STOP_WORDS = "the a an is are was were how what why do does to in for of and or".split()
+STOP_WORDS = (  # fixed values
+    "the", "a", "an", "is", "are", "was", "were", "how", "what", "why", "do", "does", "to", "in", "for", "of", "and",
+    "or",
+)
 
 
 def compress_extractive(query: Column, text: Column, max_sentences: int = 10) -> Column:

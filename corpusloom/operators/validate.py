@@ -34,10 +34,13 @@ CLAIMS = (
     r"you (must|should|need to|have to)", r"it is (required|necessary|mandatory|essential) to", r"the (correct|proper|right|best) way", r"always use",
     r"never use", r"this will (cause|result in|lead to)", r"by default,? (\w+ )*(is|are|will)", r"the (official|recommended|standard) (approach|method|way)",
 )
-COMMON_WORDS = (
-    "the and for are but not you all can had her was one our out has have been will more when who which their said each she how this from they "
-    "with that what were would there about into than them could only other then these also after before some such very just over made your source unknown"
-).split()
+COMMON_WORDS = (  # fixed values
+    "the", "and", "for", "are", "but", "not", "you", "all", "can", "had", "her", "was", "one", "our", "out", "has",
+    "have", "been", "will", "more", "when", "who", "which", "their", "said", "each", "she", "how", "this", "from",
+    "they", "with", "that", "what", "were", "would", "there", "about", "into", "than", "them", "could", "only",
+    "other", "then", "these", "also", "after", "before", "some", "such", "very", "just", "over", "made", "your",
+    "source", "unknown",
+)
 SHORT, LONG = 10, 50_000
 
 _ISSUE = "struct<code:string,message:string,severity:string,position:int,snippet:string>"
