@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
+import math
 import re
 import unicodedata
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,6 +19,10 @@ from pyspark.sql.types import LongType, StringType
 from corpusloom.functions.storage import checkpoint
 
 BITS, THRESHOLD = 64, 0.95
+#: Keys of a value in near_values at most, where the distance allows a choice.
+KEYS = 32
+#: Undecided pairs that one task scans in order; more are cut down in rounds first.
+SCAN = 1_000_000
 
 
 @F.pandas_udf(StringType())
@@ -96,11 +103,22 @@ def bands(value: Column, n: int) -> Column:
     return F.array(*cut)
 
 
+def masks(distance: int) -> list[int]:
+    """Masks of which two values within the distance share the bits of at least one: of distance + m bands m are equal.
+    Three bands of six (distance 3) make keys of 32 bits, so that values that are not near seldom meet."""
+    free = max([m for m in (1, 2, 3) if distance + m <= BITS and math.comb(distance + m, m) <= KEYS], default=1)
+    n = min(distance + free, BITS)
+    edges = [BITS * i // n for i in range(n + 1)]
+    spans = [(1 << edges[i + 1]) - (1 << edges[i]) for i in range(n)]
+    signed = lambda x: x - (1 << BITS) if x >> (BITS - 1) else x
+    return [signed(sum(c)) for c in itertools.combinations(spans, free)]
+
+
 def near_values(values: DataFrame, distance: int) -> DataFrame:
-    """Pairs (a, b) with a < b of distinct values (column simhash) within a distance: some of distance + 1 bands is equal."""
-    n = min(distance + 1, BITS)
-    banded = values.select("simhash", F.explode(bands(F.col("simhash"), n)).alias("b")).select("simhash", "b.no", "b.bits")
-    left, right = banded.withColumnRenamed("simhash", "a"), banded.withColumnRenamed("simhash", "b")
+    """Pairs (a, b) with a < b of distinct values (column simhash) within a distance, found by their equal bands."""
+    cut = [F.struct(F.lit(i).alias("no"), F.col("simhash").bitwiseAND(F.lit(m).cast("long")).alias("bits")) for i, m in enumerate(masks(distance))]
+    keyed = values.select("simhash", F.explode(F.array(*cut)).alias("b")).select("simhash", "b.no", "b.bits")
+    left, right = keyed.withColumnRenamed("simhash", "a"), keyed.withColumnRenamed("simhash", "b")
     met = left.join(right, ["no", "bits"]).filter((F.col("a") < F.col("b")) & (hamming(F.col("a"), F.col("b")) <= distance))
     return met.select("a", "b").distinct()
 
@@ -123,28 +141,41 @@ def near_pairs(df: DataFrame, order: str, threshold: float = THRESHOLD, simhash:
     return out.select(F.least("x", "y").alias("earlier"), F.greatest("x", "y").alias("later"))
 
 
-def fuzzy_dropped(pairs: DataFrame, keep: str = "first", rounds: int = 200) -> DataFrame:
+def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs by later, then earlier row: an earlier row is decided before any pair in which it could make another fall."""
+    fallen = set()
+    for b in batches:
+        new = []
+        for earlier, later in zip(b["earlier"], b["later"], strict=True):
+            if earlier not in fallen and later not in fallen:
+                fallen.add(later)
+                new.append(later)
+        yield pd.DataFrame({"r": pd.Series(new, dtype=b["later"].dtype)})
+
+
+def fuzzy_dropped(pairs: DataFrame, keep: str = "first", scan: int = SCAN) -> DataFrame:
     """Rows (column r) that a scan in order drops: with keep first, those with an earlier similar row that stays; with
     keep last, those with any later similar row.
 
-    keep first runs in rounds: rows without an undecided earlier neighbour stay, their later neighbours fall."""
+    Pairs up to `scan` are scanned in order by one task. While there are more, rounds decide them side by side: rows
+    without an undecided earlier neighbour stay, their later neighbours fall. A round always decides the first row left,
+    so the rounds end by themselves."""
     if keep == "last":
         return pairs.select(F.col("earlier").alias("r")).distinct()
-    open_, dropped = checkpoint(pairs.distinct()), None
-    for _ in range(rounds):
-        if open_.isEmpty():
-            break
+    open_, parts = checkpoint(pairs.distinct()), []
+    while open_.limit(scan + 1).count() > scan:
         stay = open_.select(F.col("earlier").alias("r")).join(open_.select(F.col("later").alias("r")).distinct(), "r", "left_anti").distinct()
         fall = checkpoint(open_.join(stay.withColumnRenamed("r", "earlier"), "earlier", "left_semi").select(F.col("later").alias("r")).distinct())
-        dropped = fall if dropped is None else dropped.unionByName(fall)
+        parts.append(fall)
         open_ = checkpoint(
             open_.join(stay.withColumnRenamed("r", "earlier"), "earlier", "left_anti")
             .join(fall.withColumnRenamed("r", "earlier"), "earlier", "left_anti")
             .join(fall.withColumnRenamed("r", "later"), "later", "left_anti")
         )
-    else:
-        raise RuntimeError(f"not decided in {rounds} rounds")
-    return open_.select(F.col("earlier").alias("r")) if dropped is None else dropped.distinct()
+    dropped = open_.coalesce(1).sortWithinPartitions("later", "earlier").mapInPandas(_scan, f"r {open_.schema['later'].dataType.simpleString()}")
+    for fall in parts:
+        dropped = dropped.unionByName(fall)
+    return dropped.distinct() if parts else dropped
 
 
 def mark_duplicates(df: DataFrame, order: str, text: str = "text", keep: str = "first", threshold: float = THRESHOLD) -> DataFrame:

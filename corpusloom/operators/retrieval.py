@@ -9,11 +9,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions.storage import checkpoint
 from corpusloom.operators.query import expand_abbreviations
 from corpusloom.operators.telemetry import at
 
-#: Queries whose vectors are sent to the executors at a time.
-QUERY_BLOCK = 1024
+#: Queries whose vectors are sent with a task; more are dealt to blocks of about so many, and the corpus to slabs.
+QUERY_BLOCK, SLAB = 1024, 65_536
+#: Rows of a matrix of scores that are held at a time.
+PIECE = 4096
+#: Terms of queries that are broadcast at most, and the parts of a term's rows beyond.
+HELD_TERMS, SALTS = 500_000, 32
 K1, B = 1.2, 0.75
 
 
@@ -46,29 +51,58 @@ def fetch_limit(k: int, min_score: float) -> int:
     return min(3 * k, 100) if min_score > 0 else k
 
 
+def _matrix(vectors: pa.ChunkedArray | pa.Array, n: int) -> np.ndarray:
+    """Unit vectors of n rows."""
+    flat = pa.concat_arrays([c.flatten() for c in vectors.chunks]) if isinstance(vectors, pa.ChunkedArray) else vectors.flatten()
+    m = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+    norms = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(norms > 0, norms, 1)
+
+
+def _best(asked: pa.Array, unit: np.ndarray, b: pa.RecordBatch, most: int) -> pa.RecordBatch:
+    """The rows of a batch (chunk_id, embedding) with the best cosines for each query."""
+    scores = unit @ _matrix(b.column(1), b.num_rows).T
+    # rounded for the cut, with ties kept, so that equal scores don't depend on the batch
+    shown = np.round(scores, 12)
+    if scores.shape[1] > most:
+        bound = np.partition(shown, -most, axis=1)[:, -most]
+        q, c = np.nonzero(shown >= bound[:, None])
+    else:
+        q, c = (x.ravel() for x in np.indices(scores.shape))
+    return pa.RecordBatch.from_arrays([asked.take(pa.array(q)), b.column(0).take(pa.array(c)), pa.array(scores[q, c])], ["query_id", "chunk_id", "score"])
+
+
 def _nearest(ids: list, matrix: np.ndarray, most: int):
     """Per Arrow batch: the best rows for each query of a block, by cosine."""
     unit = matrix / np.where((n := np.linalg.norm(matrix, axis=1, keepdims=True)) > 0, n, 1)
 
     def apply(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            vectors = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
-            norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-            scores = unit @ (vectors / np.where(norms > 0, norms, 1)).T
-            # rounded for the cut, with ties kept, so that equal scores don't depend on the batch
-            shown = np.round(scores, 12)
-            if scores.shape[1] > most:
-                bound = np.partition(shown, -most, axis=1)[:, -most]
-                q, c = np.nonzero(shown >= bound[:, None])
-            else:
-                q, c = (x.ravel() for x in np.indices(scores.shape))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(ids)[q]), b.column(0).take(pa.array(c)), pa.array(scores[q, c])], ["query_id", "chunk_id", "score"]
-            )
+            if b.num_rows:
+                yield _best(pa.array(ids), unit, b, most)
 
     return apply
 
 
+def _dealt(asked: DataFrame, rows: DataFrame, most: int, kinds: str) -> DataFrame:
+    """The best rows for each query, found in cells of one block of queries and one slab of the corpus. A block's queries
+    are sent to each slab and a slab's rows to each block, so a task holds one cell however many queries there are."""
+    blocks, slabs = -(-asked.count() // QUERY_BLOCK), max(1, -(-rows.count() // SLAB))
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    q = asked.select("query_id", "embedding", place("query_id", blocks).alias("_b"), F.explode(F.sequence(F.lit(0), F.lit(slabs - 1))).alias("_s"))
+    c = rows.select("chunk_id", "embedding", place("chunk_id", slabs).alias("_s"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
+
+    def cell(a: pa.Table, b: pa.Table) -> pa.Table:
+        empty = pa.Table.from_arrays([a["query_id"].slice(0, 0), b["chunk_id"].slice(0, 0), pa.array([], pa.float64())], ["query_id", "chunk_id", "score"])
+        if not a.num_rows or not b.num_rows:
+            return empty
+        ids, unit = a["query_id"].combine_chunks(), _matrix(a["embedding"], a.num_rows)
+        pieces = b.select(["chunk_id", "embedding"]).to_batches(max_chunksize=PIECE)
+        return pa.Table.from_batches([_best(ids, unit, p, most) for p in pieces if p.num_rows])
+
+    return q.groupBy("_b", "_s").cogroup(c.groupBy("_b", "_s")).applyInArrow(cell, kinds)
+
+
 def dense_topk(
     queries: DataFrame, corpus: DataFrame, k: int = 5, min_score: float = 0.3, metric: str = "cosine", fetch: int | None = None, **equal: str
 ) -> DataFrame:
@@ -76,31 +110,21 @@ def dense_topk(
     (query_id, embedding) that reach min_score. Equalities filter the corpus first. `fetch` rows are taken before the
     threshold is applied.
 
-    Queries are read in blocks of QUERY_BLOCK and each block's matrix is sent to the tasks that scan the corpus; a
-    task returns its best rows only, and the window that ranks them is limited before its shuffle."""
+    Up to QUERY_BLOCK queries are sent with the tasks that scan the corpus; more stay in Spark and meet the corpus block
+    by slab. A task returns its best rows only, and the window that ranks them is limited before its shuffle."""
     fetch = fetch or fetch_limit(k, min_score)
     for name, value in equal.items():
         corpus = corpus.filter(F.col(name) == value)
     rows = corpus.filter(F.col("embedding").isNotNull()).select("chunk_id", "embedding")
     kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {corpus.schema['chunk_id'].dataType.simpleString()}, score double"
-    parts, block = [], []
-
-    def scan() -> None:
-        matrix = np.array([q[1] for q in block], np.float64)
-        parts.append(rows.mapInArrow(_nearest([q[0] for q in block], matrix, fetch), kinds))
-
-    for q in queries.filter(F.col("embedding").isNotNull()).select("query_id", "embedding").orderBy("query_id").toLocalIterator():
-        block.append(q)
-        if len(block) == QUERY_BLOCK:
-            scan()
-            block = []
-    if block or not parts:
-        if not block:
-            return queries.sparkSession.createDataFrame([], kinds).withColumn("rank", F.lit(1)).select("query_id", "rank", "chunk_id", "score")
-        scan()
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    asked = queries.filter(F.col("embedding").isNotNull()).select("query_id", "embedding")
+    block = asked.limit(QUERY_BLOCK + 1).collect()
+    if not block:
+        return queries.sparkSession.createDataFrame([], kinds).withColumn("rank", F.lit(1)).select("query_id", "rank", "chunk_id", "score")
+    if len(block) <= QUERY_BLOCK:
+        found = rows.mapInArrow(_nearest([q[0] for q in block], np.array([q[1] for q in block], np.float64), fetch), kinds)
+    else:
+        found = _dealt(asked, rows, fetch, kinds)
     order = (F.round("score", 12).desc(), F.col("chunk_id"))
     cut = rank_by(found, *order, most=fetch).withColumn("score", normalize_score(F.col("score"), metric)).filter(F.col("score") >= min_score)
     return rank_by(cut, *order, most=k).select("query_id", "rank", "chunk_id", "score")
@@ -154,10 +178,16 @@ def sparse_encode(texts: DataFrame, key: str, text: str = "text", idf: bool = Fa
 
 def sparse_topk(queries: DataFrame, corpus: DataFrame, k: int = 5) -> DataFrame:
     """queries (query_id, term, weight) against corpus (chunk_id, term, weight): the k highest sums of products over
-    shared terms. Corpus terms that no query has are dropped before the join."""
-    asked = queries.select("query_id", "term", F.col("weight").alias("_q"))
-    held = corpus.join(asked.select("term").distinct(), "term", "left_semi")
-    scored = held.join(asked, "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("weight") * F.col("_q")).alias("score"))
+    shared terms. Corpus terms that no query has are dropped before the join. Terms of queries are broadcast up to
+    HELD_TERMS rows, checked; beyond, the rows of a term are dealt to SALTS parts, so that a common one is not one task's."""
+    asked = checkpoint(queries.select("query_id", "term", F.col("weight").alias("_q")))
+    terms = asked.select("term").distinct()
+    if asked.count() <= HELD_TERMS:
+        met = corpus.join(F.broadcast(terms), "term", "left_semi").join(F.broadcast(asked), "term")
+    else:
+        held = corpus.join(terms, "term", "left_semi").withColumn("_p", F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS)).cast("int"))
+        met = held.join(asked.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["term", "_p"])
+    scored = met.groupBy("query_id", "chunk_id").agg(F.sum(F.col("weight") * F.col("_q")).alias("score"))
     return rank_by(scored, F.round("score", 9).desc(), F.col("chunk_id"), most=k).select("query_id", "rank", "chunk_id", "score")
 
 
