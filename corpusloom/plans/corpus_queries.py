@@ -45,7 +45,10 @@ def s03_read_telemetry(spark, d):
 def s04_read_eval_set(spark, d):
     at = new_path(spark, "eval")
     row = F.struct(F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("question"), F.col("text").alias("answer"))
-    V.table(spark, d, "benchmark").agg(F.to_json(F.collect_list(row)).alias("value")).write.text(at)
+    items = V.table(spark, d, "benchmark")
+    # files of one JSON array each, of about a thousand rows
+    part = F.pmod(F.xxhash64("item_id"), F.lit(items.count() // 1000 + 1)).alias("part")
+    items.groupBy(part).agg(F.to_json(F.collect_list(row)).alias("value")).write.partitionBy("part").text(at)
     return C.read_eval_set(spark, at).select("question", "answer")
 
 
@@ -372,7 +375,17 @@ def d06_near_pairs(spark, d):
     return D.near_pairs(_hashes(spark, d), "doc_id")
 
 
-@query()
+# A scan over the exact survivors in order: each is held against the values that stay. Rows without a neighbour stay by themselves.
+_GREEDY = f"""WITH RECURSIVE {_SIM}, s AS (SELECT min(n.doc_id) AS doc_id FROM normal n GROUP BY t), v AS MATERIALIZED (SELECT sim.* FROM sim JOIN s USING (doc_id)),
+near AS (SELECT a.doc_id, any_value(a.v) AS v FROM v a JOIN v b ON a.doc_id <> b.doc_id AND bit_count(xor(a.v, b.v)) <= 3 GROUP BY a.doc_id),
+line AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY doc_id) AS i FROM near),
+scan AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS doc_id, false AS falls, []::UBIGINT[] AS kept
+UNION ALL SELECT i, doc_id, hit, CASE WHEN hit THEN kept ELSE list_append(kept, v) END
+FROM (SELECT l.i, l.doc_id, l.v, scan.kept, len(list_filter(scan.kept, lambda k: bit_count(xor(k, l.v)) <= 3)) > 0 AS hit FROM scan JOIN line l ON l.i = scan.i + 1)),
+fuzzy AS (SELECT doc_id FROM scan WHERE falls)"""
+
+
+@query(f"{_GREEDY} SELECT doc_id FROM fuzzy")
 def d07_dedup_fuzzy_first(spark, d):
     return D.mark_duplicates(docs(spark, d).select("doc_id", "text"), "doc_id").filter("is_fuzzy_duplicate").select("doc_id")
 
@@ -395,13 +408,19 @@ def d09_duplicates_by_source(spark, d):
     return D.duplicates_by_source(D.mark_duplicates(docs(spark, d), "doc_id", threshold=1.0), "lang", "source")
 
 
-@query()
+@query(
+    f"""{_GREEDY}, g AS (SELECT count(*) AS c FROM normal GROUP BY t), n AS (SELECT CAST(sum(c) AS BIGINT) AS input, CAST(sum(c) - count(*) AS BIGINT) AS exact_removed, (SELECT count(*) FROM fuzzy) AS fuzzy_removed FROM g)
+SELECT input, input - exact_removed - fuzzy_removed AS output, exact_removed, fuzzy_removed, round((exact_removed + fuzzy_removed) / input * 100, 2) AS rate_percent FROM n"""
+)
 def d09_dedup_stats_fuzzy(spark, d):
     """With the fuzzy step over the exact survivors; the SQL of d09_dedup_stats states exact removals alone."""
     return D.dedup_stats(D.mark_duplicates(docs(spark, d), "doc_id"))
 
 
-@query()
+@query(
+    f"""{_GREEDY}, r AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id) AS k FROM normal), x AS (SELECT lang, source, '' AS kind FROM r WHERE k > 1 UNION ALL SELECT lang, source, ' (fuzzy)' FROM normal JOIN fuzzy USING (doc_id))
+SELECT coalesce(lang, 'unknown') || ':' || coalesce(source, 'unknown') || kind AS key, count(*) AS n FROM x GROUP BY 1 ORDER BY n DESC, key LIMIT 20"""
+)
 def d09_duplicates_by_source_fuzzy(spark, d):
     return D.duplicates_by_source(D.mark_duplicates(docs(spark, d), "doc_id"), "lang", "source")
 

@@ -161,7 +161,15 @@ def q13_conversation_context(spark, d, held=messages):
     return Q.conversation_context(held(spark, d)).select("session_id", "turn", F.array_join("terms", ",").alias("terms"), "topic")
 
 
-@query()
+_ANY_REFERENCE = "(" + " OR ".join(_re(p, "trim(text)") for _, p in Q.REFERENCES) + ")"
+
+
+@query(
+    f"""WITH {_MESSAGES_WHOLE}, b AS (SELECT *, count(*) OVER w AS before, count(*) FILTER (WHERE role = 'user') OVER w AS users, len(list_distinct(list_filter({_TERMS}, lambda t: length(t) > 2 AND t <> 'step'))) AS terms
+FROM messages WINDOW w AS (PARTITION BY session_id ORDER BY turn ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING))
+SELECT session_id, turn, CASE WHEN before = 0 THEN 'no_conversation_history' WHEN users = 0 THEN 'no_prior_user_messages' WHEN {_ANY_REFERENCE} AND length(trim(text)) < 50 THEN NULL
+WHEN len(regexp_extract_all(text, '\\S+')) <= 5 THEN NULL WHEN terms >= 3 THEN 'query_already_specific' WHEN length(trim(text)) <= 200 THEN NULL ELSE 'query_too_long' END AS skip_reason FROM b"""
+)
 def q14_should_expand(spark, d):
     return Q.conversation_context(_whole_messages(spark, d)).select("session_id", "turn", Q.should_expand(F.col("text"), F.col("history_size"), F.col("has_user")).alias("skip_reason"))
 
@@ -654,11 +662,6 @@ def _whole_responses(spark, d):
     return own.select("doc_id", text.alias("response")).join(after, "doc_id", "left").select("doc_id", "response", F.coalesce("context", F.lit("")).alias("context"), F.lit(3).alias("n_sources"))
 
 
-@query()
-def e17_validate_answers(spark, d):
-    return O.validate_answers(_whole_responses(spark, d)).select("doc_id", F.size("issues").alias("issues"), "n_markers", "n_citations", "n_claims", F.round("confidence", 6).alias("confidence"), "is_valid")
-
-
 @query(f"WITH {_RESP} SELECT doc_id, length(response) < 10 AS is_short FROM resp")
 def e18_length_issues(spark, d, held=_responses):
     return held(spark, d).select("doc_id", (F.size(O.length_issues(F.col("response"))) > 0).alias("is_short"))
@@ -683,7 +686,24 @@ def e21_citation_count(spark, d, held=_responses):
     return held(spark, d).select("doc_id", O.citation_count(F.col("response")).cast("long").alias("citations"))
 
 
-@query()
+def _claims_sql():
+    """Claims of lower-cased responses: a match starts after the pieces and matches before it."""
+    cited = "|".join(O.CITATIONS).replace("'", "''")
+    parts = []
+    for p in O.CLAIMS:
+        q = p.replace("'", "''")
+        hits, pieces = f"regexp_extract_all(low, '{q}')", f"regexp_split_to_array(low, '{q}')"
+        at = "1 + list_sum(list_transform(x.p[1:i], lambda z: length(z))) + coalesce(list_sum(list_transform(x.h[1:i - 1], lambda z: length(z))), 0)"
+        parts.append(
+            f"(SELECT len(list_filter(range(1, len(x.h) + 1), lambda i: NOT regexp_matches(substr(low, CAST({at} AS BIGINT), 200), '{cited}'))) FROM (SELECT {hits} AS h, {pieces} AS p) x)"
+        )
+    return " + ".join(parts)
+
+
+_CLAIMED = f"{_RESP_WHOLE}, claimed AS (SELECT *, {_claims_sql()} AS claims FROM (SELECT *, lower(response) AS low FROM resp))"
+
+
+@query(f"WITH {_CLAIMED} SELECT doc_id, claims FROM claimed")
 def e22_claims(spark, d):
     return _whole_responses(spark, d).select("doc_id", F.size(O.claims(F.col("response"))).alias("claims"))
 
@@ -696,7 +716,24 @@ def e23_grounding(spark, d, held=_responses):
     return held(spark, d).select("doc_id", F.coalesce(F.round(O.grounding(F.col("response"), F.col("context")), 6), F.lit(-1.0)).alias("grounding"))
 
 
-@query()
+_VALIDATED = f"""{_CLAIMED},
+found AS (SELECT doc_id, regexp_full_match(response, '\\s*') AS blank, length(response) AS size, context <> '' AS given, CASE WHEN context <> '' THEN claims ELSE 0 END AS cl,
+len(list_distinct({_all_matches(O.UNCERTAIN)})) AS m, len({_all_matches(O.FABRICATED)}) AS f, len({_all_matches(O.CITATIONS)}) AS c,
+len(list_filter(list_transform(regexp_extract_all(low, '\\[source\\s*(\\d+)\\]', 1), lambda x: TRY_CAST(x AS BIGINT)), lambda x: x IS NULL OR x < 1 OR x > 3)) AS wrong,
+{_KEY.format('response')} AS a, {_KEY.format('context')} AS b FROM claimed),
+counts AS (SELECT *, CAST(size < {O.SHORT} AS INT) + CAST(size > {O.LONG} AS INT) + m + CAST(len(a) > 20 AND len(b) > 0 AND len(list_intersect(a, b)) / len(a) < 0.1 AS INT) AS warnings,
+f + CAST(given AND c = 0 AND size > 200 AS INT) + cl AS infos FROM found),
+validated AS (SELECT doc_id, CASE WHEN blank THEN 1 ELSE warnings + infos + wrong END AS issues, m AS n_markers, c AS n_citations, cl AS n_claims, NOT blank AND wrong = 0 AS is_valid,
+CASE WHEN blank THEN 0 ELSE greatest(0::DOUBLE, least(1::DOUBLE, 1::DOUBLE - wrong * 0.25::DOUBLE - warnings * 0.1::DOUBLE - infos * 0.02::DOUBLE + CASE WHEN c > 0 THEN least(0.1::DOUBLE, c * 0.02::DOUBLE) ELSE 0 END
+- m * 0.15::DOUBLE - least(cl, 5) * 0.05::DOUBLE)) END AS confidence FROM counts)"""
+
+
+@query(f"WITH {_VALIDATED} SELECT doc_id, issues, n_markers, n_citations, n_claims, round(confidence, 6) AS confidence, is_valid FROM validated")
+def e17_validate_answers(spark, d):
+    return O.validate_answers(_whole_responses(spark, d)).select("doc_id", F.size("issues").alias("issues"), "n_markers", "n_citations", "n_claims", F.round("confidence", 6).alias("confidence"), "is_valid")
+
+
+@query(f"WITH {_VALIDATED} SELECT round(confidence, 2) AS confidence, count(*) AS n, count(*) FILTER (WHERE is_valid) AS valid FROM validated GROUP BY 1")
 def e24_confidence(spark, d):
     out = O.validate_answers(_whole_responses(spark, d))
     return out.groupBy(F.round("confidence", 2).alias("confidence")).agg(F.count(F.lit(1)).alias("n"), F.count_if("is_valid").alias("valid"))

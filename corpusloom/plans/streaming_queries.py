@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from corpusloom.functions import slots
 from corpusloom.functions.storage import new_path
 from corpusloom.operators import drift as R
 from corpusloom.operators import retrieval
+from corpusloom.operators.query import chain_expanders
 from corpusloom.plans import views as V
 from corpusloom.plans.registry import query
 from corpusloom.sources.store import Snapshots
@@ -175,6 +177,36 @@ def u01_strategy_and_slots(spark, d):
     return retrieval.rerank(found, 3, scorer).select("query_id", "rank", "chunk_id", F.round("rerank_score", 6).alias("score"))
 
 
+@query("SELECT event_id, lower(event_type) || ' docs' AS expanded, 'docs' AS applied FROM events")
+def u02_expander(spark, d):
+    """A user's expander, a column of a column, as a step of the chain."""
+    docs: slots.Expander = lambda c: F.concat(F.lower(c), F.lit(" docs"))
+    out = chain_expanders(V.table(spark, d, "events").select("event_id", "event_type"), [("docs", docs)], "event_type")
+    return out.select("event_id", "expanded", F.array_join("applied", ",").alias("applied"))
+
+
+@query("SELECT doc_id, round(length(source) / (length(text) + 1), 9) AS score FROM documents")
+def u03_pair_scorer(spark, d):
+    """A user's scorer of pairs, here the ratio of their lengths."""
+    scorer = slots.pair_scorer(lambda pairs: [len(a) / (len(b) + 1) for a, b in pairs])
+    return V.table(spark, d, "documents").select("doc_id", F.round(scorer(F.col("source"), F.col("text")), 9).alias("score"))
+
+
+@query("SELECT doc_id, CAST(length(t) AS DOUBLE) AS size, CAST(length(t) - length(replace(t, 'e', '')) AS DOUBLE) AS es FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)")
+def u04_encoder(spark, d):
+    """A user's encoder, here of two counts."""
+    encode = slots.encoder(lambda: lambda texts: np.array([[len(t), t.count("e")] for t in texts], np.float32))
+    out = V.table(spark, d, "documents").select("doc_id", encode("text").alias("v"))
+    return out.select("doc_id", F.col("v")[0].cast("double").alias("size"), F.col("v")[1].cast("double").alias("es"))
+
+
+@query("SELECT doc_id, md5(replace(coalesce(text, ''), 'a', 'A')) AS stepped FROM documents")
+def u05_text_step(spark, d):
+    """A user's step from text to text, here one letter in upper case."""
+    step = slots.text_step(lambda: lambda texts: [t.replace("a", "A") for t in texts])
+    return V.table(spark, d, "documents").select("doc_id", F.md5(step("text")).alias("stepped"))
+
+
 @query("SELECT source, list_sort(list(n_chars))[CAST(least(floor(count(*) * 0.9::DOUBLE), count(*) - 1) AS BIGINT) + 1]::DOUBLE AS p90 FROM documents GROUP BY source")
 def u06_index_percentile(spark, d):
     from corpusloom.functions.percentiles import index_percentiles

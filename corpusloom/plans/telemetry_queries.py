@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusloom.functions.storage import new_path
 from corpusloom.operators import drift as D
 from corpusloom.operators import experiments as X
 from corpusloom.operators import telemetry as A
@@ -390,6 +391,14 @@ def f03_drift_metrics(spark, d):
 _EARLY = W.replace(AS_OF, "2024-01-08 12:00:00")
 
 
+@query(f"WITH {_SCORES} SELECT {_METRICS}, '2024-01-08 12:00:00' AS set_at, 24 AS window_hours FROM (SELECT score AS x FROM scores WHERE score BETWEEN 0 AND 1 AND {_EARLY})", "requests")
+def f04_set_baseline(spark, d):
+    """The baseline as it is read again."""
+    at, when = new_path(spark, "baseline"), "2024-01-08 12:00:00"
+    D.set_baseline(D.drift_metrics(D.score_window(_scores(spark, d), when)), at, when)
+    return spark.read.parquet(at).select(*[F.round(c, 6).alias(c) for c in ("mean", "std", "p25", "p50", "p75", "min", "max")], "n", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("set_at"), "window_hours")
+
+
 @query(
     f"""WITH {_SCORES}, a AS (SELECT {_METRICS.replace('round(', '(').replace(', 6)', ')')} FROM (SELECT score AS x FROM scores WHERE score BETWEEN 0 AND 1 AND {W})),
 b AS (SELECT {_METRICS.replace('round(', '(').replace(', 6)', ')')} FROM (SELECT score AS x FROM scores WHERE score BETWEEN 0 AND 1 AND {_EARLY})),

@@ -64,7 +64,7 @@ EVAL_SCHEMA = "question string, answer string, ground_truth string, topic string
 
 
 def read_eval_set(spark: SparkSession, path: str) -> DataFrame:
-    """Questions of a file that is one JSON array."""
+    """Questions of a file that is one JSON array, or of a folder of such files."""
     return spark.read.schema(EVAL_SCHEMA).option("multiLine", True).json(path)
 
 

@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from corpusloom.functions.percentiles import index_percentiles
 from corpusloom.operators import dedup as D
 from corpusloom.operators import retrieval as R
 
@@ -94,3 +95,21 @@ def test_common_terms_are_dealt(spark, monkeypatch):
     for q in range(5):
         best = sorted((-round(s, 9), c) for (x, c), s in scores.items() if x == q)[:7]
         assert [(c, -s) for s, c in best] == [(w[2], w[3]) for w in want if w[0] == q]
+
+
+@pytest.mark.parametrize("name", ["outlier", "ties", "one", "spread"])
+def test_index_percentiles_of_uneven_values(spark, name):
+    rng = random.Random(11)
+    held = {
+        "outlier": [rng.random() for _ in range(3000)] + [1e12, -1e12],
+        "ties": [5.0] * 2500 + [1.0, 9.0] * 20,
+        "one": [3.0],
+        "spread": [rng.lognormvariate(0, 3) for _ in range(20_000)],
+    }[name]
+    shares = {"p0": 0.0, "p25": 0.25, "p50": 0.5, "p95": 0.95, "p99": 0.99, "p100": 1.0}
+    df = spark.createDataFrame([("g", v) for v in held] + [("h", 2.0), ("h", None)], "g string, v double").repartition(7)
+    got = {r.g: r.asDict() for r in index_percentiles(df, "v", shares, ["g"]).collect()}
+    ordered = sorted(held)
+    for label, p in shares.items():
+        assert got["g"][label] == ordered[min(int(len(ordered) * p), len(ordered) - 1)]
+        assert got["h"][label] == 2.0
