@@ -393,7 +393,14 @@ def r15_fallback_decision(spark, d):
     return R.fallback_decision(vectors(spark, d), found, 0.6).select("query_id", "search", F.regexp_replace("reason", r"_[0-9.]+$", "").alias("reason"))
 
 
-@query()
+@query(
+    f"""WITH {_SPARSE.replace(_BQ, _BQ_WHOLE)}, a AS (SELECT query_id, trim(text) AS body, coalesce(lang, 'Unknown') AS kind, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS no FROM sparse JOIN documents ON doc_id = chunk_id WHERE rank <= 20),
+b AS (SELECT *, '[Source ' || no || ' - ' || kind || ']' || chr(10) AS head, CAST(no > 1 AS INT) AS gap FROM a), h AS (SELECT *, head || body || chr(10) AS whole FROM b), n AS (SELECT *, length(whole) // 4 + gap AS need FROM h),
+u AS (SELECT *, sum(need) OVER (PARTITION BY query_id ORDER BY no) AS used FROM n), s AS (SELECT *, min(CASE WHEN used > 1500 THEN no END) OVER (PARTITION BY query_id) AS stop, 1500 - (used - need) - gap AS room FROM u),
+p AS (SELECT query_id, no, stop, CASE WHEN stop IS NULL OR no < stop THEN whole WHEN no = stop AND room >= 50 AND room * 4 - length(head) - 20 > 100
+THEN head || substr(body, 1, CAST(room * 4 - length(head) - 20 AS BIGINT)) || '...' || chr(10) END AS piece FROM s)
+SELECT query_id, md5(coalesce(string_agg(piece, chr(10) || '---' || chr(10) ORDER BY no), '')) AS context, count(piece) AS n_sources, coalesce(bool_or(no = stop AND piece IS NOT NULL), false) AS is_truncated FROM p GROUP BY query_id"""
+)
 def r16_pack_context(spark, d):
     return R.pack_context(_candidates(spark, d, _whole_text_queries), 1500).select("query_id", F.md5("context").alias("context"), "n_sources", "is_truncated")
 

@@ -122,30 +122,41 @@ def dedup_exact_stream(chunks: DataFrame, text: str = "text", watermark: str = W
     return hashed.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["content_hash"])
 
 
-def _seen(window: int, distance: int):
+def _seen(window: int, distance: int, ttl: int):
     def apply(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        recent = list(state.get[0]) if state.exists else []
+        if state.hasTimedOut:
+            state.remove()
+            return
+        kept, latest = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
         rows = pd.concat(list(batches)).sort_values(["ts", "row_id"])
         similar = []
         for h in rows["simhash"]:
-            similar.append(any(((h ^ r) & (2**64 - 1)).bit_count() <= distance for r in recent))
-            recent = [*recent[-window + 1 :], int(h)]
-        state.update((recent,))
+            near = any(((h ^ r) & (2**64 - 1)).bit_count() <= distance for r in kept)
+            similar.append(near)
+            if not near:
+                kept = [*kept[-window + 1 :], int(h)]
+        latest = max(latest, int(rows["ts"].max().timestamp() * 1000))
+        state.update((kept, latest))
+        state.setTimeoutTimestamp(max(latest + ttl * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"row_id": rows["row_id"], "similar": similar})
 
     return apply
 
 
-def near_seen_stream(chunks: DataFrame, threshold: float = 0.95, window: int = 1000, text: str = "text") -> DataFrame:
+def near_seen_stream(
+    chunks: DataFrame, threshold: float = 0.95, window: int = 1000, text: str = "text", watermark: str = WATERMARK, ttl: int = 86400
+) -> DataFrame:
     """(row_id, similar) for chunks (row_id, ts, text), a row per band of its SimHash: whether one of the last `window`
-    rows of the band is similar. A row is a near copy if any of its bands says so (near_copies).
+    rows that the band kept is similar. A row is a near copy if any of its bands says so (near_copies).
 
-    Recency is per band and counts every row, where a scan in one place would count the last rows kept."""
+    Copies don't push kept rows out of the window. Recency is per band, where a scan in one place would count the last
+    rows kept anywhere. A band without rows for `ttl` seconds of event time is forgotten, so the state is that of the
+    bands in use."""
     distance = max(0, max_distance(threshold))
-    hashed = chunks.select("row_id", "ts", simhash64(F.col(text)).alias("simhash"))
+    hashed = chunks.withWatermark("ts", watermark).select("row_id", "ts", simhash64(F.col(text)).alias("simhash"))
     banded = hashed.select("*", F.explode(bands(F.col("simhash"), distance + 1)).alias("b")).select("row_id", "ts", "simhash", "b.no", "b.bits")
     return banded.groupBy("no", "bits").applyInPandasWithState(
-        _seen(window, distance), "row_id long, similar boolean", "recent array<long>", "append", GroupStateTimeout.NoTimeout
+        _seen(window, distance, ttl), "row_id long, similar boolean", "kept array<long>, latest long", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 

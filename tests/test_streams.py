@@ -1,5 +1,6 @@
 """Streams in several batches, and the snapshots that they commit."""
 
+import datetime
 import os
 
 import pytest
@@ -61,3 +62,16 @@ def test_registered_ingestion_takes_every_document(spark):
             want[r.source_type] = want.get(r.source_type, 0) + r["count"]
     assert {s: r.chunks for s, r in got.items()} == want
     assert {s: r.registered_chunks for s, r in got.items()} == want
+
+
+def test_near_copies_do_not_push_kept_rows_out(spark, tmp_path):
+    """More copies than the window holds, then another copy, over several batches; a band at rest is forgotten."""
+    words = " ".join(f"word{i}" for i in range(300))
+    day = lambda i: datetime.datetime(2024, 1, 1 + i)
+    at, check = str(tmp_path / "in"), str(tmp_path / "check")
+    arrivals = [[(0, day(0), words), *[(i, day(0), words) for i in range(1, 12)], (50, day(0), "quite another text")], [(60, day(0), words)], [(70, day(9), "nothing like it")], [(80, day(9), words)]]
+    for i, rows in enumerate(arrivals):
+        spark.createDataFrame(rows, "row_id long, ts timestamp, text string").coalesce(1).write.mode("append").parquet(at)
+        T.dedup_fuzzy_stream(T.read_table(spark, at, "row_id long, ts timestamp, text string"), str(tmp_path / f"out{i}"), check, window=5).awaitTermination()
+    found = {r.row_id for i in range(4) for r in spark.read.parquet(str(tmp_path / f"out{i}")).filter("is_near_copy").collect()}
+    assert found == {*range(1, 12), 60}
