@@ -1,4 +1,4 @@
-"""Where tables that driver and executors share are written."""
+"""Where tables that driver and executors share are written, and how small ones are dealt to all cores."""
 
 from __future__ import annotations
 
@@ -32,3 +32,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores before work on its texts, if it is read from fewer files than there are cores: a file of one
+    row group is else one task's, however the scan is split. What many files hold is not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from corpusloom.functions.storage import spread
+
 #: Size, overlap and separators of each content type.
 SPLITS = {
     "prose": (1000, 200, ("\n\n", "\n", ". ", " ", "")),
@@ -204,7 +206,7 @@ def chunk_documents(docs: DataFrame, text: str = "text") -> DataFrame:
 
     A section that fits its type's size stays whole; code sections keep their blocks together. A document without
     any section is one chunk of prose."""
-    whole = F.coalesce(F.col(text), F.lit(""))
+    docs, whole = spread(docs), F.coalesce(F.col(text), F.lit(""))
     others = [c for c in docs.columns if c != text]
     blank = F.array(F.struct(*[F.lit(None).cast("string").alias(h) for h in _HEADS], whole.alias("text")))
     found = sections(whole)

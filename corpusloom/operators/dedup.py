@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
 
-from corpusloom.functions.storage import checkpoint
+from corpusloom.functions.storage import checkpoint, spread
 
 BITS, THRESHOLD = 64, 0.95
 #: Keys of a value in near_values at most, where the distance allows a choice.
@@ -47,7 +47,7 @@ def first_or_last(order: str, keep: str) -> Column:
 def mark_exact(df: DataFrame, order: str, text: str = "text", keep: str = "first") -> DataFrame:
     """df with content_hash and is_exact_duplicate. order must be unique; the kept row of a hash is found by a grouped
     minimum or maximum, so a hash of very many rows is not sorted in one task."""
-    hashed = df.withColumn("content_hash", content_hash(normalize_text(F.col(text))))
+    hashed = spread(df).withColumn("content_hash", content_hash(normalize_text(F.col(text))))
     pick = F.min(order) if keep == "first" else F.max(order)
     kept = hashed.groupBy("content_hash").agg(pick.alias("_kept"))
     return hashed.join(kept, "content_hash").withColumn("is_exact_duplicate", F.col(order) != F.col("_kept")).select(*df.columns, "content_hash", "is_exact_duplicate")

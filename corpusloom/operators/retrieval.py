@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.storage import checkpoint
+from corpusloom.functions.storage import checkpoint, spread
 from corpusloom.operators.query import expand_abbreviations
 from corpusloom.operators.telemetry import at
 
@@ -165,7 +165,7 @@ def tokens(text: Column) -> Column:
 
 def sparse_encode(texts: DataFrame, key: str, text: str = "text", idf: bool = False) -> DataFrame:
     """(key, term, weight): BM25 term weights of each text; idf multiplies by ln(1 + (N - df + 0.5) / (df + 0.5))."""
-    split = texts.select(key, tokens(F.col(text)).alias("_t"))
+    split = spread(texts.select(key, text)).select(key, tokens(F.col(text)).alias("_t"))
     size = split.agg(F.avg(F.size("_t")).alias("_avg"), F.count(F.lit(1)).alias("_docs"))
     tf = split.select(key, F.size("_t").alias("_len"), F.explode("_t").alias("term")).groupBy(key, "_len", "term").agg(F.count(F.lit(1)).alias("_tf"))
     norm = K1 * (1 - B + B * F.col("_len") / F.col("_avg"))

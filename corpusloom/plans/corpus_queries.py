@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.functions.storage import new_path
+from corpusloom.functions.storage import new_path, spread
 from corpusloom.operators import chunking as K
 from corpusloom.operators import dedup as D
 from corpusloom.operators import tracking as T
@@ -360,7 +360,7 @@ def d04_simhash(spark, d):
 
 
 def _hashes(spark, d):
-    return docs(spark, d).select("doc_id", D.simhash64(F.col("text")).alias("simhash"))
+    return spread(docs(spark, d)).select("doc_id", D.simhash64(F.col("text")).alias("simhash"))
 
 
 @query(f"WITH {_SIM} SELECT a.doc_id, bit_count(xor(a.v, b.v)) AS distance, round(1 - bit_count(xor(a.v, b.v)) / 64, 6) AS similarity FROM sim a JOIN sim b ON b.doc_id = a.doc_id + 1")
