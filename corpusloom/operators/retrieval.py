@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.storage import checkpoint, spread
+from corpusloom.functions.storage import checkpoint
 from corpusloom.operators.query import expand_abbreviations
 from corpusloom.operators.telemetry import at
 
@@ -164,10 +164,15 @@ def tokens(text: Column) -> Column:
 
 
 def sparse_encode(texts: DataFrame, key: str, text: str = "text", idf: bool = False) -> DataFrame:
-    """(key, term, weight): BM25 term weights of each text; idf multiplies by ln(1 + (N - df + 0.5) / (df + 0.5))."""
-    split = spread(texts.select(key, text)).select(key, tokens(F.col(text)).alias("_t"))
+    """(key, term, weight): BM25 term weights of each text; idf multiplies by ln(1 + (N - df + 0.5) / (df + 0.5)).
+
+    Texts are shuffled once, by their key, so that neither the counts of terms nor sums over a key's terms (sparse_topk)
+    shuffle the terms."""
+    split = texts.select(key, text).repartition(F.col(key)).select(key, tokens(F.col(text)).alias("_t"))
     size = split.agg(F.avg(F.size("_t")).alias("_avg"), F.count(F.lit(1)).alias("_docs"))
-    tf = split.select(key, F.size("_t").alias("_len"), F.explode("_t").alias("term")).groupBy(key, "_len", "term").agg(F.count(F.lit(1)).alias("_tf"))
+    # outer, as Spark would else test every text for terms before the shuffle and split it twice
+    words = split.select(key, F.size("_t").alias("_len"), F.explode_outer("_t").alias("term")).filter(F.col("term").isNotNull())
+    tf = words.groupBy(key, "_len", "term").agg(F.count(F.lit(1)).alias("_tf"))
     norm = K1 * (1 - B + B * F.col("_len") / F.col("_avg"))
     out = tf.join(F.broadcast(size)).withColumn("weight", F.col("_tf") * (K1 + 1) / (F.col("_tf") + norm))  # one row
     if idf:
