@@ -13,6 +13,7 @@ from corpusloom.llm.decontaminate import find_contamination
 from corpusloom.llm.line_dedup import dedup_lines
 from corpusloom.llm.mixing import mix
 from corpusloom.llm.near_dup import near_duplicates
+from corpusloom.llm.periodic import periodic_runs, stuttering
 from corpusloom.llm.secrets import find_secrets, listing
 from corpusloom.llm.suffix_dedup import remove_repeats
 from corpusloom.llm.topk import quantized, top_k
@@ -111,6 +112,31 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text").withColumn("text", stuttering(F.col("text"), F.col("doc_id")))
+
+    def better(a: Column, b: Column) -> Column:
+        """The one with the greater length / period; a if they are equal, as runs come by start, then period."""
+        return F.when(a.isNull() | (b["length"] * a["period"] > a["length"] * b["period"]), b).otherwise(a)
+
+    none = F.lit(None).cast("struct<start:long,length:long,period:long>")
+    lines = F.transform("_runs", lambda r: F.concat(F.concat_ws(",", *[r[k].cast("string") for k in ("start", "length", "period")]), F.lit("\n")))
+    return (
+        periodic_runs(docs)
+        .withColumn("_best", F.aggregate("_runs", none, better))
+        .select(
+            "doc_id",
+            F.size("_runs").cast("long").alias("n_runs"),
+            F.col("_best.start").alias("start"),
+            F.col("_best.length").alias("length"),
+            F.col("_best.period").alias("period"),
+            F.expr("1000 * _best.length div _best.period").alias("exponent_milli"),
+            F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+            F.sha2("_kept", 256).alias("collapsed_sha256"),
+        )
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_mixing": op2_mixing,
@@ -122,6 +148,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_class_lm": op8_class_lm,
     "op9_quality": op9_quality,
     "op10_langid": op10_langid,
+    "op11_periodic": op11_periodic,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -157,4 +184,24 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) A
       FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op11_periodic": r"""
+WITH src AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws,
+             list_reduce(flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ascii(c) + 1, 0, 0, 0, 0, 0, 0, 0, 0])),
+                 lambda x, o: CASE WHEN o > 0 THEN xor(x, CAST(o - 1 AS BIGINT)) ELSE xor(x >> 1, (x & 1) * 3988292384) END, CAST(4294967295 AS BIGINT)) AS x
+             FROM documents),
+h AS (SELECT r, doc_id, ws, len(ws) AS n, xor(x, CAST(4294967295 AS BIGINT)) AS h, xor(x, CAST(4294967295 AS BIGINT)) // 10 AS g FROM src),
+p AS (SELECT *, g % n AS a, 1 + (n - g % n) // (3 + g % 8) AS p FROM h),
+w AS (SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(0, n), lambda i: ws[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE ws END AS ws FROM p),
+t AS (SELECT r, n, unnest(range(0, n)) AS i, unnest(ws) AS w FROM w),
+e AS (SELECT x.r, x.i, y.i - x.i AS q FROM t x JOIN t y ON x.r = y.r AND x.w = y.w AND y.i > x.i AND 3 * (y.i - x.i) <= x.n),
+g AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS k FROM e),
+s AS (SELECT r, q, min(i) AS start, count(*) + q AS length FROM g GROUP BY r, q, k HAVING count(*) + q >= greatest(24, 3 * q)),
+runs AS (SELECT r, start, length, min(q) AS period FROM s GROUP BY r, start, length),
+gone AS (SELECT r, list(DISTINCT i) AS gone FROM (SELECT r, unnest(range(start + period, start + length)) AS i FROM runs) GROUP BY r),
+sums AS (SELECT r, count(*) AS n_runs, string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS lines FROM runs GROUP BY r),
+best AS (SELECT b.* FROM runs b WHERE NOT EXISTS (SELECT 1 FROM runs o WHERE o.r = b.r AND (o.length * b.period > b.length * o.period
+          OR (o.length * b.period = b.length * o.period AND (o.start < b.start OR (o.start = b.start AND o.period < b.period))))))
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
+       sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN ws ELSE list_transform(list_filter(range(0, n), lambda i: NOT list_contains(gone, i)), lambda i: ws[i + 1]) END, ' '), '')) AS collapsed_sha256
+FROM w LEFT JOIN sums USING (r) LEFT JOIN gone USING (r) LEFT JOIN best USING (r)""",
 }
