@@ -13,8 +13,8 @@ would share fewer than r - d. Each of them becomes a key; empty segments hardly
 
 Sets that share a key are compared in three steps: by the Hamming distance of short sketches, which is a lower bound like
 that of the long ones, then by their whole sets of shingles. First each set meets one set nearby in the same key
-(a centre), and components are made from the links found. Then only pairs of one key that lie in different
-components are left; these are compared too, in cells of bounded size. No pair of a key that could change the components is
+(a centre), then, in a few turns, one of another component, and components are made from the links found. Then only pairs
+of one key that lie in different components are left; these are all compared, in cells of bounded size. No pair of a key that could change the components is
 left out, and a group of thousands of near copies costs a few comparisons for each of its members.
 
 Equal sets are one set. Texts are never gathered in a group: a pair of texts is compared in a row of its own."""
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -39,6 +39,8 @@ SEGMENTS, BITS = (5, 4), 4096
 CENTRE, CELL = 64, 1024
 #: A set of more than this share of the rows is hot; there are fewer than its inverse.
 HOT = 1000
+#: Turns in which sets meet one neighbour of another component in each key, before all pairs of these that are left.
+TURNS = 4
 #: Numbers of sets that are broadcast; more are joined by a shuffle.
 BROADCAST = 1_000_000
 
@@ -323,10 +325,22 @@ class Join:
         """Distinct pairs of each set and a centre of each of its keys."""
         return checkpoint(self.keys.mapInArrow(_to_centres, "a long, b long").distinct())
 
+    def _grouped(self, groups: DataFrame) -> DataFrame:
+        """(node, key, set, group): the shared keys with the component of each set."""
+        held = self.keys.select("key", "set", F.shiftright("set", 1).alias("node")).join(groups, "node", "left")
+        return held.withColumn("group", F.coalesce("component", "node")).drop("component")
+
+    def beside(self, groups: DataFrame, met: DataFrame, turn: int) -> DataFrame:
+        """Distinct pairs of different components that lie side by side in one of their keys, in an order of the turn's
+        own, without those met before."""
+        order = Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(turn)), "node")
+        held = self._grouped(groups).withColumn("x", F.lag("node").over(order)).withColumn("y", F.lag("group").over(order))
+        pairs = held.filter(F.col("y") != F.col("group")).select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b"))
+        return checkpoint(pairs.distinct().join(met, ["a", "b"], "left_anti"))
+
     def across(self, groups: DataFrame, met: DataFrame, cell: int) -> DataFrame:
         """Distinct pairs that share a key but lie in different components, without those met before."""
-        held = self.keys.select("key", "set", F.shiftright("set", 1).alias("node")).join(groups, "node", "left")
-        held = held.withColumn("group", F.coalesce("component", "node")).drop("component")
+        held = self._grouped(groups)
         several = held.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("group").alias("x"), F.max("group").alias("y"))
         several = several.filter("x <> y and rows > 2").select("key", F.ceil(F.col("rows") / cell).cast("int").alias("blocks"))
         held = held.join(several, "key").join(self.sets.select(F.col("set").alias("node"), "n", "sketch"), "node")
@@ -339,12 +353,20 @@ class Join:
     def components(self, cell: int) -> DataFrame:
         """(node, component) of all sets that have a link."""
         met = self.centred()
-        links = self.similar(met)
-        groups = checkpoint(connected_components(links))
-        more = self.across(groups, met, cell)
-        if more.isEmpty():
-            return groups
-        return connected_components(links.unionByName(self.similar(more)))
+        groups = checkpoint(connected_components(self.similar(met)))
+
+        def joined(links: DataFrame) -> DataFrame:
+            own = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            return checkpoint(connected_components(own.unionByName(links)))
+
+        for turn in range(TURNS):
+            pairs = self.beside(groups, met, turn)
+            links = self.similar(pairs)
+            if links.isEmpty():
+                break
+            met, groups = met.unionByName(pairs), joined(links)
+        rest = self.across(groups, met, cell)
+        return groups if rest.isEmpty() else joined(self.similar(rest))
 
 
 def similar_documents(
