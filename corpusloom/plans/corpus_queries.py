@@ -108,6 +108,42 @@ def s09_upsert_chunks(spark, d):
     return S.upsert_chunks(S.upsert_chunks(old, new), new)
 
 
+def _rows_by_id(spark, d):
+    """The documents' languages in a table of batches: all, then every third again in upper case, twice over."""
+    own = docs(spark, d).select(F.col("doc_id").cast("string").alias("chunk_id"), "lang", "source", "doc_id")
+    table = S.Batches(spark, new_path(spark, "rows"), "chunk_id string, lang string, source string", "chunk_id", 16)
+    table.write(0, own.filter("doc_id % 10 <> 9"))
+    for _ in range(2):
+        table.write(1, own.filter("doc_id % 3 = 0").withColumn("lang", F.upper("lang")))
+    return own, table
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS chunk_id, CASE WHEN doc_id % 3 = 0 THEN upper(lang) ELSE lang END AS lang FROM documents WHERE doc_id % 10 <> 9 OR doc_id % 3 = 0")
+def s09_upsert_table(spark, d):
+    """The same upsert into a stored table that takes batches, merged by a compaction."""
+    table = _rows_by_id(spark, d)[1]
+    table.compact(2)
+    return table.current().select("chunk_id", "lang")
+
+
+@query("""SELECT source, count(*) AS n, (SELECT count(*) FROM documents WHERE source IN ('src1', 'src2') AND (doc_id % 10 <> 9 OR doc_id % 3 = 0)) AS deleted FROM documents
+WHERE (doc_id % 10 <> 9 OR doc_id % 3 = 0) AND source NOT IN ('src1', 'src2') GROUP BY source""")
+def s10_delete_from_table(spark, d):
+    """Rows of two sources removed from a stored table; what is left by source, with the number removed."""
+    own, table = _rows_by_id(spark, d)
+    deleted = S.delete_from(table, 2, own.filter("source in ('src1', 'src2')"))
+    return S.count_by(table.current().filter("source is not null"), "source").withColumn("deleted", F.lit(deleted).cast("long"))
+
+
+@query(f"WITH {_MONTHLY} SELECT month, count(*) AS n FROM monthly WHERE month >= '2024-04' GROUP BY month", "requests")
+def s08_remove_months(spark, d):
+    """Months before the cutoff removed from stored logs; the rows that the table still has."""
+    at, logs = new_path(spark, "logs"), _monthly(spark, d)
+    logs.write.partitionBy("month").parquet(at)
+    S.remove_months(spark, at, "2024-06-10 00:00:00", 2)
+    return S.count_by(spark.read.schema(logs.schema).parquet(at), "month")
+
+
 @query("SELECT count(*) AS deleted FROM documents WHERE source IN ('src1', 'src2')")
 def s10_delete_chunks(spark, d):
     keys = docs(spark, d).select("source").filter("source in ('src1', 'src2')")

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from corpusloom.functions import slots
 from corpusloom.functions.storage import new_path
 from corpusloom.operators import drift as R
+from corpusloom.operators.dedup import dedup_exact
 from corpusloom.operators import retrieval
 from corpusloom.operators.query import chain_expanders
 from corpusloom.plans import views as V
+from corpusloom.plans.corpus_queries import _NORMAL, _SIM
 from corpusloom.plans.registry import query
-from corpusloom.sources.store import Snapshots
+from corpusloom.sources.store import chunk_store, file_registry
 from corpusloom.streaming import streams as T
 
 
@@ -96,15 +98,24 @@ def _chunks(spark, d):
     return V.table(spark, d, "documents").select(F.col("doc_id").alias("row_id"), "text", ts.alias("ts"))
 
 
-@query("SELECT count(DISTINCT trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS kept FROM documents")
+@query(f"WITH {_NORMAL} SELECT DISTINCT sha256(t) AS content_hash FROM normal")
 def t06_dedup_exact_stream(spark, d):
-    return _done(spark, T.dedup_exact_stream(_stream(spark, _chunks(spark, d)))).agg(F.count(F.lit(1)).alias("kept"))
+    return _done(spark, T.dedup_exact_stream(_stream(spark, _chunks(spark, d)))).select("content_hash")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_SIM}, s AS (SELECT min(n.doc_id) AS doc_id FROM normal n GROUP BY t),
+line AS MATERIALIZED (SELECT sim.*, row_number() OVER (ORDER BY doc_id) AS i FROM sim JOIN s USING (doc_id)),
+scan AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS row_id, false AS falls, []::UBIGINT[] AS kept
+UNION ALL SELECT i, doc_id, hit, CASE WHEN hit THEN kept ELSE list_append(kept, v)[-1000:] END
+FROM (SELECT l.i, l.doc_id, l.v, scan.kept, len(list_filter(scan.kept, lambda k: bit_count(xor(k, l.v)) <= 3)) > 0 AS hit FROM scan JOIN line l ON l.i = scan.i + 1))
+SELECT row_id FROM scan WHERE falls"""
+)
 def d12_dedup_fuzzy_stream(spark, d):
-    stream = _stream(spark, _chunks(spark, d))
-    return _ran(spark, lambda at, check: T.dedup_fuzzy_stream(stream, at, check)).filter("is_near_copy").select("row_id")
+    """Near copies of one of the last 1,000 rows kept. Exact copies are dropped before they arrive, so that it is the first
+    of each that does; the stream would take whichever it meets first."""
+    stream = _stream(spark, dedup_exact(_chunks(spark, d), "row_id"))
+    return _ran(spark, lambda at, check: T.dedup_fuzzy_stream(stream, at, check)).filter("similar").select("row_id")
 
 
 @query(
@@ -122,30 +133,30 @@ ARRIVALS = 4
 
 
 def _ingested(spark, d):
-    """(store, registry) after all documents have arrived: each arrival is a run of the stream over the same checkpoint, so
-    that the batches are the same however many files an arrival has."""
+    """(store, registry) after all documents have arrived, and then a tenth of them once more with other texts: each arrival
+    is a run of the stream over the same checkpoint, so that the batches are the same however many files an arrival has."""
     own = V.table(spark, d, "documents").select(
-        "doc_id", F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("file_path"), F.md5("text").alias("content_hash"), F.col("source").alias("source_type"), F.col("n_chars").alias("file_size"), "text"
+        "doc_id", F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("file_path"), F.col("source").alias("source_type"), F.col("n_chars").alias("file_size"), "text"
     )
-    store, registry = Snapshots(spark, new_path(spark, "store")), Snapshots(spark, new_path(spark, "registry"))
-    none = own.limit(0)
-    null = F.lit(None).cast("timestamp")
-    store.commit(none.select(F.col("file_path").alias("chunk_id"), F.col("file_path").alias("source"), "source_type", F.lit("").alias("content_type"), F.lit("").alias("heading_path"), "text"), "2024-01-01 00:00:00")
-    registry.commit(none.select("file_path", "content_hash", "source_type", "file_size", F.lit(0).cast("long").alias("chunk_count"), null.alias("ingested_at"), null.alias("updated_at")), "2024-01-01 00:00:00")
+    store, registry = chunk_store(spark, new_path(spark, "store")), file_registry(spark, new_path(spark, "registry"))
     at, check = new_path(spark, "arriving"), new_path(spark, "ingest")
-    files = own.drop("doc_id")
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in files.schema.fields)
-    for i in range(ARRIVALS):
-        own.filter(F.coalesce(F.pmod("doc_id", F.lit(ARRIVALS)), F.lit(0)) == i).select(*files.columns).write.mode("append").parquet(at)
-        T.ingest_stream(T.read_table(spark, at, schema), store, registry, check, "2024-01-02 00:00:00").awaitTermination()
+    schema = "file_path string, content_hash string, source_type string, file_size long, text string"
+    part = F.coalesce(F.pmod("doc_id", F.lit(ARRIVALS)), F.lit(0))
+    again = own.filter("doc_id % 10 = 0").withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit("\n\nA closing line of its own."))).withColumn("file_size", F.col("file_size") + 30)
+    for i in range(ARRIVALS + 1):
+        files = own.filter(part == i) if i < ARRIVALS else again
+        files.withColumn("content_hash", F.md5("text")).select("file_path", "content_hash", "source_type", "file_size", "text").write.mode("append").parquet(at)
+        T.ingest_stream(T.read_table(spark, at, schema), store, registry, check, f"2024-01-0{2 + i} 00:00:00").awaitTermination()
     return store, registry
 
 
-@query("SELECT count(*) AS files FROM documents WHERE doc_id % 5 = 0")
+@query(
+    "SELECT source AS source_type, count(*) AS files, count(*) FILTER (WHERE doc_id % 10 = 0) AS updated, CAST(sum(n_chars + CASE WHEN doc_id % 10 = 0 THEN 30 ELSE 0 END) AS BIGINT) AS bytes FROM documents GROUP BY source"
+)
 def t08_ingest_stream(spark, d):
-    """Ingests all documents; its SQL counts the files of every fifth id, t08_ingest_stream_chunks reports all of them."""
-    registry = _ingested(spark, d)[1].current()
-    return registry.filter(F.substring_index("file_path", "/", -1).cast("long") % 5 == 0).agg(F.count(F.lit(1)).alias("files"))
+    """Files, updated files and bytes of the registry by source, after all documents have arrived and a tenth again."""
+    files = _ingested(spark, d)[1].current()
+    return files.groupBy("source_type").agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("updated_at") > F.col("ingested_at")).alias("updated"), F.sum("file_size").alias("bytes"))
 
 
 @query()

@@ -7,19 +7,21 @@ close, so that their results equal the batch operators' on the same rows."""
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import StructType
 
-from corpusloom.operators.dedup import bands, content_hash, max_distance, normalize_text, simhash64
+from corpusloom.operators.dedup import content_hash, max_distance, normalize_text, simhash64
 from corpusloom.operators.drift import check_drift, valid_scores
 from corpusloom.operators.experiments import bucket, pick_variant
 from corpusloom.operators.telemetry import query_hash, rate_per_minute, share_percent
 from corpusloom.plans.ingest import ingest
-from corpusloom.sources.store import Snapshots
+from corpusloom.sources.store import CHUNKS, Batches
 
 WATERMARK = "10 minutes"
 
@@ -122,50 +124,84 @@ def dedup_exact_stream(chunks: DataFrame, text: str = "text", watermark: str = W
     return hashed.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["content_hash"])
 
 
-def _seen(window: int, distance: int, ttl: int):
-    def apply(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        kept, latest = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
-        rows = pd.concat(list(batches)).sort_values(["ts", "row_id"])
-        similar = []
-        for h in rows["simhash"]:
-            near = any(((h ^ r) & (2**64 - 1)).bit_count() <= distance for r in kept)
-            similar.append(near)
-            if not near:
-                kept = [*kept[-window + 1 :], int(h)]
-        latest = max(latest, int(rows["ts"].max().timestamp() * 1000))
-        state.update((kept, latest))
-        state.setTimeoutTimestamp(max(latest + ttl * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"row_id": rows["row_id"], "similar": similar})
-
-    return apply
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, as states with lists and timers need it."""
+    name, kind = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, kind)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
+class LastKept(StatefulProcessor):
+    """Per lane the SimHashes of the last `window` rows kept, oldest first, and a timer that forgets a lane at rest.
+
+    Rows of a batch are taken in the order of their times and ids; only these and the hashes, 24 bytes a row, are held for
+    the batch. A row is similar if one of the last kept is within the distance; else it is kept and pushes the oldest out."""
+
+    def __init__(self, window: int, distance: int, ttl: int):
+        self.window, self.distance, self.ttl = window, distance, ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.kept = handle.getListState("kept", StructType().add("simhash", "long"))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        parts = [(b["ts"].to_numpy("datetime64[ms]").astype(np.int64), b["row_id"].to_numpy(), b["simhash"].to_numpy(np.int64).view(np.uint64)) for b in rows]
+        ts, ids, hashes = (np.concatenate([part[i] for part in parts]) for i in range(3))
+        order = np.lexsort((ids, ts))
+        before = np.array([h for (h,) in self.kept.get()] if self.kept.exists() else [], np.int64).view(np.uint64)
+        ring, at = np.zeros(self.window, np.uint64), min(len(before), self.window)
+        ring[:at] = before[-self.window :]
+        similar = np.zeros(len(order), bool)
+        for i in order:
+            h = hashes[i]
+            similar[i] = (np.bitwise_count(ring[: min(at, self.window)] ^ h) <= self.distance).any()
+            if not similar[i]:
+                ring[at % self.window] = h
+                at += 1
+        oldest = at % self.window if at > self.window else 0
+        now = np.concatenate([ring[oldest : min(at, self.window)], ring[:oldest]])
+        self.kept.put([(h,) for h in now.view(np.int64).tolist()])
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(max(int(ts.max()) + self.ttl * 1000, timerValues.getCurrentWatermarkInMs() + 1))
+        yield pd.DataFrame({"row_id": ids, "ts": ts.astype("datetime64[ms]"), "similar": similar})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.kept.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
 
 
 def near_seen_stream(
-    chunks: DataFrame, threshold: float = 0.95, window: int = 1000, text: str = "text", watermark: str = WATERMARK, ttl: int = 86400
+    chunks: DataFrame, threshold: float = 0.95, window: int = 1000, text: str = "text", watermark: str = WATERMARK, ttl: int = 86400, lane: Column | None = None
 ) -> DataFrame:
-    """(row_id, similar) for chunks (row_id, ts, text), a row per band of its SimHash: whether one of the last `window`
-    rows that the band kept is similar. A row is a near copy if any of its bands says so (near_copies).
-
-    Copies don't push kept rows out of the window. Recency is per band, where a scan in one place would count the last
-    rows kept anywhere. A band without rows for `ttl` seconds of event time is forgotten, so the state is that of the
-    bands in use."""
-    distance = max(0, max_distance(threshold))
-    hashed = chunks.withWatermark("ts", watermark).select("row_id", "ts", simhash64(F.col(text)).alias("simhash"))
-    banded = hashed.select("*", F.explode(bands(F.col("simhash"), distance + 1)).alias("b")).select("row_id", "ts", "simhash", "b.no", "b.bits")
-    return banded.groupBy("no", "bits").applyInPandasWithState(
-        _seen(window, distance, ttl), "row_id long, similar boolean", "kept array<long>, latest long", "append", GroupStateTimeout.EventTimeTimeout
+    """(row_id, ts, similar) for the chunks (row_id long, ts, text) whose normalised text is new: whether one of the last
+    `window` rows kept is similar. Repeats of a text within the watermark are exact copies and have no row.
+
+    Texts are compared and hashed in parallel; then the hashes of a lane meet its last kept rows. Without a lane there is
+    one for all rows, as the window counts the rows kept anywhere: its hashes pass through one task in their order. A lane
+    (a source, say) gives each of its values a window of its own, side by side. A lane without rows for `ttl` seconds
+    of event time is forgotten."""
+    distance = max_distance(threshold)
+    own = chunks.select("row_id", "ts", F.col(text).alias("_text"), (F.lit("") if lane is None else lane).cast("string").alias("lane"))
+    new = dedup_exact_stream(own, "_text", watermark)
+    hashed = new.select("row_id", "ts", F.coalesce("lane", F.lit("")).alias("lane"), simhash64(F.col("_text")).alias("simhash"))
+    return hashed.groupBy("lane").transformWithStateInPandas(
+        statefulProcessor=LastKept(window, distance, ttl), outputStructType="row_id long, ts timestamp, similar boolean", outputMode="Append", timeMode="EventTime", eventTimeColumnName="ts"
     )
 
 
-def near_copies(batch: DataFrame) -> DataFrame:
-    return batch.groupBy("row_id").agg(F.max("similar").alias("is_near_copy"))
-
-
 def dedup_fuzzy_stream(chunks: DataFrame, path: str, checkpoint: str, **options) -> StreamingQuery:
-    return for_batches(near_seen_stream(chunks, **options), lambda df, i: near_copies(df).write.mode("overwrite").parquet(f"{path}/batch={i}"), checkpoint)
+    """The rows of near_seen_stream, in a folder per batch; a batch that runs again replaces its folder."""
+    with rocksdb_state(chunks.sparkSession):
+        return for_batches(near_seen_stream(chunks, **options), lambda df, i: df.write.mode("overwrite").parquet(f"{path}/batch={i}"), checkpoint)
 
 
 def assign_stream(sessions: DataFrame, existing: DataFrame, split: Column) -> DataFrame:
@@ -174,19 +210,21 @@ def assign_stream(sessions: DataFrame, existing: DataFrame, split: Column) -> Da
     return sessions.join(old, "session_id", "left").withColumn("variant_id", F.coalesce("_old", pick_variant(split, bucket(F.col("session_id"))))).drop("_old")
 
 
-def ingest_stream(files: DataFrame, store: Snapshots, registry: Snapshots, checkpoint: str, as_of: str) -> StreamingQuery:
-    """Arriving files (file_path, content_hash, source_type, file_size, text) ingested batch by batch. A batch sees only its
-    own files, so none is taken for deleted; ids come from the content, so a batch that runs again changes nothing."""
-
-    def act(batch: DataFrame, _: int) -> None:
-        if batch.isEmpty():
-            return
-        known = registry.current()
-        touched = known.join(batch.select("file_path"), "file_path", "left_semi")
-        done = ingest(batch, touched, store.current(), as_of)
-        others = known.join(batch.select("file_path"), "file_path", "left_anti")
-        store.commit(done.store, as_of)
-        registry.commit(others.unionByName(done.registry), as_of)
+def ingest_stream(files: DataFrame, store: Batches, registry: Batches, checkpoint: str, as_of: str) -> StreamingQuery:
+    """Arriving files (file_path, content_hash, source_type, file_size, text) ingested batch by batch into a chunk_store and a
+    file_registry. A batch reads the registry's buckets of its files and writes their chunks and entries, nothing
+    else; unchanged files are not written. It sees only its own files, so none is taken for deleted. Of one path
+    that arrives twice in a batch, the greatest content hash counts. A batch that runs again, after a stop between the two
+    tables too, reads what was before it and replaces what it wrote."""
+
+    def act(batch: DataFrame, number: int) -> None:
+        one = batch.groupBy("file_path").agg(F.max(F.struct(F.coalesce("content_hash", F.lit("")).alias("_k"), F.struct(*[F.col(c) for c in batch.columns]).alias("row"))).alias("m"))
+        own = one.select("m.row.*")
+        known = registry.current(number, own.select("file_path"))
+        done = ingest(own, known, store.spark.createDataFrame([], CHUNKS), as_of)
+        touched = done.changes.filter("state in ('new', 'changed')").select("file_path")
+        store.write(number, done.chunks, touched.withColumnRenamed("file_path", "source"))
+        registry.write(number, done.registry.join(touched, "file_path", "left_semi"), touched)
 
     return for_batches(files, act, checkpoint)
 

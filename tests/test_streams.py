@@ -2,13 +2,15 @@
 
 import datetime
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.operators import dedup as D
 from corpusloom.plans import streaming_queries
 from corpusloom.plans.ingest import ingest
-from corpusloom.sources.store import Snapshots
+from corpusloom.sources.store import Snapshots, chunk_store, file_registry
 from corpusloom.streaming import streams as T
 
 AT = "2024-01-02 00:00:00"
@@ -36,9 +38,7 @@ def test_a_stream_of_several_batches_keeps_them_all(spark, tmp_path):
     rows = [(f"f{i}", f"h{i}", "t", 9, f"# Title {i}\nwords of file {i}") for i in range(5)]
     for row in rows:
         spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "arriving"))
-    store, registry = Snapshots(spark, str(tmp_path / "store")), Snapshots(spark, str(tmp_path / "registry"))
-    store.commit(spark.createDataFrame([], "chunk_id string, source string, source_type string, content_type string, heading_path string, text string"), AT)
-    registry.commit(spark.createDataFrame([], "file_path string, content_hash string, source_type string, chunk_count long, file_size long, ingested_at timestamp, updated_at timestamp"), AT)
+    store, registry = chunk_store(spark, str(tmp_path / "store")), file_registry(spark, str(tmp_path / "registry"))
     stream = T.read_table(spark, str(tmp_path / "arriving"), schema, 1)
     query = T.ingest_stream(stream, store, registry, str(tmp_path / "checkpoint"), AT)
     query.awaitTermination()
@@ -55,23 +55,69 @@ def test_registered_ingestion_takes_every_document(spark):
     store = spark.createDataFrame([], "chunk_id string, source string, source_type string, content_type string, heading_path string, text string")
     registry = spark.createDataFrame([], "file_path string, content_hash string, source_type string, chunk_count long, file_size long, ingested_at timestamp, updated_at timestamp")
     files = docs.select("doc_id", F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("file_path"), F.md5("text").alias("content_hash"), F.col("source").alias("source_type"), F.col("n_chars").alias("file_size"), "text")
-    want = {}
+    want, changed = {}, F.col("doc_id") % 10 == 0
     for i in range(streaming_queries.ARRIVALS):
-        part = ingest(files.filter(F.col("doc_id") % streaming_queries.ARRIVALS == i).drop("doc_id"), registry, store, AT)
-        for r in part.chunks.groupBy("source_type").count().collect():
+        part = ingest(files.filter((F.col("doc_id") % streaming_queries.ARRIVALS == i) & ~changed).drop("doc_id"), registry, store, AT)
+        whole = ingest(files.filter(F.col("doc_id") % streaming_queries.ARRIVALS == i).drop("doc_id"), registry, store, AT)
+        # a chunk that a changed file had first is not given to a file that had it too: dedup is per batch
+        assert part.chunks.count() <= whole.chunks.count()
+        for r in whole.chunks.join(files.filter(~changed).select(F.col("file_path").alias("source")), "source", "left_semi").groupBy("source_type").count().collect():
             want[r.source_type] = want.get(r.source_type, 0) + r["count"]
+    again = files.filter(changed).withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit("\n\nA closing line of its own."))).drop("doc_id")
+    for r in ingest(again, registry, store, AT).chunks.groupBy("source_type").count().collect():
+        want[r.source_type] = want.get(r.source_type, 0) + r["count"]
     assert {s: r.chunks for s, r in got.items()} == want
     assert {s: r.registered_chunks for s, r in got.items()} == want
 
 
-def test_near_copies_do_not_push_kept_rows_out(spark, tmp_path):
-    """More copies than the window holds, then another copy, over several batches; a band at rest is forgotten."""
+def loop(rows, window, distance):
+    """What a scan of all rows in order finds: exact copies by their text, then near ones among the last rows kept."""
+    seen, kept, found = set(), [], {}
+    for i, text, h in rows:
+        if text in seen:
+            continue
+        seen.add(text)
+        found[i] = any((h ^ k).bit_count() <= distance for k in kept)
+        if not found[i]:
+            kept = [*kept, h][-window:]
+    return found
+
+
+@pytest.mark.parametrize("window", [5, 1000])
+def test_near_copies_equal_the_scan_in_order(spark, tmp_path, window):
+    """Over several batches, with exact copies, near copies that come back after the window has passed, and blanks."""
+    rng = random.Random(4)
+    vocabulary = [f"word{i}" for i in range(400)]
+    bases = [rng.choices(vocabulary, k=250) for _ in range(9)]
+    texts = []
+    for _ in range(160):
+        words = list(rng.choice(bases))
+        for _ in range(rng.choice([0, 1, 1, 2, 60])):
+            words[rng.randrange(250)] = rng.choice(vocabulary)
+        texts.append(" ".join(words))
+    texts += ["", "", None, "Ünï  CODE", "ünï code"]
+    day = datetime.datetime(2024, 1, 1)
+    rows = [(i, day, t) for i, t in enumerate(texts)]
+    at, check = str(tmp_path / "in"), str(tmp_path / "check")
+    for i in range(0, len(rows), 40):
+        spark.createDataFrame(rows[i : i + 40], "row_id long, ts timestamp, text string").coalesce(1).write.mode("append").parquet(at)
+        T.dedup_fuzzy_stream(T.read_table(spark, at, "row_id long, ts timestamp, text string"), str(tmp_path / f"out{i}"), check, window=window).awaitTermination()
+    got = {r.row_id: r.similar for i in range(0, len(rows), 40) for r in spark.read.parquet(str(tmp_path / f"out{i}")).collect()}
+    hashed = spark.createDataFrame(rows, "row_id long, ts timestamp, text string").select("row_id", D.normalize_text(F.col("text")).alias("t"), D.simhash64(F.col("text")).alias("h")).orderBy("row_id").collect()
+    assert got == loop([(r.row_id, r.t, r.h % 2**64) for r in hashed], window, 3)
+    assert sum(got.values()) > 20
+
+
+def test_lanes_have_windows_of_their_own_and_are_forgotten(spark, tmp_path):
     words = " ".join(f"word{i}" for i in range(300))
     day = lambda i: datetime.datetime(2024, 1, 1 + i)
     at, check = str(tmp_path / "in"), str(tmp_path / "check")
-    arrivals = [[(0, day(0), words), *[(i, day(0), words) for i in range(1, 12)], (50, day(0), "quite another text")], [(60, day(0), words)], [(70, day(9), "nothing like it")], [(80, day(9), words)]]
+    arrivals = [[(0, day(0), words, "a"), (1, day(0), words + " more", "b"), (2, day(0), words + " yet", "a")], [(3, day(9), "nothing like it", "c")], [(4, day(9), words + " again", "a")]]
+    kind = "row_id long, ts timestamp, text string, source string"
+    found = {}
     for i, rows in enumerate(arrivals):
-        spark.createDataFrame(rows, "row_id long, ts timestamp, text string").coalesce(1).write.mode("append").parquet(at)
-        T.dedup_fuzzy_stream(T.read_table(spark, at, "row_id long, ts timestamp, text string"), str(tmp_path / f"out{i}"), check, window=5).awaitTermination()
-    found = {r.row_id for i in range(4) for r in spark.read.parquet(str(tmp_path / f"out{i}")).filter("is_near_copy").collect()}
-    assert found == {*range(1, 12), 60}
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(at)
+        T.dedup_fuzzy_stream(T.read_table(spark, at, kind), str(tmp_path / f"out{i}"), check, window=5, lane=F.col("source")).awaitTermination()
+        found |= {r.row_id: r.similar for r in spark.read.parquet(str(tmp_path / f"out{i}")).collect()}
+    assert found == {0: False, 1: False, 2: True, 3: False, 4: False}
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", "").endswith("RocksDBStateStoreProvider") is False
