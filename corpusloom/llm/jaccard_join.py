@@ -13,7 +13,7 @@ would share fewer than r - d. Each of them becomes a key; empty segments hardly
 
 Sets that share a key are compared in three steps: by the Hamming distance of short sketches, which is a lower bound like
 that of the long ones, then by their whole sets of shingles. First each set meets one set nearby in the same key
-(a centre), then, in a few turns, one of another component, and components are made from the links found. Then only pairs
+(a centre), then a few neighbours of other components, and components are made from the links found each time. Then only pairs
 of one key that lie in different components are left; these are all compared, in cells of bounded size. No pair of a key that could change the components is
 left out, and a group of thousands of near copies costs a few comparisons for each of its members.
 
@@ -39,8 +39,8 @@ SEGMENTS, BITS = (5, 4), 4096
 CENTRE, CELL = 64, 1024
 #: A set of more than this share of the rows is hot; there are fewer than its inverse.
 HOT = 1000
-#: Turns in which sets meet one neighbour of another component in each key, before all pairs of these that are left.
-TURNS = 4
+#: Neighbours of other components that a set meets in each key, before all pairs of these that are left.
+NEIGHBOURS = 3
 #: Numbers of sets that are broadcast; more are joined by a shuffle.
 BROADCAST = 1_000_000
 
@@ -330,12 +330,14 @@ class Join:
         held = self.keys.select("key", "set", F.shiftright("set", 1).alias("node")).join(groups, "node", "left")
         return held.withColumn("group", F.coalesce("component", "node")).drop("component")
 
-    def beside(self, groups: DataFrame, met: DataFrame, turn: int) -> DataFrame:
-        """Distinct pairs of different components that lie side by side in one of their keys, in an order of the turn's
-        own, without those met before."""
-        order = Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(turn)), "node")
-        held = self._grouped(groups).withColumn("x", F.lag("node").over(order)).withColumn("y", F.lag("group").over(order))
-        pairs = held.filter(F.col("y") != F.col("group")).select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b"))
+    def beside(self, groups: DataFrame, met: DataFrame) -> DataFrame:
+        """Distinct pairs of different components that lie NEIGHBOURS places or fewer apart in one of their keys, without
+        those met before."""
+        order = Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(1)), "node")
+        before = [F.struct(F.lag("node", i).over(order).alias("node"), F.lag("group", i).over(order).alias("group")) for i in range(1, NEIGHBOURS + 1)]
+        held = self._grouped(groups).select("node", "group", F.array(*before).alias("before"))
+        held = held.select("node", "group", F.explode("before").alias("x")).filter("x.group <> group")
+        pairs = held.select(F.least("node", "x.node").alias("a"), F.greatest("node", "x.node").alias("b"))
         return checkpoint(pairs.distinct().join(met, ["a", "b"], "left_anti"))
 
     def across(self, groups: DataFrame, met: DataFrame, cell: int) -> DataFrame:
@@ -359,12 +361,8 @@ class Join:
             own = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
             return checkpoint(connected_components(own.unionByName(links)))
 
-        for turn in range(TURNS):
-            pairs = self.beside(groups, met, turn)
-            links = self.similar(pairs)
-            if links.isEmpty():
-                break
-            met, groups = met.unionByName(pairs), joined(links)
+        pairs = self.beside(groups, met)
+        met, groups = met.unionByName(pairs), joined(self.similar(pairs))
         rest = self.across(groups, met, cell)
         return groups if rest.isEmpty() else joined(self.similar(rest))
 
