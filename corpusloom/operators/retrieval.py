@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from corpusloom.functions.storage import checkpoint
 from corpusloom.operators.query import expand_abbreviations
@@ -19,6 +20,8 @@ QUERY_BLOCK, SLAB = 1024, 65_536
 PIECE = 4096
 #: Terms of queries that are broadcast at most, and the parts of a term's rows beyond.
 HELD_TERMS, SALTS = 500_000, 32
+#: Pivots of a semantic cache, and the entries or queries of a cell beyond which it is cut.
+PIVOTS, CACHE_CELL = 32, 4096
 K1, B = 1.2, 0.75
 
 
@@ -397,13 +400,150 @@ def context_hash(ranked: DataFrame) -> DataFrame:
     return gathered.select("query_id", F.md5(F.array_join(F.transform("_p", lambda x: x["p"]), "|").cast("binary")).alias("context_hash"))
 
 
-def semantic_lookup(queries: DataFrame, cache: DataFrame, threshold: float = 0.92, ttl: int = 3600) -> DataFrame:
+def _spread_pivots(units: np.ndarray, n: int) -> np.ndarray:
+    """At most n unit vectors, each the farthest in angle from those before it."""
+    chosen = [0]
+    near = units @ units[0]
+    while len(chosen) < min(n, len(units)) and near.min() < 1 - 1e-9:
+        chosen.append(int(np.argmin(near)))
+        near = np.maximum(near, units @ units[chosen[-1]])
+    return units[chosen]
+
+
+def _angles(units: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(units @ pivots.T, -1, 1))
+
+
+def _units(column: pa.Array, width: int) -> np.ndarray:
+    """Unit vectors, zeros after the shorter ones; zeros for those of length 0."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+    m = np.zeros((len(sizes), width))
+    m[np.arange(width)[None, :] < sizes[:, None]] = column.flatten().to_numpy(zero_copy_only=False)
+    norms = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(norms > 0, norms, 1)
+
+
+def _nearest_pivot(pivots: np.ndarray):
+    """Adds the nearest pivot of each entry and the angle to it."""
+
+    def apply(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            angles = _angles(_units(b.column("_e"), pivots.shape[1]), pivots)
+            own = angles.argmin(axis=1) if len(angles) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own.astype(np.int32)), pa.array(angles[np.arange(len(own)), own])], [*b.schema.names, "pivot", "angle"])
+
+    return apply
+
+
+def _pivots_in_reach(pivots: np.ndarray, radius: np.ndarray, reach: float):
+    """Adds the pivots whose entries can lie within the angle `reach` of each query: those whose farthest entry is near
+    enough, and that are not farther than the nearest pivot by more than twice the reach."""
+
+    def apply(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            angles = _angles(_units(b.column("embedding"), pivots.shape[1]), pivots)
+            live = (angles <= reach + radius + 1e-6) & (angles <= angles.min(axis=1, keepdims=True) + 2 * reach + 1e-6)
+            found = [np.flatnonzero(x).astype(np.int32) for x in live]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.list_(pa.int32()))], [*b.schema.names, "pivot"])
+
+    return apply
+
+
+_CELL = ["context_hash", "size", "slot", "pivot", "part", "turn"]
+
+
+def _best_in_cells(threshold: float, ttl: int, width: int, out: pa.Schema):
+    """The best entry for each query in each cell of a bucket: highest similarity (12 digits), then oldest, then least id."""
+
+    def apply(key: tuple, asked: pa.Table, held: pa.Table) -> pa.Table:
+        if not asked.num_rows or not held.num_rows:
+            return out.empty_table()
+        held = held.sort_by([("_at", "ascending"), ("entry_id", "ascending")])
+        cells = held.select(_CELL).to_pandas().groupby(_CELL, sort=False).indices
+        wanted = asked.select(_CELL).to_pandas().groupby(_CELL, sort=False).indices
+        entries, queries = _units(held.column("_e"), width), _units(asked.column("embedding"), width)
+        since, until = (t.cast(pa.int64()).to_numpy() for t in (held.column("_at").cast(pa.timestamp("us", "UTC")), asked.column("ts").cast(pa.timestamp("us", "UTC"))))
+        q_rows, e_rows, scores = [], [], []
+        for cell, own in wanted.items():
+            there = cells.get(cell)
+            for at in range(0, len(own) if there is not None else 0, QUERY_BLOCK):
+                some = own[at : at + QUERY_BLOCK]
+                s = queries[some] @ entries[there].T
+                age = until[some, None] // 1_000_000 - since[None, there] // 1_000_000
+                s[(since[None, there] > until[some, None]) | (age > ttl) | (s < threshold)] = -np.inf
+                first = np.round(s, 12).argmax(axis=1)  # of equals the first, in the order of times and ids
+                hit = s[np.arange(len(some)), first] > -np.inf
+                q_rows.append(some[hit])
+                e_rows.append(there[first[hit]])
+                scores.append(s[np.flatnonzero(hit), first[hit]])
+        if not q_rows:
+            return out.empty_table()
+        q, e = pa.array(np.concatenate(q_rows)), pa.array(np.concatenate(e_rows))
+        return pa.Table.from_arrays([asked.column("query_id").take(q), held.column("entry_id").take(e), held.column("_at").take(e), pa.array(np.concatenate(scores))], names=out.names).cast(out)
+
+    return apply
+
+
+def semantic_lookup(
+    queries: DataFrame, cache: DataFrame, threshold: float = 0.92, ttl: int = 3600, pivots: int = PIVOTS, cell: int = CACHE_CELL
+) -> DataFrame:
     """queries (query_id, context_hash, embedding, ts) with the best cached answer (entry_id, similarity) of equal context
-    that has not expired and reaches the threshold; the oldest of equals. Nulls are misses."""
-    held = cache.select("context_hash", "entry_id", F.col("embedding").alias("_e"), F.col("stored_at").alias("_at"))
-    met = queries.join(held, "context_hash").filter((F.col("_at") <= F.col("ts")) & (F.unix_timestamp("ts") - F.unix_timestamp("_at") <= ttl))
-    scored = met.select("query_id", "entry_id", "_at", cosine(F.col("embedding"), F.col("_e")).alias("similarity")).filter(F.col("similarity") >= threshold)
-    best = scored.groupBy("query_id").agg(F.min_by(F.struct("entry_id", "similarity"), F.struct(-F.round("similarity", 12), "_at", "entry_id")).alias("b"))
+    that has not expired and reaches the threshold; the oldest of equals. Nulls, vectors with a null or a component that is
+    not finite, and vectors of different sizes are misses.
+
+    Entries lie in cells of their context, their span of `ttl` seconds and their nearest pivot (a few vectors of a bounded
+    sample, far from each other). A query meets two spans, and the pivots that the triangle inequality of angles leaves.
+    A cell of more than `cell` entries or queries, such as that of all queries without a context, is cut into parts by
+    hashes of their ids, and a task takes a bucket of about so many rows of any cells."""
+    finite = lambda c: F.forall(F.col(c), lambda x: F.coalesce(~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")), F.lit(False)))
+    span = max(1, ttl)
+    held = cache.select("context_hash", "entry_id", F.col("embedding").cast("array<double>").alias("_e"), F.col("stored_at").cast("timestamp").alias("_at"))
+    held = held.dropna().filter(finite("_e")).withColumn("size", F.size("_e")).withColumn("slot", F.floor(F.unix_timestamp("_at") / span))
+    asked = queries.select("context_hash", "query_id", F.col("embedding").cast("array<double>").alias("embedding"), F.col("ts").cast("timestamp").alias("ts"))
+    asked = asked.dropna().filter(finite("embedding")).withColumn("size", F.size("embedding"))
+    some = held.orderBy(F.xxhash64("entry_id", F.lit(3)), "entry_id").select("_e").limit(8 * pivots).collect()  # a bounded sample
+    width = max(df.agg(F.max("size")).first()[0] or 0 for df in (held, asked))
+    units = _units(pa.array([r["_e"] for r in some], pa.list_(pa.float64())), width) if some else np.zeros((0, 0))
+    units = units[np.linalg.norm(units, axis=1) > 0]
+    # without a positive threshold vectors of length 0 match too, and these have no angle
+    chosen = _spread_pivots(units, pivots) if len(units) and threshold > 0 else np.zeros((1, width))
+    kept = [f"{c} {held.schema[c].dataType.simpleString()}" for c in held.columns]
+    held = checkpoint(held.mapInArrow(_nearest_pivot(chosen), f"{', '.join(kept)}, pivot int, angle double"))
+    radius = np.full(len(chosen), -np.inf)
+    for r in held.groupBy("pivot").agg(F.max("angle").alias("m"), F.count(F.lit(1)).alias("n")).collect():  # one row a pivot
+        radius[r["pivot"]] = r["m"] if threshold > 0 else np.inf
+    reach = float(np.arccos(np.clip(threshold, -1, 1)))
+    sent = [f"{c} {asked.schema[c].dataType.simpleString()}" for c in asked.columns]
+    asked = asked.mapInArrow(_pivots_in_reach(chosen, radius, reach), f"{', '.join(sent)}, pivot array<int>").withColumn("pivot", F.explode("pivot"))
+    slots = F.array(*[F.floor(F.unix_timestamp("ts") / span) - i for i in (0, 1)])
+    asked = checkpoint(asked.withColumn("slot", F.explode(slots)))
+    where = ["context_hash", "size", "slot", "pivot"]
+
+    def large(df: DataFrame, name: str) -> DataFrame:
+        """The cells with more than `cell` rows: at most a row for so many rows."""
+        return checkpoint(df.groupBy(*where).agg(F.ceil(F.count(F.lit(1)) / cell).cast("int").alias(name)).filter(F.col(name) > 1))
+
+    parts, turns = large(held, "parts"), large(asked, "turns")
+
+    def cut(df: DataFrame) -> DataFrame:
+        for x in (parts, turns):
+            df = df.join(F.broadcast(x) if x.count() <= HELD_TERMS else x, where, "left")
+        return df.fillna(1, ["parts", "turns"])
+
+    rows = cut(held).withColumn("part", F.pmod(F.xxhash64("entry_id"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("turn", F.explode(F.expr("sequence(0, turns - 1)")))
+    calls = cut(asked).withColumn("turn", F.pmod(F.xxhash64("query_id"), F.col("turns")).cast("int"))
+    calls = calls.withColumn("part", F.explode(F.expr("sequence(0, parts - 1)")))
+    buckets = max(1, -(-(held.count() + asked.count()) // (2 * cell)))
+    bucket = F.pmod(F.xxhash64(*_CELL), F.lit(buckets)).alias("bucket")
+    rows = rows.select(bucket, *_CELL, "entry_id", "_e", "_at")
+    calls = calls.select(bucket, *_CELL, "query_id", "embedding", "ts")
+    kinds = {c: df.schema[c].dataType for df, c in ((asked, "query_id"), (held, "entry_id"), (held, "_at"))}
+    kind = ", ".join(f"{c} {t.simpleString()}" for c, t in kinds.items()) + ", similarity double"
+    out = to_arrow_schema(queries.sparkSession.createDataFrame([], kind).schema)
+    met = calls.groupBy("bucket").cogroup(rows.groupBy("bucket")).applyInArrow(_best_in_cells(threshold, ttl, width, out), kind)
+    best = met.groupBy("query_id").agg(F.min_by(F.struct("entry_id", "similarity"), F.struct(-F.round("similarity", 12), "_at", "entry_id")).alias("b"))
     return queries.join(best, "query_id", "left").select(*queries.columns, F.col("b.entry_id").alias("entry_id"), F.col("b.similarity").alias("similarity"))
 
 
