@@ -12,16 +12,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
 
+from corpusloom.functions.components import connected_components
 from corpusloom.functions.storage import checkpoint, spread
 
 BITS, THRESHOLD = 64, 0.95
 #: Keys of a value in near_values at most, where the distance allows a choice.
 KEYS = 32
-#: Undecided pairs that one task scans in order; more are cut down in rounds first.
+#: Pairs that one task scans in order at a time; more are dealt by component, and by blocks of a component.
 SCAN = 1_000_000
 
 
@@ -142,40 +143,60 @@ def near_pairs(df: DataFrame, order: str, threshold: float = THRESHOLD, simhash:
 
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs by later, then earlier row: an earlier row is decided before any pair in which it could make another fall."""
-    fallen = set()
+    """Pairs by component, later and earlier row: an earlier row is decided before any pair in which it could make another
+    fall. What has fallen is held for one component at a time."""
+    fallen, own = set(), None
     for b in batches:
-        new = []
-        for earlier, later in zip(b["earlier"], b["later"], strict=True):
+        new, groups = [], []
+        for component, earlier, later in zip(b["component"], b["earlier"], b["later"], strict=True):
+            if component != own:
+                fallen, own = set(), component
             if earlier not in fallen and later not in fallen:
                 fallen.add(later)
                 new.append(later)
-        yield pd.DataFrame({"r": pd.Series(new, dtype=b["later"].dtype)})
+                groups.append(component)
+        yield pd.DataFrame({"r": pd.Series(new, dtype=b["later"].dtype), "component": pd.Series(groups, dtype=b["component"].dtype)})
+
+
+def _scanned(pairs: DataFrame) -> DataFrame:
+    kind = f"r {pairs.schema['later'].dataType.simpleString()}, component {pairs.schema['component'].dataType.simpleString()}"
+    return pairs.sortWithinPartitions("component", "later", "earlier").select("component", "earlier", "later").mapInPandas(_scan, kind)
 
 
 def fuzzy_dropped(pairs: DataFrame, keep: str = "first", scan: int = SCAN) -> DataFrame:
     """Rows (column r) that a scan in order drops: with keep first, those with an earlier similar row that stays; with
     keep last, those with any later similar row.
 
-    Pairs up to `scan` are scanned in order by one task. While there are more, rounds decide them side by side: rows
-    without an undecided earlier neighbour stay, their later neighbours fall. A round always decides the first row left,
-    so the rounds end by themselves."""
+    Pairs up to `scan` are scanned in order by one task. More are dealt by connected component, as components decide
+    for themselves, and a task scans the components it has one after the other. A component of more pairs than that is
+    cut in order into blocks of about so many; the first block of each such component is scanned, then the second, and so on, each
+    without the pairs whose rows have fallen. So no task scans more at a time, and the blocks of the largest component are
+    the number of rounds, whatever the pairs look like."""
     if keep == "last":
         return pairs.select(F.col("earlier").alias("r")).distinct()
-    open_, parts = checkpoint(pairs.distinct()), []
-    while open_.limit(scan + 1).count() > scan:
-        stay = open_.select(F.col("earlier").alias("r")).join(open_.select(F.col("later").alias("r")).distinct(), "r", "left_anti").distinct()
-        fall = checkpoint(open_.join(stay.withColumnRenamed("r", "earlier"), "earlier", "left_semi").select(F.col("later").alias("r")).distinct())
-        parts.append(fall)
-        open_ = checkpoint(
-            open_.join(stay.withColumnRenamed("r", "earlier"), "earlier", "left_anti")
-            .join(fall.withColumnRenamed("r", "earlier"), "earlier", "left_anti")
-            .join(fall.withColumnRenamed("r", "later"), "later", "left_anti")
-        )
-    dropped = open_.coalesce(1).sortWithinPartitions("later", "earlier").mapInPandas(_scan, f"r {open_.schema['later'].dataType.simpleString()}")
-    for fall in parts:
-        dropped = dropped.unionByName(fall)
-    return dropped.distinct() if parts else dropped
+    open_ = checkpoint(pairs.distinct())
+    if open_.limit(scan + 1).count() <= scan:
+        return _scanned(open_.withColumn("component", F.lit(0)).coalesce(1)).select("r")
+    groups = checkpoint(connected_components(open_.select(F.col("earlier").alias("a"), F.col("later").alias("b"))))
+    named = checkpoint(open_.join(groups.withColumnRenamed("node", "earlier"), "earlier"))
+    huge = checkpoint(named.groupBy("component").agg(F.count(F.lit(1)).alias("pairs")).filter(F.col("pairs") > scan))  # at most a row for `scan` pairs
+    dropped = _scanned(named.join(huge, "component", "left_anti").repartition("component")).select("r")
+    total = huge.agg(F.sum("pairs").alias("n")).first()["n"]
+    if not total:
+        return dropped
+    wide = named.join(F.broadcast(huge.select("component")) if huge.count() <= scan else huge.select("component"), "component", "left_semi")
+    blocks = wide.repartitionByRange(math.ceil(total / max(1, scan)), "component", "later", "earlier").withColumn("_at", F.spark_partition_id())
+    blocks = checkpoint(blocks)
+    turn = F.row_number().over(Window.partitionBy("component").orderBy("_at"))
+    turns = checkpoint(blocks.select("component", "_at").distinct().withColumn("turn", turn))
+    blocks, fallen = blocks.join(F.broadcast(turns), ["component", "_at"]), None  # a row for a block and component
+    for i in range(1, turns.agg(F.max("turn")).first()[0] + 1):
+        own = blocks.filter(F.col("turn") == i).select("component", "earlier", "later")
+        for name in ("earlier", "later") if fallen is not None else ():
+            own = own.join(fallen.select("component", F.col("r").alias(name)), ["component", name], "left_anti")
+        new = checkpoint(_scanned(own.repartition("component")))
+        fallen = new if fallen is None else fallen.unionByName(new)
+    return dropped.unionByName(fallen.select("r"))
 
 
 def mark_duplicates(df: DataFrame, order: str, text: str = "text", keep: str = "first", threshold: float = THRESHOLD) -> DataFrame:

@@ -4,6 +4,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.functions.percentiles import index_percentiles
 from corpusloom.operators import dedup as D
@@ -18,7 +19,7 @@ def greedy(pairs):
     return fallen
 
 
-@pytest.mark.parametrize("scan", [0, 5, D.SCAN])
+@pytest.mark.parametrize("scan", [5, 20, D.SCAN])
 def test_fuzzy_scan_and_rounds_agree(spark, scan):
     rng = random.Random(3)
     chain = [(i, i + 1) for i in range(12)]
@@ -34,6 +35,22 @@ def test_a_long_chain_of_near_copies_is_decided(spark):
     assert {r.r for r in got.collect()} == set(range(1, 3001, 2))
 
 
+def test_components_beyond_a_scan_are_cut_in_blocks(spark, monkeypatch):
+    """A chain in order, two dense components and many small ones; no task scans more than about a block."""
+    rng = random.Random(8)
+    pairs = {(i, i + 1) for i in range(700)}
+    for base, n, m in ((1000, 60, 500), (2000, 90, 900)):
+        pairs |= {tuple(sorted(rng.sample(range(base, base + n), 2))) for _ in range(m)}
+    for base in range(5000, 9000, 40):
+        pairs |= {tuple(sorted(rng.sample(range(base, base + 8), 2))) for _ in range(12)}
+    rounds = []
+    whole = D._scanned
+    monkeypatch.setattr(D, "_scanned", lambda p: rounds.append(p.groupBy("component").count().agg(F.max("count")).first()[0]) or whole(p))
+    got = D.fuzzy_dropped(spark.createDataFrame(sorted(pairs), "earlier long, later long"), scan=200)
+    assert sorted(r.r for r in got.collect()) == sorted(greedy(pairs))
+    assert max(r or 0 for r in rounds) <= 400 and len(rounds) < 12
+
+
 def test_no_pairs_and_text_keys(spark):
     none = spark.createDataFrame([], "earlier string, later string")
     assert D.fuzzy_dropped(none).collect() == []
