@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions.storage import checkpoint
+
 #: Parameter of the approximate quantiles that bracket a wanted place: their error in places is n / ACCURACY.
 ACCURACY = 10_000
+#: Groups whose brackets are broadcast; those of more are joined by a shuffle.
+GROUPS = 100_000
 
 
 def index_of(values: Column, p: float) -> Column:
@@ -37,6 +41,10 @@ def index_percentiles(df: DataFrame, value: str, ps: dict[str, float], keys: lis
         for i, (name, p) in enumerate(ps.items())
     ]
     span = span.select(*by, F.array(*wanted).alias("_w"))
+    if keys:
+        span = checkpoint(span)
+    # one row without keys; a row for each group else, broadcast up to GROUPS of them
+    span = F.broadcast(span) if not keys or span.count() <= GROUPS else span.hint("merge")
     met = rows.join(span, by).select(*keys, "_all", "_v", F.explode("_w").alias("_w")).filter(F.col("_v") <= F.col("_w.high"))
     # rows below the bracket are one row of a null value
     inside = F.when(F.col("_v") >= F.col("_w.low"), F.col("_v"))

@@ -130,3 +130,15 @@ def test_index_percentiles_of_uneven_values(spark, name):
     for label, p in shares.items():
         assert got["g"][label] == ordered[min(int(len(ordered) * p), len(ordered) - 1)]
         assert got["h"][label] == 2.0
+
+
+@pytest.mark.parametrize("keys", [None, ["g"]])
+def test_percentiles_broadcast_the_brackets_and_not_the_values(spark, monkeypatch, keys):
+    from corpusloom.functions import percentiles as P
+
+    df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("v"), (F.col("id") % 3).alias("g"))
+    plan = P.index_percentiles(df, "v", {"p50": 0.5}, keys)._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan
+    want = {tuple(r) for r in P.index_percentiles(df, "v", {"p50": 0.5}, keys).collect()}
+    monkeypatch.setattr(P, "GROUPS", 0)
+    assert {tuple(r) for r in P.index_percentiles(df, "v", {"p50": 0.5}, keys).collect()} == want
