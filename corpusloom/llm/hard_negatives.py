@@ -30,7 +30,7 @@ from corpusloom.llm.topk import EXACT, _matrix, best
 #: Rows that the split points are chosen from, split points of a node, levels of split points, candidates for each split point.
 TREE_ROWS, FAN, LEVELS, TRIES = 4096, 8, 3, 4
 #: Bytes of a part of a leaf or a slab of anchors in a task (a component as a double), and rows below which splitting doesn't pay.
-TASK_BYTES, LEAST_ROWS = 64_000_000, 4096
+TASK_BYTES, LEAST_ROWS = 64_000_000, 512
 #: Rows of the table that a leaf is about to have; anchors whose products are taken at once.
 LEAF_ROWS, TOGETHER = 2048, 64
 #: Distances are compared with this much room for each unit of length, as they are rounded; leaves decide in whole numbers.

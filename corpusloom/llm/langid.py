@@ -16,7 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from corpusloom.llm.common import carried
 from corpusloom.llm.quality import held_out
 
 DIMS, NGRAMS = 1 << 15, 3
@@ -144,7 +146,9 @@ def _rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, taught: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = TRAIN_ROWS) -> Model:
-    """A model from the documents for which `taught` holds and whose language is not null."""
+    """A model from the documents for which `taught` holds and whose language is not null. Document frequencies come from
+    all of them, weights from at most `rows`; of rows with one id, all are in that sample or none. Rows without an id
+    only count in the frequencies."""
     known = docs.filter(taught & F.col(f"`{lang}`").isNotNull()).select(
         F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{lang}`").alias("_lang"), F.col(f"`{text}`").alias("_text")
     )
@@ -178,21 +182,22 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with _lang_pred and _lang_score, the calibrated probability of the prediction.
 
     A text that is null, empty or without a letter is `und` with score 0, and so is every text if nothing was learned.
-    Every row gives one row; other columns pass through, whatever their names; an empty table gives an empty table."""
-    names = docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    Every row gives one row, repeated ones too; other columns pass through, whatever their names; one named like an output
+    is replaced by it. An empty table gives an empty table."""
+    names = [c for c in docs.columns if c.lower() not in ("_lang_pred", "_lang_score")]
+    held, at = docs.select(carried(docs, "_lang_pred", "_lang_score")), names.index(text)
+    schema = StructType([held.schema["row"], StructField("pred", StringType()), StructField("score", DoubleType())])
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def apply(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            found = [sent.value.predict(t.as_py()) for t in b.column(b.num_columns - 1)]
+            found = [sent.value.predict(t.as_py()) for t in b.column(0).field(at)]
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:-1], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
-                [*names, "_lang_pred", "_lang_score"],
+                [b.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["row", "pred", "score"]
             )
 
-    held = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias("_whole"))
-    return held.mapInArrow(apply, f"{schema}, _lang_pred string, _lang_score double")
+    out = held.mapInArrow(apply, schema)
+    return out.select(*[F.col(f"row.`{c}`") for c in names], F.col("pred").alias("_lang_pred"), F.col("score").alias("_lang_score"))
 
 
 def taught_by_id(doc_id: str = "doc_id") -> Column:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.llm import class_lm, langid, quality
-from tests.llm.fixtures import documents, empty
+from tests.llm.fixtures import clashing, documents, empty
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 
@@ -196,6 +196,10 @@ def test_language_is_learned_and_calibrated(spark):
     assert (model.table == 0).mean() > 0.5  # sparse
     assert len(langid.identify(documents(spark), model).collect()) == documents(spark).count()
     assert langid.identify(empty(spark), model).count() == 0
+    odd = clashing(spark).select("*", F.lit(7).alias("_lang_pred"), F.lit(7).alias("_whole"), F.struct(F.lit(1).alias("x y")).alias("s t"))
+    out = langid.identify(odd, model)
+    assert sorted(out.columns) == sorted([*odd.columns, "_lang_score"])
+    assert out.filter("`a.b` = 7 and `s t`.`x y` = 1 and _whole = 7 and length(_lang_pred) > 1").count() == odd.count()
     nothing = langid.train(docs, F.lit(False))
     assert {r._lang_pred for r in langid.identify(docs, nothing).collect()} == {"und"}
 
