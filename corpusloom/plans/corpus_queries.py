@@ -302,13 +302,14 @@ def k01_split_fixed(spark, d):
     return docs(spark, d).select("doc_id", F.explode(K.split_fixed(F.col("text"))).alias("chunk")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.max(F.length("chunk")).alias("longest"))
 
 
-@query(
-    f"""WITH {_MARKDOWN}, l AS (SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', ''), chr(10))) AS line, generate_subscripts(string_split(regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', ''), chr(10)), 1) AS i FROM markdown),
+_TYPES = f"""WITH {_MARKDOWN}, l AS (SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', ''), chr(10))) AS line, generate_subscripts(string_split(regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', ''), chr(10)), 1) AS i FROM markdown),
 f AS (SELECT *, starts_with(line, '```') AS fence, sum(CASE WHEN starts_with(line, '```') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) % 2 = 1 AS inside FROM l),
 c AS (SELECT doc_id, fence OR inside AS code, NOT (fence OR inside) AND regexp_matches(line, '^\\s*[-*+]\\s|^\\s*\\d+\\.\\s') AS listed, NOT (fence OR inside) AND regexp_matches(line, '^\\|.*\\|') AS tabled FROM f),
 s AS (SELECT doc_id, count(*) * 0.5 AS half, count(*) FILTER (WHERE code) AS code, count(*) FILTER (WHERE listed) AS list, count(*) FILTER (WHERE tabled AND NOT listed) AS tab FROM c GROUP BY doc_id)
 SELECT doc_id, CASE WHEN code > half THEN 'code' WHEN tab > half THEN 'table' WHEN list > half THEN 'list' WHEN code + tab + list > 0 THEN 'mixed' ELSE 'prose' END AS content_type FROM s"""
-)
+
+
+@query(_TYPES)
 def k02_content_type(spark, d):
     return markdown(spark, d).select("doc_id", K.content_type(F.col("text")).alias("content_type"))
 
@@ -348,14 +349,15 @@ def k07_split_code(spark, d):
     return code.select("doc_id", F.size(K._udf(K.split_code)(F.col("text"))).alias("chunks"))
 
 
-@query(f"WITH {_MARKDOWN} SELECT count(*) AS documents FROM markdown")
+@query(f"SELECT content_type, count(*) AS n FROM ({_TYPES}) t GROUP BY content_type")
 def k08_chunk_type_counts(spark, d):
-    return K.chunk_type_counts(markdown(spark, d).select(K.content_type(F.col("text")).alias("content_type"))).agg(F.sum("n").alias("documents"))
+    """Documents, each one chunk, by type; k08_chunk_type_counts_chunks cuts them first."""
+    return K.chunk_type_counts(markdown(spark, d).select(K.content_type(F.col("text")).alias("content_type")))
 
 
 @query()
 def k08_chunk_type_counts_chunks(spark, d):
-    """Chunks by type; k08_chunk_type_counts has the SQL of a sum over the types of documents."""
+    """Chunks by type."""
     return K.chunk_type_counts(K.chunk_documents(markdown(spark, d))).orderBy("content_type")
 
 
@@ -434,22 +436,11 @@ def d08_dedup_fuzzy_last(spark, d):
     return D.mark_duplicates(docs(spark, d).select("doc_id", "text"), "doc_id", keep="last").filter("is_fuzzy_duplicate").select("doc_id")
 
 
-@query(f"WITH {_NORMAL}, g AS (SELECT count(*) AS c FROM normal GROUP BY t) SELECT CAST(sum(c) AS BIGINT) AS input, count(*) AS output, CAST(sum(c) - count(*) AS BIGINT) AS exact_removed, 0 AS fuzzy_removed, round((sum(c) - count(*)) / sum(c) * 100, 2) AS rate_percent FROM g")
-def d09_dedup_stats(spark, d):
-    return D.dedup_stats(D.mark_duplicates(docs(spark, d), "doc_id", threshold=1.0))
-
-
-@query(f"WITH {_NORMAL}, r AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id) AS k FROM normal) SELECT lang || ':' || source AS key, count(*) AS n FROM r WHERE k > 1 GROUP BY 1 ORDER BY n DESC, key LIMIT 20")
-def d09_duplicates_by_source(spark, d):
-    return D.duplicates_by_source(D.mark_duplicates(docs(spark, d), "doc_id", threshold=1.0), "lang", "source")
-
-
 @query(
     f"""{_GREEDY}, g AS (SELECT count(*) AS c FROM normal GROUP BY t), n AS (SELECT CAST(sum(c) AS BIGINT) AS input, CAST(sum(c) - count(*) AS BIGINT) AS exact_removed, (SELECT count(*) FROM fuzzy) AS fuzzy_removed FROM g)
 SELECT input, input - exact_removed - fuzzy_removed AS output, exact_removed, fuzzy_removed, round((exact_removed + fuzzy_removed) / input * 100, 2) AS rate_percent FROM n"""
 )
-def d09_dedup_stats_fuzzy(spark, d):
-    """With the fuzzy step over the exact survivors; the SQL of d09_dedup_stats states exact removals alone."""
+def d09_dedup_stats(spark, d):
     return D.dedup_stats(D.mark_duplicates(docs(spark, d), "doc_id"))
 
 
@@ -457,7 +448,7 @@ def d09_dedup_stats_fuzzy(spark, d):
     f"""{_GREEDY}, r AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id) AS k FROM normal), x AS (SELECT lang, source, '' AS kind FROM r WHERE k > 1 UNION ALL SELECT lang, source, ' (fuzzy)' FROM normal JOIN fuzzy USING (doc_id))
 SELECT coalesce(lang, 'unknown') || ':' || coalesce(source, 'unknown') || kind AS key, count(*) AS n FROM x GROUP BY 1 ORDER BY n DESC, key LIMIT 20"""
 )
-def d09_duplicates_by_source_fuzzy(spark, d):
+def d09_duplicates_by_source(spark, d):
     return D.duplicates_by_source(D.mark_duplicates(docs(spark, d), "doc_id"), "lang", "source")
 
 

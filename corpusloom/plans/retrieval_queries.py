@@ -10,7 +10,7 @@ from corpusloom.operators import query as Q
 from corpusloom.operators import retrieval as R
 from corpusloom.operators import validate as O
 from corpusloom.plans import views as V
-from corpusloom.plans.registry import SQL, query
+from corpusloom.plans.registry import query
 
 #: Wordings that are combined with the rows of events into a table of questions.
 WORDINGS = (
@@ -23,38 +23,17 @@ _LIST = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in WORDINGS) + "]
 _QUESTIONS = f"questions AS (SELECT event_id AS query_id, CAST(user_id AS VARCHAR) AS session_id, event_id % 3 AS turn, {_LIST}[event_id % {len(WORDINGS)} + 1] || ' ' || event_type AS text FROM events)"
 
 
-def _whole(f, held, cut=None, full=None):
-    """Registers f over the rows of held as <name>_whole, with f's own SQL in which full stands for cut. Where the SQL of a
-    query states shortened texts, it stays as it is and the whole job is done by the query of this name."""
-
-    def run(spark, d):
-        return f(spark, d, held)
-
-    run.__name__, run.__doc__ = f"{f.__name__}_whole", f.__doc__
-    sql = SQL.get(f.__name__) if cut else None
-    assert sql is None or cut in sql
-    return query(sql and sql.replace(cut, full))(run)
-
-
 def questions(spark, d):
     pick = F.element_at(F.array(*map(F.lit, WORDINGS)), (F.col("event_id") % len(WORDINGS) + 1).cast("int"))
     return V.table(spark, d, "events").select(F.col("event_id").alias("query_id"), F.col("user_id").cast("string").alias("session_id"), F.concat_ws(" ", pick, "event_type").alias("text"))
 
 
 def messages(spark, d):
-    pick = F.element_at(F.array(*map(F.lit, WORDINGS)), ((F.col("conv_id") + F.col("turn")) % len(WORDINGS) + 1).cast("int"))
-    return V.table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), "turn", "role", F.concat_ws(" ", pick, F.substring("text", 1, 30)).alias("text"))
-
-
-_MESSAGES = f"messages AS (SELECT CAST(conv_id AS VARCHAR) AS session_id, turn, role, {_LIST}[(conv_id + turn) % {len(WORDINGS)} + 1] || ' ' || substr(text, 1, 30) AS text FROM conversations)"
-
-
-def _whole_messages(spark, d):
     pick = F.element_at(F.array(*map(F.lit, WORDINGS)), ((F.col("conv_id") + F.col("turn")) % len(WORDINGS) + 1).cast("int"))
     return V.table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), "turn", "role", F.concat_ws(" ", pick, "text").alias("text"))
 
 
-_MESSAGES_WHOLE = _MESSAGES.replace("substr(text, 1, 30)", "text")
+_MESSAGES = f"messages AS (SELECT CAST(conv_id AS VARCHAR) AS session_id, turn, role, {_LIST}[(conv_id + turn) % {len(WORDINGS)} + 1] || ' ' || text AS text FROM conversations)"
 
 
 def _re(pattern, column="text"):
@@ -165,18 +144,18 @@ _ANY_REFERENCE = "(" + " OR ".join(_re(p, "trim(text)") for _, p in Q.REFERENCES
 
 
 @query(
-    f"""WITH {_MESSAGES_WHOLE}, b AS (SELECT *, count(*) OVER w AS before, count(*) FILTER (WHERE role = 'user') OVER w AS users, len(list_distinct(list_filter({_TERMS}, lambda t: length(t) > 2 AND t <> 'step'))) AS terms
+    f"""WITH {_MESSAGES}, b AS (SELECT *, count(*) OVER w AS before, count(*) FILTER (WHERE role = 'user') OVER w AS users, len(list_distinct(list_filter({_TERMS}, lambda t: length(t) > 2 AND t <> 'step'))) AS terms
 FROM messages WINDOW w AS (PARTITION BY session_id ORDER BY turn ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING))
 SELECT session_id, turn, CASE WHEN before = 0 THEN 'no_conversation_history' WHEN users = 0 THEN 'no_prior_user_messages' WHEN {_ANY_REFERENCE} AND length(trim(text)) < 50 THEN NULL
 WHEN len(regexp_extract_all(text, '\\S+')) <= 5 THEN NULL WHEN terms >= 3 THEN 'query_already_specific' WHEN length(trim(text)) <= 200 THEN NULL ELSE 'query_too_long' END AS skip_reason FROM b"""
 )
 def q14_should_expand(spark, d):
-    return Q.conversation_context(_whole_messages(spark, d)).select("session_id", "turn", Q.should_expand(F.col("text"), F.col("history_size"), F.col("has_user")).alias("skip_reason"))
+    return Q.conversation_context(messages(spark, d)).select("session_id", "turn", Q.should_expand(F.col("text"), F.col("history_size"), F.col("has_user")).alias("skip_reason"))
 
 
 @query()
 def q15_expand_followup(spark, d):
-    return Q.conversation_context(_whole_messages(spark, d)).select("session_id", "turn", Q.expand_followup(F.col("text"), F.col("terms"), F.col("topic")).alias("expanded"))
+    return Q.conversation_context(messages(spark, d)).select("session_id", "turn", Q.expand_followup(F.col("text"), F.col("terms"), F.col("topic")).alias("expanded"))
 
 
 @query(
@@ -213,10 +192,6 @@ def q19_validate_queries(spark, d):
     return Q.validate_queries(V.table(spark, d, "documents").select("doc_id", "text"), 2000)[1].select("doc_id", "reason")
 
 
-for _f in (q10_history, q12_domain_terms, q13_conversation_context):
-    _whole(_f, _whole_messages, _MESSAGES, _MESSAGES_WHOLE)
-
-
 # retrieval
 
 
@@ -225,12 +200,12 @@ def corpus(spark, d):
 
 
 def vectors(spark, d):
-    return V.table(spark, d, "embeddings").filter("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return V.table(spark, d, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 _V = "v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)"
 _COS = "list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e)) / sqrt(list_inner_product(b.e, b.e))"
-_PAIRS = f"{_V}, p AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, b.label, {_COS} AS s FROM v a JOIN v b ON a.vec_id % 25 = 0)"
+_PAIRS = f"{_V}, p AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, b.label, {_COS} AS s FROM v a JOIN v b ON a.vec_id % 20 = 0)"
 
 
 def _dense_sql(fetch, k, low, where=""):
@@ -275,10 +250,6 @@ def _texts(spark, d):
 
 
 def _text_queries(spark, d):
-    return V.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 12), " ").alias("text"))
-
-
-def _whole_text_queries(spark, d):
     return V.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
@@ -288,8 +259,7 @@ def _bm25(name, table, key, text):
 
 
 _C = _bm25("c", "documents", "doc_id", "text")
-_BQ = "bq AS (SELECT item_id, array_to_string(string_split(text, ' ')[1:12], ' ') AS text FROM benchmark)"
-_BQ_WHOLE = "bq AS (SELECT item_id, text FROM benchmark)"
+_BQ = "bq AS (SELECT item_id, text FROM benchmark)"
 _SPARSE = f"{_C}, {_BQ}, {_bm25('q', 'bq', 'item_id', 'text')}, ss AS (SELECT q.key AS query_id, c.key AS chunk_id, sum(c.w * q.w) AS score FROM q JOIN c USING (term) GROUP BY 1, 2), sparse AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM ss)"
 
 
@@ -331,7 +301,7 @@ def _hashed(text):
 @query()
 def r09_hybrid_topk(spark, d):
     texts = checkpoint(_texts(spark, d).withColumn("embedding", _hashed(R.tokens(F.col("text")))))
-    asked = _whole_text_queries(spark, d).withColumn("embedding", _hashed(R.tokens(F.col("text"))))
+    asked = _text_queries(spark, d).withColumn("embedding", _hashed(R.tokens(F.col("text"))))
     held = R.sparse_encode(texts, "chunk_id")
     return _ranked(R.hybrid_topk(asked, texts, held, texts, 10))
 
@@ -386,7 +356,7 @@ def r14_carry_similarity(spark, d, asked=_text_queries):
 
 @query(
     f"""WITH {_dense_sql(15, 5, 0.45)}, s AS (SELECT query_id, count(*) AS n, avg(score) AS a, max(score) AS m FROM dense WHERE rank <= 5 GROUP BY 1)
-SELECT v.vec_id AS query_id, n IS NULL OR a < 0.6 AS search, CASE WHEN n IS NULL THEN 'no_local_results' WHEN a < 0.6 THEN 'low_avg_score' END AS reason FROM v LEFT JOIN s ON s.query_id = v.vec_id WHERE v.vec_id % 25 = 0"""
+SELECT v.vec_id AS query_id, n IS NULL OR a < 0.6 AS search, CASE WHEN n IS NULL THEN 'no_local_results' WHEN a < 0.6 THEN 'low_avg_score' END AS reason FROM v LEFT JOIN s ON s.query_id = v.vec_id WHERE v.vec_id % 20 = 0"""
 )
 def r15_fallback_decision(spark, d):
     found = R.dense_topk(vectors(spark, d), corpus(spark, d), min_score=0.45)
@@ -394,7 +364,7 @@ def r15_fallback_decision(spark, d):
 
 
 @query(
-    f"""WITH {_SPARSE.replace(_BQ, _BQ_WHOLE)}, a AS (SELECT query_id, trim(text) AS body, coalesce(lang, 'Unknown') AS kind, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS no FROM sparse JOIN documents ON doc_id = chunk_id WHERE rank <= 20),
+    f"""WITH {_SPARSE}, a AS (SELECT query_id, trim(text) AS body, coalesce(lang, 'Unknown') AS kind, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS no FROM sparse JOIN documents ON doc_id = chunk_id WHERE rank <= 20),
 b AS (SELECT *, '[Source ' || no || ' - ' || kind || ']' || chr(10) AS head, CAST(no > 1 AS INT) AS gap FROM a), h AS (SELECT *, head || body || chr(10) AS whole FROM b), n AS (SELECT *, length(whole) // 4 + gap AS need FROM h),
 u AS (SELECT *, sum(need) OVER (PARTITION BY query_id ORDER BY no) AS used FROM n), s AS (SELECT *, min(CASE WHEN used > 1500 THEN no END) OVER (PARTITION BY query_id) AS stop, 1500 - (used - need) - gap AS room FROM u),
 p AS (SELECT query_id, no, stop, CASE WHEN stop IS NULL OR no < stop THEN whole WHEN no = stop AND room >= 50 AND room * 4 - length(head) - 20 > 100
@@ -402,7 +372,7 @@ THEN head || substr(body, 1, CAST(room * 4 - length(head) - 20 AS BIGINT)) || '.
 SELECT query_id, md5(coalesce(string_agg(piece, chr(10) || '---' || chr(10) ORDER BY no), '')) AS context, count(piece) AS n_sources, coalesce(bool_or(no = stop AND piece IS NOT NULL), false) AS is_truncated FROM p GROUP BY query_id"""
 )
 def r16_pack_context(spark, d):
-    return R.pack_context(_candidates(spark, d, _whole_text_queries), 1500).select("query_id", F.md5("context").alias("context"), "n_sources", "is_truncated")
+    return R.pack_context(_candidates(spark, d, _text_queries), 1500).select("query_id", F.md5("context").alias("context"), "n_sources", "is_truncated")
 
 
 @query(f"WITH {_SPARSE} SELECT query_id, chunk_id, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS content_preview, round(score, 4) AS score FROM sparse JOIN documents ON doc_id = chunk_id WHERE rank <= 20")
@@ -412,7 +382,7 @@ def r17_format_sources(spark, d, asked=_text_queries):
 
 @query()
 def r18_compress_extractive(spark, d):
-    return R.compress_chunks(_candidates(spark, d, _whole_text_queries), 3, 5).select("query_id", "chunk_id", F.md5("compressed.text").alias("text"), F.round("compressed.ratio", 6).alias("ratio"))
+    return R.compress_chunks(_candidates(spark, d, _text_queries), 3, 5).select("query_id", "chunk_id", F.md5("compressed.text").alias("text"), F.round("compressed.ratio", 6).alias("ratio"))
 
 
 @query(f"WITH {_SPARSE} SELECT query_id, md5(string_agg(source || ':' || substr(text, 1, 200), '|' ORDER BY rank)) AS context_hash FROM sparse JOIN documents ON doc_id = chunk_id WHERE rank <= 20 GROUP BY query_id")
@@ -420,10 +390,6 @@ def r19_context_hash(spark, d, asked=_text_queries):
     return R.context_hash(_candidates(spark, d, asked))
 
 
-for _f in (r07_sparse_topk, r10_rerank, r13_min_rerank, r14_carry_similarity, r17_format_sources, r19_context_hash):
-    _whole(_f, _whole_text_queries, _BQ, _BQ_WHOLE)
-
-
 def _cache_tables(spark, d):
     base = F.lit("2024-01-01 00:00:00").cast("timestamp")
     own = V.table(spark, d, "embeddings").select("vec_id", "embedding", F.concat(F.lit("c"), F.col("label").cast("string")).alias("context_hash"), (base + F.make_interval(secs=F.col("vec_id") * 10)).alias("at"))
@@ -501,10 +467,10 @@ def r24_agent_trace_summary(spark, d):
 
 
 def _examples(spark, d):
-    q = V.table(spark, d, "embeddings").filter("vec_id % 25 = 0")
+    q = V.table(spark, d, "embeddings").filter("vec_id % 20 = 0")
     ids = F.array(F.concat(F.lit("TYPE"), F.col("label").cast("string"), F.lit("!")), F.lit("nowhere"))
     return q.select(
-        F.col("vec_id").alias("query_id"), F.when(F.col("vec_id") % 100 == 75, F.array().cast("array<string>")).otherwise(ids).alias("relevant_ids"),
+        F.col("vec_id").alias("query_id"), F.when(F.col("vec_id") % 100 == 60, F.array().cast("array<string>")).otherwise(ids).alias("relevant_ids"),
         F.array(F.lit("label"), F.lit("missing")).alias("keywords"), F.concat(F.lit("c"), (F.col("label") % 3).cast("string")).alias("category"),
         F.when(F.col("vec_id") % 2 == 0, "easy").otherwise("medium").alias("difficulty"),
     )
@@ -516,7 +482,7 @@ def _retrieved(spark, d):
     return own.join(named, "chunk_id")
 
 
-_EVAL = f"""{_dense_sql(15, 5, 0.3)}, x AS (SELECT vec_id AS query_id, label AS own, vec_id % 100 = 75 AS none, 'c' || (label % 3) AS category, CASE WHEN vec_id % 2 = 0 THEN 'easy' ELSE 'medium' END AS difficulty FROM embeddings WHERE vec_id % 25 = 0),
+_EVAL = f"""{_dense_sql(15, 5, 0.3)}, x AS (SELECT vec_id AS query_id, label AS own, vec_id % 100 = 60 AS none, 'c' || (label % 3) AS category, CASE WHEN vec_id % 2 = 0 THEN 'easy' ELSE 'medium' END AS difficulty FROM embeddings WHERE vec_id % 20 = 0),
 e AS (SELECT x.query_id, any_value(category) AS category, any_value(difficulty) AS difficulty, count(rank) AS n, coalesce(1 / min(rank) FILTER (WHERE label = own AND NOT none), 0) AS mrr,
 CASE WHEN any_value(none) THEN 1.0 ELSE CAST(coalesce(bool_or(label = own), false) AS INT) / 2 END AS recall, CASE WHEN count(rank) > 0 THEN count(rank) FILTER (WHERE label = own AND NOT none) / least(5, count(rank)) ELSE 0 END AS precision,
 CASE WHEN count(rank) > 0 THEN 0.5 ELSE 0.0 END AS keyword_hit, coalesce(avg(score), 0) AS avg_similarity FROM x LEFT JOIN dense ON dense.query_id = x.query_id AND rank <= 5 GROUP BY x.query_id)"""
@@ -526,7 +492,7 @@ def _evaluated(spark, d):
     return E.evaluate_retrieval(_examples(spark, d), _retrieved(spark, d))
 
 
-@query(f"WITH {_dense_sql(15, 5, 0.3)} SELECT query_id, rank, 'TYPE' || o.label || '!' AS relevant_id FROM dense JOIN embeddings o ON o.vec_id = query_id WHERE rank <= 5 AND dense.label = o.label AND query_id % 100 <> 75")
+@query(f"WITH {_dense_sql(15, 5, 0.3)} SELECT query_id, rank, 'TYPE' || o.label || '!' AS relevant_id FROM dense JOIN embeddings o ON o.vec_id = query_id WHERE rank <= 5 AND dense.label = o.label AND query_id % 100 <> 60")
 def e01_relevance_match(spark, d):
     return E.relevance_match(_examples(spark, d), _retrieved(spark, d)).select("query_id", F.col("rank").cast("long").alias("rank"), "relevant_id")
 
@@ -618,7 +584,7 @@ def e13_heuristic_answer_scores(spark, d):
 
 @query(f"WITH {_dense_sql(15, 5, 0.3)} SELECT round(avg(CAST(dense.label = o.label OR dense.label = 1 AS INT)), 6) AS match_rate, count(DISTINCT query_id) AS with_results FROM dense JOIN embeddings o ON o.vec_id = query_id WHERE rank <= 5")
 def e14_source_match_rate(spark, d):
-    want = V.table(spark, d, "embeddings").filter("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), F.array(F.concat(F.lit("type"), F.col("label").cast("string")), F.lit("type1")).alias("expected_sources"))
+    want = V.table(spark, d, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.array(F.concat(F.lit("type"), F.col("label").cast("string")), F.lit("type1")).alias("expected_sources"))
     return E.source_match_rate(want, _retrieved(spark, d)).select(F.round("match_rate", 6).alias("match_rate"), "with_results")
 
 
@@ -647,20 +613,11 @@ _ANSWERS = (
     "I'm not sure. I'm not sure.", "[Source 9] says the best way is to always use roughly 50% of the memory.", "",
 )
 _ANSWER_LIST = "[" + ", ".join("'" + a.replace("'", "''") + "'" for a in _ANSWERS) + "]"
-_RESP = f"resp AS (SELECT doc_id, CASE WHEN doc_id % 7 = 6 AND doc_id % 2 = 0 THEN '' ELSE {_ANSWER_LIST}[doc_id % 7 + 1] || ' ' || substr(text, 1, 300) END AS response, substr(text, 100, 2000) AS context FROM documents)"
-
-
-def _responses(spark, d):
-    pick = F.element_at(F.array(*map(F.lit, _ANSWERS)), (F.col("doc_id") % 7 + 1).cast("int"))
-    text = F.when((F.col("doc_id") % 7 == 6) & (F.col("doc_id") % 2 == 0), "").otherwise(F.concat(pick, F.lit(" "), F.substring("text", 1, 300)))
-    return V.table(spark, d, "documents").select("doc_id", text.alias("response"), F.substring("text", 100, 2000).alias("context"), F.lit(3).alias("n_sources"))
-
-
-_RESP_WHOLE = f"""resp AS (SELECT a.doc_id, CASE WHEN a.doc_id % 7 = 6 AND a.doc_id % 2 = 0 THEN '' ELSE {_ANSWER_LIST}[a.doc_id % 7 + 1] || ' ' || a.text END AS response, coalesce(b.text, '') AS context
+_RESP = f"""resp AS (SELECT a.doc_id, CASE WHEN a.doc_id % 7 = 6 AND a.doc_id % 2 = 0 THEN '' ELSE {_ANSWER_LIST}[a.doc_id % 7 + 1] || ' ' || a.text END AS response, coalesce(b.text, '') AS context
 FROM documents a LEFT JOIN documents b ON b.doc_id = a.doc_id + 1)"""
 
 
-def _whole_responses(spark, d):
+def _responses(spark, d):
     """Whole texts as responses, each with the whole text of the document of the next id as its context."""
     pick = F.element_at(F.array(*map(F.lit, _ANSWERS)), (F.col("doc_id") % 7 + 1).cast("int"))
     text = F.when((F.col("doc_id") % 7 == 6) & (F.col("doc_id") % 2 == 0), "").otherwise(F.concat(pick, F.lit(" "), "text"))
@@ -707,12 +664,12 @@ def _claims_sql():
     return " + ".join(parts)
 
 
-_CLAIMED = f"{_RESP_WHOLE}, claimed AS (SELECT *, {_claims_sql()} AS claims FROM (SELECT *, lower(response) AS low FROM resp))"
+_CLAIMED = f"{_RESP}, claimed AS (SELECT *, {_claims_sql()} AS claims FROM (SELECT *, lower(response) AS low FROM resp))"
 
 
 @query(f"WITH {_CLAIMED} SELECT doc_id, claims FROM claimed")
 def e22_claims(spark, d):
-    return _whole_responses(spark, d).select("doc_id", F.size(O.claims(F.col("response"))).alias("claims"))
+    return _responses(spark, d).select("doc_id", F.size(O.claims(F.col("response"))).alias("claims"))
 
 
 _KEY = "list_filter(list_distinct(list_transform(list_filter(regexp_extract_all({}, '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '[a-zA-Z]{{3,}}')), lambda w: lower(w))), lambda w: NOT list_contains([" + ", ".join(f"'{w}'" for w in O.COMMON_WORDS) + "], w))"
@@ -737,14 +694,11 @@ CASE WHEN blank THEN 0 ELSE greatest(0::DOUBLE, least(1::DOUBLE, 1::DOUBLE - wro
 
 @query(f"WITH {_VALIDATED} SELECT doc_id, issues, n_markers, n_citations, n_claims, round(confidence, 6) AS confidence, is_valid FROM validated")
 def e17_validate_answers(spark, d):
-    return O.validate_answers(_whole_responses(spark, d)).select("doc_id", F.size("issues").alias("issues"), "n_markers", "n_citations", "n_claims", F.round("confidence", 6).alias("confidence"), "is_valid")
+    return O.validate_answers(_responses(spark, d)).select("doc_id", F.size("issues").alias("issues"), "n_markers", "n_citations", "n_claims", F.round("confidence", 6).alias("confidence"), "is_valid")
 
 
 @query(f"WITH {_VALIDATED} SELECT round(confidence, 2) AS confidence, count(*) AS n, count(*) FILTER (WHERE is_valid) AS valid FROM validated GROUP BY 1")
 def e24_confidence(spark, d):
-    out = O.validate_answers(_whole_responses(spark, d))
+    out = O.validate_answers(_responses(spark, d))
     return out.groupBy(F.round("confidence", 2).alias("confidence")).agg(F.count(F.lit(1)).alias("n"), F.count_if("is_valid").alias("valid"))
 
-
-for _f in (e18_length_issues, e19_markers, e20_fabrication_issues, e21_citation_count, e23_grounding):
-    _whole(_f, _whole_responses, _RESP, _RESP_WHOLE)

@@ -23,20 +23,17 @@ def test_answers_are_validated_to_their_end(spark, folder):
     late = "x " * 2000 + "[Source 1] [Source 2] i cannot browse zebra"
     d = folder(documents=([(2, late), (3, "y " * 2000 + "zebra")], "doc_id long, text string"))
     run = lambda name: {r.doc_id: r for r in catalog.QUERIES[name](spark, d).collect()}
-    early = run("e21_citation_count")[2].citations
-    assert run("e21_citation_count_whole")[2].citations == early + 2
-    assert run("e17_validate_answers")[2].n_citations == early + 2
-    assert run("e19_markers_whole")[2].markers == run("e19_markers")[2].markers + 1
-    assert run("e23_grounding_whole")[2].grounding > 0
+    assert run("e21_citation_count")[2].citations == run("e17_validate_answers")[2].n_citations >= 2
+    assert run("e19_markers")[2].markers >= 1
+    assert run("e23_grounding")[2].grounding > 0
 
 
 def test_messages_are_read_to_their_end(spark, folder):
     text = "w " * 50 + "helm"
     d = folder(conversations=([(1, 0, "user", text), (1, 1, "user", "why does it fail?")], "conv_id long, turn int, role string, text string"))
     run = lambda name: [r.asDict() for r in catalog.QUERIES[name](spark, d).orderBy("turn").collect()]
-    assert "helm" in run("q12_domain_terms_whole")[0]["terms"].split(",")
-    assert "helm" not in run("q12_domain_terms")[0]["terms"].split(",")
-    assert "helm" in run("q13_conversation_context_whole")[1]["terms"].split(",")
+    assert "helm" in run("q12_domain_terms")[0]["terms"].split(",")
+    assert "helm" in run("q13_conversation_context")[1]["terms"].split(",")
     assert any("helm" in r["expanded"] for r in run("q15_expand_followup"))
 
 
@@ -47,9 +44,8 @@ def test_all_words_of_a_query_search(spark, folder):
         benchmark=([(7, asked)], "item_id long, text string"),
     )
     found = lambda name: {r.chunk_id for r in catalog.QUERIES[name](spark, d).collect()}
-    assert found("r07_sparse_topk") == {1}
-    assert found("r07_sparse_topk_whole") == {1, 2}
-    assert found("r17_format_sources_whole") == {1, 2}
+    assert found("r07_sparse_topk") == {1, 2}
+    assert found("r17_format_sources") == {1, 2}
     assert found("r18_compress_extractive") == {1, 2}
 
 
@@ -75,9 +71,9 @@ def test_dedup_reports_near_copies(spark, folder):
         else:
             hashes.append(r.h)
     assert exact and fuzzy
-    got = catalog.QUERIES["d09_dedup_stats_fuzzy"](spark, d).first()
+    got = catalog.QUERIES["d09_dedup_stats"](spark, d).first()
     assert (got.input, got.exact_removed, got.fuzzy_removed, got.output) == (len(rows), len(exact), len(fuzzy), len(rows) - len(exact) - len(fuzzy))
-    by_source = {r.key: r.n for r in catalog.QUERIES["d09_duplicates_by_source_fuzzy"](spark, d).collect()}
+    by_source = {r.key: r.n for r in catalog.QUERIES["d09_duplicates_by_source"](spark, d).collect()}
     assert by_source == {"en:s": len(exact), "en:s (fuzzy)": len(fuzzy)}
 
 
