@@ -14,6 +14,7 @@ from corpusloom.operators.query import chain_expanders
 from corpusloom.plans import views as V
 from corpusloom.plans.corpus_queries import _NORMAL, _SIM
 from corpusloom.plans.registry import query
+from corpusloom.plans.telemetry_queries import _EARLY, _METRICS
 from corpusloom.sources.store import chunk_store, file_registry
 from corpusloom.streaming import streams as T
 
@@ -85,12 +86,23 @@ def t04_session_activity(spark, d):
     return out.select("session_id", _stamp("start"), "n")
 
 
-@query()
+_EXACT = _METRICS.replace("round(", "(").replace(", 6)", ")")
+
+
+@query(
+    f"""WITH w AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, avg_similarity_score AS x, ts FROM requests WHERE avg_similarity_score BETWEEN 0 AND 1),
+m AS (SELECT start, {_EXACT} FROM w GROUP BY start HAVING start + INTERVAL 1 DAY <= {_CLOSED}), b AS (SELECT {_EXACT} FROM w WHERE {_EARLY}),
+s AS (SELECT m.*, abs(m.mean - b.mean) / b.mean * 100 AS shift, abs(m.std - b.std) / b.std * 100 AS std_shift, abs(m.p50 - b.p50) / b.p50 * 100 AS p50_shift FROM m, b)
+SELECT strftime(start + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS ts, n, round(p25, 6) AS p25, round(p50, 6) AS p50, round(p75, 6) AS p75, round(shift, 4) AS mean_shift, round(std_shift, 4) AS std_shift, round(p50_shift, 4) AS p50_shift,
+CASE WHEN n < 10 THEN 'insufficient_data' WHEN shift >= 15 THEN 'drift_detected' WHEN shift >= 8 THEN 'warning' ELSE 'stable' END AS status FROM s""",
+    "requests",
+)
 def t05_drift_checks(spark, d):
     scores = V.requests(spark, d).select("id", "ts", F.col("avg_similarity_score").alias("score"))
     base = R.drift_metrics(R.score_window(scores, "2024-01-08 12:00:00"))
     stream = _stream(spark, scores)
-    return _ran(spark, lambda at, check: T.drift_checks(stream, base, at, check)).select(_stamp("ts"), "n", F.round("mean_shift", 4).alias("mean_shift"), "status")
+    out = _ran(spark, lambda at, check: T.drift_checks(stream, base, at, check))
+    return out.select(_stamp("ts"), "n", *[F.round(c, 6).alias(c) for c in ("p25", "p50", "p75")], *[F.round(c, 4).alias(c) for c in ("mean_shift", "std_shift", "p50_shift")], "status")
 
 
 def _chunks(spark, d):
@@ -175,6 +187,29 @@ def t09_live_entries(spark, d):
     return _done(spark, T.live_entries(_stream(spark, cache), base + F.make_interval(secs=F.lit(5000)))).select("entry_id")
 
 
+@query(
+    f"""WITH e AS (SELECT id, session_id AS key, ts, id % 3 = 0 AS stores FROM requests), s AS (SELECT * FROM e WHERE stores),
+l AS (SELECT *, lead(ts) OVER (PARTITION BY key ORDER BY ts, id) AS newer FROM s)
+SELECT q.id AS event_id, CASE WHEN a.id IS NULL THEN 'miss' ELSE 'hit' END AS outcome, CASE WHEN a.id IS NULL THEN NULL ELSE 'answer ' || a.id END AS answer FROM e q
+LEFT JOIN LATERAL (SELECT s.id FROM s WHERE s.key = q.key AND (s.ts < q.ts OR (s.ts = q.ts AND s.id < q.id)) AND epoch_ms(q.ts) <= epoch_ms(s.ts) + 86400000
+                   AND NOT EXISTS (SELECT 1 FROM s n WHERE n.key = s.key AND (n.ts > s.ts OR (n.ts = s.ts AND n.id > s.id)) AND (n.ts < q.ts OR (n.ts = q.ts AND n.id < q.id)))) a ON true WHERE NOT q.stores
+UNION ALL SELECT NULL, 'expired', 'answer ' || id FROM l WHERE epoch_ms(newer) > epoch_ms(ts) + 86400000 OR (newer IS NULL AND epoch_ms(ts) + 86400000 <= epoch_ms({_CLOSED}))""",
+    "requests",
+)
+def t09_answer_cache(spark, d):
+    """Every third request of a session stores an answer for a day, the others look for it; two arrivals, earlier half first."""
+    own = V.requests(spark, d).select(F.col("id").alias("event_id"), F.col("session_id").alias("key"), "ts", F.when(F.col("id") % 3 == 0, F.concat(F.lit("answer "), F.col("id").cast("string"))).alias("stored"))
+    at, check, out = (new_path(spark, x) for x in ("arriving", "answers", "stream"))
+    middle = own.agg(F.percentile_approx(F.unix_timestamp("ts"), 0.5).alias("m"))
+    schema = "event_id long, key string, ts timestamp, stored string"
+    with T.rocksdb_state(spark):
+        for early in (True, False):
+            half = own.join(F.broadcast(middle), (F.unix_timestamp("ts") <= F.col("m")) == F.lit(early)).drop("m")  # one row
+            half.write.mode("append").parquet(at)
+            T.write_table(T.answer_cache_stream(T.read_table(spark, at, schema), 86400), out, check).awaitTermination()
+    return spark.read.parquet(out).select("event_id", "outcome", "answer")
+
+
 @query()
 def u01_strategy_and_slots(spark, d):
     """U1 to U5: an encoder slot makes vectors, a strategy ranks them, a scorer slot re-ranks, a text step rewrites."""

@@ -17,13 +17,16 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from pyspark.sql.types import StructType
 
 from corpusloom.operators.dedup import content_hash, max_distance, normalize_text, simhash64
-from corpusloom.operators.drift import check_drift, valid_scores
+from corpusloom.operators.drift import LEAST, check_drift, valid_scores
 from corpusloom.operators.experiments import bucket, pick_variant
 from corpusloom.operators.telemetry import query_hash, rate_per_minute, share_percent
 from corpusloom.plans.ingest import ingest
 from corpusloom.sources.store import CHUNKS, Batches
 
 WATERMARK = "10 minutes"
+#: Equal parts of the scores from 0 to 1 in which a quartile is looked for.
+SLOTS = 10_000
+QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 
 
 def read_table(spark: SparkSession, path: str, schema: str, files_per_batch: int | None = None) -> DataFrame:
@@ -102,20 +105,41 @@ def session_activity(messages: DataFrame, gap: str = "24 hours", key: str = "ses
     )
 
 
-def score_windows(scores: DataFrame, window: str = "24 hours", watermark: str = WATERMARK) -> DataFrame:
-    """Metrics of valid scores per window, with approximate quartiles."""
-    x = F.col("score")
-    q = [F.percentile_approx(x, F.lit(p), F.lit(10000)).alias(n) for n, p in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75))]
+def score_counts(scores: DataFrame, window: str = "24 hours", watermark: str = WATERMARK) -> DataFrame:
+    """How often each valid score occurs in a window, when it closes. The state is a count for each different value, so that
+    partial counts add up and any percentile of the window follows from them."""
     return (
-        valid_scores(scores).withWatermark("ts", watermark).groupBy(F.window("ts", window))
-        .agg(F.avg(x).alias("mean"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias("std"), *q, F.min(x).alias("min"), F.max(x).alias("max"), F.count(x).alias("n"))
-        .select(F.col("window.end").alias("ts"), "mean", "std", "p25", "p50", "p75", "min", "max", "n")
+        valid_scores(scores).withWatermark("ts", watermark).groupBy(F.window("ts", window), "score")
+        .agg(F.count(F.lit(1)).alias("c")).select(F.col("window.end").alias("ts"), "score", "c")
     )
 
 
+def metrics_of_counts(counts: DataFrame) -> DataFrame:
+    """The metrics of drift_metrics for each window (ts) from the counts (c) of its scores, quartiles by the index rule.
+
+    A place is looked for among the sums of SLOTS equal parts of the scores from 0 to 1 first, then among the values of the one
+    part that holds it, so that no task orders the values of a window."""
+    rows = counts.withColumn("slot", F.floor(F.col("score") * SLOTS))
+    x, c = F.col("score"), F.col("c")
+    stats = rows.groupBy("ts").agg(F.sum("c").alias("n"), (F.sum(x * c) / F.sum("c")).alias("mean"), F.min("score").alias("min"), F.max("score").alias("max"))
+    spread = rows.join(F.broadcast(stats.select("ts", "mean")), "ts").groupBy("ts").agg(F.sum((x - F.col("mean")) ** 2 * c).alias("_s"))
+    stats = stats.join(spread, "ts").withColumn("std", F.when(F.col("n") > 1, F.sqrt(F.col("_s") / (F.col("n") - 1))))
+    wanted = F.array(*[F.struct(F.lit(k).alias("name"), F.least(F.floor(F.col("n") * F.lit(p)), F.col("n") - 1).alias("place")) for k, p in QUARTILES.items()])
+    places = stats.select("ts", F.explode(wanted).alias("w")).select("ts", "w.*")
+    sums = rows.groupBy("ts", "slot").agg(F.sum("c").alias("c"))  # at most SLOTS + 1 rows a window
+    below = sums.withColumn("below", F.sum("c").over(Window.partitionBy("ts").orderBy("slot")) - F.col("c"))
+    held = below.join(F.broadcast(places), "ts").filter((F.col("place") >= F.col("below")) & (F.col("place") < F.col("below") + F.col("c")))
+    inside = rows.join(F.broadcast(held.select("ts", "slot", "name", "place", "below")), ["ts", "slot"])
+    upto = F.col("below") + F.sum("c").over(Window.partitionBy("ts", "name").orderBy("score"))
+    found = inside.withColumn("_to", upto).filter((F.col("place") < F.col("_to")) & (F.col("place") >= F.col("_to") - F.col("c")))
+    quartiles = found.groupBy("ts").agg(*[F.max(F.when(F.col("name") == k, F.col("score"))).alias(k) for k in QUARTILES])
+    names = ("mean", "std", *QUARTILES, "min", "max")
+    return stats.join(quartiles, "ts").select("ts", *[F.when(F.col("n") >= LEAST, F.col(k)).alias(k) for k in names], "n")
+
+
 def drift_checks(scores: DataFrame, baseline: DataFrame, path: str, checkpoint: str, window: str = "24 hours") -> StreamingQuery:
     """Each closed window checked against the baseline."""
-    return for_batches(score_windows(scores, window), lambda df, i: check_drift(df, baseline).write.mode("overwrite").parquet(f"{path}/batch={i}"), checkpoint)
+    return for_batches(score_counts(scores, window), lambda df, i: check_drift(metrics_of_counts(df), baseline).write.mode("overwrite").parquet(f"{path}/batch={i}"), checkpoint)
 
 
 def dedup_exact_stream(chunks: DataFrame, text: str = "text", watermark: str = WATERMARK) -> DataFrame:
@@ -229,6 +253,62 @@ def ingest_stream(files: DataFrame, store: Batches, registry: Batches, checkpoin
     return for_batches(files, act, checkpoint)
 
 
+class Answers(StatefulProcessor):
+    """The newest stored answer of a key, and a timer at the end of its life."""
+
+    def __init__(self, ttl: int):
+        self.ttl = ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.entry = handle.getValueState("entry", StructType().add("answer", "string").add("until", "long"))
+
+    def _expire_at(self, until: int) -> None:
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(until)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        parts = [(row.ts, row.event_id, row.stored) for b in rows for row in b[["ts", "event_id", "stored"]].itertuples(index=False)]
+        answer, until = self.entry.get() if self.entry.exists() else (None, -1)
+        out, begun = [], until
+        for ts, event, stored in sorted(parts, key=lambda x: (x[0], x[1])):
+            now = int(ts.timestamp() * 1000)
+            if stored is not None and stored == stored:
+                if answer is not None and until < now:  # its life ended before this batch could see it
+                    out.append((None, pd.Timestamp(until, unit="ms"), "expired", answer))
+                answer, until = stored, now + self.ttl * 1000
+            else:
+                hit = now <= until
+                out.append((event, ts, "hit" if hit else "miss", answer if hit else None))
+        if until != begun:
+            self.entry.update((answer, until))
+            self._expire_at(max(until, timerValues.getCurrentWatermarkInMs() + 1))
+        if out:
+            yield pd.DataFrame(out, columns=["event_id", "ts", "outcome", "answer"]).assign(key=key[0])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        answer, until = self.entry.get()
+        self.entry.clear()
+        yield pd.DataFrame({"key": [key[0]], "event_id": [None], "ts": [pd.Timestamp(until, unit="ms")], "outcome": ["expired"], "answer": [answer]})
+
+    def close(self) -> None:
+        pass
+
+
+def answer_cache_stream(events: DataFrame, ttl: int = 3600, watermark: str = WATERMARK) -> DataFrame:
+    """events (event_id long, key, ts, stored: an answer to keep, or null for a question) to (key, event_id, ts, outcome,
+    answer): hit or miss for each question, and expired, at the end of its life, for each entry that no newer one replaced.
+
+    An entry lives for `ttl` seconds of event time after it was stored; then a timer takes it out of the state, without a
+    row of its key or a batch job. Events of a key in a batch are taken by time, then id. The state holds the live
+    entries alone. Start it within rocksdb_state."""
+    own = events.withWatermark("ts", watermark).select("key", "event_id", "ts", "stored").filter("key is not null")
+    return own.groupBy("key").transformWithStateInPandas(
+        statefulProcessor=Answers(ttl), outputStructType="key string, event_id long, ts timestamp, outcome string, answer string", outputMode="Append", timeMode="EventTime"
+    )
+
+
 def live_entries(cache: DataFrame, now: Column, ttl: int = 3600) -> DataFrame:
     """Cache rows that have not expired at a time."""
     return cache.filter((F.col("stored_at") <= now) & (F.unix_timestamp(now) - F.unix_timestamp("stored_at") <= ttl))

@@ -3,6 +3,7 @@
 import datetime
 import os
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -121,3 +122,38 @@ def test_lanes_have_windows_of_their_own_and_are_forgotten(spark, tmp_path):
         found |= {r.row_id: r.similar for r in spark.read.parquet(str(tmp_path / f"out{i}")).collect()}
     assert found == {0: False, 1: False, 2: True, 3: False, 4: False}
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", "").endswith("RocksDBStateStoreProvider") is False
+
+
+def test_an_answer_expires_by_event_time_without_a_row_of_its_key(spark, tmp_path):
+    at, check, out = (str(tmp_path / x) for x in ("in", "check", "out"))
+    t = lambda m: datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=m)
+    arrivals = [
+        [(1, "a", t(0), "first"), (2, "a", t(30), None), (3, "b", t(5), None), (4, None, t(5), "no key")],
+        [(5, "a", t(50), "second"), (6, "a", t(109), None), (7, "c", t(60), "third")],
+        [(8, "z", t(400), None)],
+        [(9, "a", t(401), None)],
+    ]
+    kind = "event_id long, key string, ts timestamp, stored string"
+    with T.rocksdb_state(spark):
+        for rows in arrivals:
+            spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(at)
+            T.write_table(T.answer_cache_stream(T.read_table(spark, at, kind), 3600), out, check).awaitTermination()
+    got = sorted(((r.key, r.event_id or 0, r.outcome, r.answer) for r in spark.read.parquet(out).collect()), key=str)
+    want = [("a", 2, "hit", "first"), ("b", 3, "miss", None), ("a", 6, "hit", "second"), ("a", 0, "expired", "second"), ("c", 0, "expired", "third"), ("z", 8, "miss", None), ("a", 9, "miss", None)]
+    assert got == sorted(want, key=str)
+
+
+def test_quartiles_of_counts_follow_the_index_rule(spark):
+    rng = random.Random(3)
+    rows = [(datetime.datetime(2024, 1, 1 + i % 3), rng.choice([0.0, 1.0, 0.25, 0.25001, rng.random()])) for i in range(900)] + [(datetime.datetime(2024, 2, 1), 0.5)] * 9
+    counts = spark.createDataFrame(rows, "ts timestamp, score double").groupBy("ts", "score").agg(F.count(F.lit(1)).alias("c"))
+    got = {r.ts: r for r in T.metrics_of_counts(counts).collect()}
+    for ts in {t for t, _ in rows}:
+        own = sorted(s for t, s in rows if t == ts)
+        r = got[ts]
+        assert r.n == len(own)
+        if len(own) < 10:
+            assert r.p50 is None and r.mean is None
+        else:
+            assert [r.p25, r.p50, r.p75, r.min, r.max] == [own[int(len(own) * p)] for p in (0.25, 0.5, 0.75)] + [own[0], own[-1]]
+            assert abs(r.mean - statistics.fmean(own)) < 1e-12 and abs(r.std - statistics.stdev(own)) < 1e-12
