@@ -41,6 +41,8 @@ CENTRE, CELL = 64, 1024
 HOT = 1000
 #: Neighbours of other components that a set meets in each key, before all pairs of these that are left.
 NEIGHBOURS = 3
+#: Rows of a batch that are worked on at once.
+PIECE = 512
 #: Numbers of sets that are broadcast; more are joined by a shuffle.
 BROADCAST = 1_000_000
 
@@ -130,21 +132,22 @@ def _with_sets(n: int):
 
     def apply(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for b in it:
-            sizes, digests, sketches, texts = [], [], [], []
-            for t in b.column(1):
-                text = t.as_py()
-                h = hashed(text, n)
-                digest = xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None
-                new = digest is not None and digest not in seen
-                if new:
-                    seen.add(digest)
-                sizes.append(len(h))
-                digests.append(digest)
-                sketches.append(short_sketch(h) if new else None)
-                texts.append(text if new else None)
-            made = [pa.array(sizes, pa.int64()), *[pa.array(c, pa.binary()) for c in (digests, sketches, texts)]]
-            yield pa.RecordBatch.from_arrays([b.column(0), *made], _ROWS.names)
+        for whole in it:
+            for b in (whole.slice(at, PIECE) for at in range(0, whole.num_rows, PIECE)):
+                sizes, digests, sketches, texts = [], [], [], []
+                for t in b.column(1):
+                    text = t.as_py()
+                    h = hashed(text, n)
+                    digest = xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None
+                    new = digest is not None and digest not in seen
+                    if new:
+                        seen.add(digest)
+                    sizes.append(len(h))
+                    digests.append(digest)
+                    sketches.append(short_sketch(h) if new else None)
+                    texts.append(text if new else None)
+                made = [pa.array(sizes, pa.int64()), *[pa.array(c, pa.binary()) for c in (digests, sketches, texts)]]
+                yield pa.RecordBatch.from_arrays([b.column(0), *made], _ROWS.names)
 
     return apply
 
