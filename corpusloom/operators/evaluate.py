@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.percentiles import index_percentiles
+from corpusloom.functions.storage import checkpoint
 
 
 
@@ -91,18 +92,37 @@ def precision_at_k(scores: Column, k: int = 5, least: float = 0.3) -> Column:
     return F.size(F.filter(F.slice(scores, 1, k), lambda s: s > least)) / k
 
 
-def retrieval_metrics(scored: DataFrame, k: int = 5) -> DataFrame:
+def retrieval_metrics(scored: DataFrame, k: int = 5, threshold: float = 0.5) -> DataFrame:
     """Per query over (query_id, rank, score, rerank_score): statistics, score buckets and score-based measures, of which
-    rerank scores win where a query has them."""
+    rerank scores win where a query has them.
+
+    No row holds all scores of a query: the first and the best k come from ranked windows, which cut each partition down before
+    they shuffle, and the place of the first score over the threshold is a count of the rows before it. A query whose id is
+    null counts as one."""
     x = F.col("score")
-    best = F.coalesce("rerank_score", "score")
-    out = scored.groupBy("query_id").agg(
+    rows = scored.select("query_id", "rank", "score", F.coalesce("rerank_score", "score").alias("best"))
+    at = F.struct("rank", "best")
+    out = rows.groupBy("query_id").agg(
         F.count(x).alias("n"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias("std"), F.median(x).alias("median"),
         F.count_if(x >= 0.8).alias("excellent"), F.count_if((x >= 0.6) & (x < 0.8)).alias("good"), F.count_if((x >= 0.4) & (x < 0.6)).alias("fair"), F.count_if(x < 0.4).alias("poor"),
-        F.transform(F.array_sort(F.collect_list(F.struct("rank", best.alias("s")))), lambda r: r["s"]).alias("_s"),
+        F.min(F.when(F.col("best") >= threshold, at)).alias("_at"),
     )
-    s = F.col("_s")
-    return out.withColumns({"ndcg": ndcg(s, k), "mrr": score_mrr(s), "positive_share": positive_share_at_k(s, k), "precision": precision_at_k(s, k)}).drop("_s")
+    own = checkpoint(out)
+
+    def first(name: str, *order: Column) -> DataFrame:
+        """The best scores of the first k rows in an order."""
+        ranked = rows.withColumn("_i", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("_i") <= k)
+        return ranked.groupBy(F.col("query_id").alias("_q")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "best"))), lambda r: r["best"]).alias(name))
+
+    same = F.col("_q").eqNullSafe(F.col("query_id"))
+    marks = own.filter(F.col("_at").isNotNull()).select(F.col("query_id").alias("_q"), F.col("_at").alias("_mark"))
+    before = rows.join(marks, same).filter(at < F.col("_mark")).groupBy("_q").agg(F.count(F.lit(1)).alias("_before"))
+    for part in (first("_s", F.col("rank"), F.col("best")), first("_ideal", F.col("best").desc_nulls_last(), F.col("rank")), before):
+        own = own.join(part, same, "left").drop("_q")
+    s, ideal = F.col("_s"), dcg(F.col("_ideal"), k)
+    mrr = F.when(F.col("_at").isNotNull(), 1 / (F.coalesce("_before", F.lit(0)) + 1)).otherwise(0.0)
+    measures = {"ndcg": F.when(ideal > 0, dcg(s, k) / ideal).otherwise(0.0), "mrr": mrr, "positive_share": positive_share_at_k(s, k), "precision": precision_at_k(s, k)}
+    return own.withColumns(measures).drop("_s", "_ideal", "_at", "_before")
 
 
 def metrics_summary(log: DataFrame, last_n: int = 100) -> DataFrame:

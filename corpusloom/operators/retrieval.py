@@ -589,11 +589,13 @@ def grade_filter(graded: DataFrame, threshold: float = 0.5, least: int = 2, max_
 
 def agent_trace_summary(traces: DataFrame) -> DataFrame:
     """traces (query_id, trace: array of struct(step, kept, dropped, action, n_queries, verified)) to counts."""
-    steps = traces.select("query_id", F.explode_outer("trace").alias("t"))
+    return agent_steps_summary(traces.select("query_id", F.explode_outer("trace").alias("t")))
+
+
+def agent_steps_summary(steps: DataFrame) -> DataFrame:
+    """The same of steps (query_id, t: such a struct, or null) in rows of their own, however many a query has."""
     return steps.groupBy("query_id").agg(
         F.count("t").alias("steps"), F.coalesce(F.sum("t.n_queries"), F.lit(0)).alias("sub_queries"), F.coalesce(F.sum("t.kept"), F.lit(0)).alias("kept"),
         F.coalesce(F.sum("t.dropped"), F.lit(0)).alias("dropped"), F.count_if(F.col("t.action") == "retry").alias("retries"),
         F.coalesce(F.max("t.verified"), F.lit(False)).alias("verified"),
     )
-
-

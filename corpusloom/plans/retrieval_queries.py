@@ -459,8 +459,8 @@ def r24_agent_trace_summary(spark, d):
         F.col("event_type").alias("step"), (F.col("event_id") % 4).alias("kept"), (F.col("event_id") % 3).alias("dropped"),
         F.when(F.col("event_type") == "error", "retry").otherwise("proceed").alias("action"), F.lit(1).alias("n_queries"), (F.col("event_type") == "purchase").alias("verified"),
     )
-    traces = V.table(spark, d, "events").groupBy(F.col("user_id").alias("query_id")).agg(F.collect_list(step).alias("trace"))
-    return R.agent_trace_summary(traces).select("query_id", "steps", "kept", "dropped", "retries", "verified")
+    steps = V.table(spark, d, "events").select(F.col("user_id").alias("query_id"), step.alias("t"))
+    return R.agent_steps_summary(steps).select("query_id", "steps", "kept", "dropped", "retries", "verified")
 
 
 # evaluation
