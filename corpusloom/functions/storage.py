@@ -34,6 +34,20 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """df, computed once and written to the shared folder, and its path; where texts are wide, a fraction of a checkpoint's size.
+    Whoever stores it removes it (`remove`)."""
+    path = new_path(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder on any file system of Spark's."""
+    gone = spark._jvm.org.apache.hadoop.fs.Path(path)
+    gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df dealt to all cores before work on its texts, if it is read from fewer files than there are cores: a file of one
     row group is else one task's, however the scan is split. What many files hold is not shuffled."""

@@ -84,8 +84,20 @@ def uuid5(name: Column) -> Column:
     return F.concat_ws("-", *parts)
 
 
+def text_digest(text: Column) -> Column:
+    return F.substring(F.md5(text.cast("binary")), 1, 16)
+
+
 def chunk_id(source: Column, index: Column, text: Column) -> Column:
-    return uuid5(F.concat_ws(":", source, index.cast("string"), F.substring(F.md5(text.cast("binary")), 1, 16)))
+    return uuid5(F.concat_ws(":", source, index.cast("string"), text_digest(text)))
+
+
+def number_digests(chunks: DataFrame, source: str = "source", order: tuple[str, ...] = ("section", "chunk_index"), digest: str = "digest") -> DataFrame:
+    """The same as number_chunks for rows that hold a text_digest in place of their text."""
+    running = F.row_number().over(Window.partitionBy(source).orderBy(*order)) - 1
+    numbered = chunks.withColumn("source_index", running)
+    name = F.concat_ws(":", F.coalesce(F.col(source), F.lit("unknown")), F.col("source_index").cast("string"), F.col(digest))
+    return numbered.withColumn("chunk_id", uuid5(name))
 
 
 def number_chunks(chunks: DataFrame, source: str = "source", order: tuple[str, ...] = ("section", "chunk_index"), text: str = "text") -> DataFrame:

@@ -7,22 +7,44 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.storage import checkpoint
+from corpusloom.functions.storage import checkpoint, remove, stored
 from corpusloom.operators.chunking import chunk_documents
-from corpusloom.operators.dedup import mark_duplicates
-from corpusloom.operators.tracking import change_summary, detect_changes, number_chunks, registry_upsert
+from corpusloom.operators.dedup import content_hash, mark_duplicates, normalize_text
+from corpusloom.operators.tracking import change_summary, detect_changes, number_digests, registry_upsert, text_digest
 from corpusloom.sources.store import upsert_chunks
 
 
 @dataclass
 class Ingested:
-    """store and registry after the run, its changes (file_path, state), their counts, and the chunks that were made."""
+    """store and registry after the run, its changes (file_path, state), their counts, and the chunks that were made. Chunks
+    are read from a written table; `forget` removes it when they are no longer needed."""
 
     store: DataFrame
     registry: DataFrame
     changes: DataFrame
     summary: DataFrame
     chunks: DataFrame
+    path: str
+
+    def forget(self) -> None:
+        remove(self.chunks.sparkSession, self.path)
+
+
+_PLACE = ["source", "section", "chunk_index"]
+
+
+def _numbered(chunks: DataFrame, fuzzy_threshold: float) -> DataFrame:
+    """Place and chunk_id of the chunks that dedup keeps. Texts are hashed where they lie; only the hashes are shuffled,
+    unless there is a fuzzy step."""
+    order = F.concat_ws("/", "source", F.format_string("%08d", "section"), F.format_string("%08d", "chunk_index")).alias("_order")
+    digest = text_digest(F.col("text")).alias("digest")
+    if fuzzy_threshold >= 1.0:
+        hashed = checkpoint(chunks.select(*_PLACE, order, digest, content_hash(normalize_text(F.col("text"))).alias("content_hash")))
+        kept = hashed.join(hashed.groupBy("content_hash").agg(F.min("_order").alias("_order")).drop("content_hash"), "_order", "left_semi")
+    else:
+        marked = mark_duplicates(chunks.select(*_PLACE, order, digest, "text"), "_order", threshold=fuzzy_threshold)
+        kept = marked.filter(~F.col("is_exact_duplicate") & ~F.col("is_fuzzy_duplicate"))
+    return checkpoint(number_digests(kept.select(*_PLACE, "digest")).select(*_PLACE, "chunk_id"))
 
 
 def ingest(
@@ -42,18 +64,17 @@ def ingest(
     todo = changes.filter("state <> 'deleted'") if force_full else changes.filter("state in ('new', 'changed')")
     files = current.join(todo.select("file_path"), "file_path", "left_semi")
     docs = files.select(F.col("file_path").alias("source"), "source_type", "text")
-    chunks = chunk_documents(docs).withColumn("_order", F.concat_ws("/", "source", F.format_string("%08d", "section"), F.format_string("%08d", "chunk_index")))
-    marked = mark_duplicates(checkpoint(chunks), "_order", threshold=fuzzy_threshold)
-    kept = marked.filter(~F.col("is_exact_duplicate") & ~F.col("is_fuzzy_duplicate"))
-    numbered = checkpoint(number_chunks(kept).select("chunk_id", "source", "source_type", "content_type", "heading_path", "text"))
+    chunks, path = stored(chunk_documents(docs).select(*_PLACE, "source_type", "content_type", "heading_path", "text"))
+    ids = _numbered(chunks, fuzzy_threshold)
+    numbered = chunks.join(ids, _PLACE).select("chunk_id", "source", "source_type", "content_type", "heading_path", "text")
     if dry_run:
-        return Ingested(store, registry, changes, change_summary(changes), numbered)
+        return Ingested(store, registry, changes, change_summary(changes), numbered, path)
     stale = changes.filter("state in ('changed', 'deleted')") if not force_full else changes.filter("state <> 'new'")
     left = store.join(stale.select(F.col("file_path").alias("source")), "source", "left_anti")
     new_store = upsert_chunks(left.select(*numbered.columns), numbered)
-    per_file = numbered.groupBy(F.col("source").alias("file_path")).agg(F.count(F.lit(1)).alias("chunk_count"))
+    per_file = ids.groupBy(F.col("source").alias("file_path")).agg(F.count(F.lit(1)).alias("chunk_count"))
     done = files.select("file_path", "content_hash", "source_type", "file_size").join(per_file, "file_path", "left").withColumn(
         "chunk_count", F.coalesce("chunk_count", F.lit(0))
     )
     alive = registry.join(changes.filter("state = 'deleted'"), "file_path", "left_anti")
-    return Ingested(new_store, registry_upsert(alive, done, as_of), changes, change_summary(changes), numbered)
+    return Ingested(new_store, registry_upsert(alive, done, as_of), changes, change_summary(changes), numbered, path)

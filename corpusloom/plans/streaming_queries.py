@@ -66,6 +66,17 @@ def t02_top_queries(spark, d):
     return out.select(_stamp("start"), "query_hash", "n", F.col("rank").cast("long").alias("rank"))
 
 
+@query(
+    f"""WITH c AS (SELECT substr(sha256(query), 1, 12) AS query_hash, count(*) AS n FROM requests WHERE time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY <= {_CLOSED} GROUP BY 1)
+SELECT query_hash, n, row_number() OVER (ORDER BY n DESC, query_hash) AS rank FROM c ORDER BY rank LIMIT 20""",
+    "requests",
+)
+def t02_query_sketches(spark, d):
+    """The top queries of all closed days from the sketches of the days; there are fewer different ones than a sketch holds."""
+    out = _done(spark, T.query_sketches(_stream(spark, V.requests(spark, d)), "1 day"))
+    return T.top_of_sketches(out, 20).select("query_hash", "n", F.col("rank").cast("long").alias("rank"))
+
+
 @query(
     f"""SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, model, count(*) AS n, count(*) FILTER (WHERE cache_hit) AS good FROM (SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, * FROM requests) t
 WHERE start + INTERVAL 1 DAY <= {_CLOSED} GROUP BY t.start, model""",

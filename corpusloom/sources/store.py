@@ -9,7 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.functions.storage import checkpoint
+from corpusloom.functions.storage import checkpoint, remove
 from corpusloom.operators.telemetry import at
 
 #: Outdated (key, batch) pairs that are broadcast; more are joined by a shuffle.
@@ -69,10 +69,8 @@ def _below(spark: SparkSession, path: str, pattern: str) -> list[str]:
 
 
 def _remove(spark: SparkSession, path: str, folders: Iterable[str]) -> None:
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for folder in folders:
-        gone = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{folder}")
-        gone.getFileSystem(conf).delete(gone, True)
+        remove(spark, f"{path.rstrip('/')}/{folder}")
 
 
 def remove_months(spark: SparkSession, path: str, as_of: str, retention_months: int = 12) -> list[str]:

@@ -6,6 +6,7 @@ close, so that their results equal the batch operators' on the same rows."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -86,6 +87,31 @@ def top_queries(requests: DataFrame, path: str, checkpoint: str, limit: int = 10
     return for_batches(query_counts(requests, window), lambda df, i: rank_queries(df, limit).write.mode("overwrite").parquet(f"{path}/batch={i}"), checkpoint)
 
 
+def query_sketches(requests: DataFrame, window: str = "1 hour", items: int = 1024, watermark: str = WATERMARK) -> DataFrame:
+    """A sketch of the frequent query hashes of each window when it closes, with the number of its requests: the state of a
+    window is bounded by `items`, however many different queries there are. query_counts is the exact form."""
+    return (
+        requests.filter(F.col("query").isNotNull()).withWatermark("ts", watermark).select("ts", query_hash(F.col("query")).alias("h"))
+        .groupBy(F.window("ts", window)).agg(F.expr(f"approx_top_k_accumulate(h, {int(items)})").alias("sketch"), F.count(F.lit(1)).alias("requests"))
+        .select(F.col("window.start").alias("start"), "sketch", "requests")
+    )
+
+
+def top_of_sketches(sketches: DataFrame, limit: int = 10, items: int = 1024, by: list[str] | None = None) -> DataFrame:
+    """The most frequent hashes over all sketches (of a value of `by`): query_hash, n and the least that it can be.
+
+    Sketches add up, so that any windows make a longer one. A count lies between least and n; the room between them is 3.5 /
+    size of the requests for a sketch of that size, the power of two from 4 / 3 of `items`. Hashes that aren't among those
+    returned by their n can have up to the room; up to 3 / 4 of the size of different hashes are counted exactly."""
+    by, size = by or [], 1 << max(3, math.ceil(math.log2(items / 0.75)))
+    # always by some key: without one, Spark fails to merge no sketch at all, as in an empty partition
+    merged = sketches.groupBy(*by, F.lit(1).alias("_all")).agg(F.expr(f"approx_top_k_combine(sketch, {int(items)})").alias("s"), F.sum("requests").alias("requests"))
+    found = merged.select(*by, F.ceil(F.col("requests") * 3.5 / size).alias("room"), F.explode(F.expr(f"approx_top_k_estimate(s, {int(items)})")).alias("e"))
+    rows = found.select(*by, F.col("e.item").alias("query_hash"), F.col("e.count").alias("n"), F.greatest(F.col("e.count") - F.col("room"), F.lit(0)).alias("least"))
+    order = Window.partitionBy(*(by or [F.lit(1)])).orderBy(F.col("n").desc(), "query_hash")  # at most `items` rows each
+    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+
+
 def tumbling_counts(events: DataFrame, window: str, keys: list[str], good: Column | None = None, watermark: str = WATERMARK) -> DataFrame:
     """Counts per tumbling window and keys, and how many are good: daily counts, feedback rates, series for alerts."""
     good = F.lit(True) if good is None else good
@@ -242,13 +268,16 @@ def ingest_stream(files: DataFrame, store: Batches, registry: Batches, checkpoin
     tables too, reads what was before it and replaces what it wrote."""
 
     def act(batch: DataFrame, number: int) -> None:
-        one = batch.groupBy("file_path").agg(F.max(F.struct(F.coalesce("content_hash", F.lit("")).alias("_k"), F.struct(*[F.col(c) for c in batch.columns]).alias("row"))).alias("m"))
-        own = one.select("m.row.*")
+        own = batch
+        if not batch.groupBy("file_path").count().filter("count > 1").isEmpty():
+            greatest = F.max(F.struct(F.coalesce("content_hash", F.lit("")).alias("_k"), F.struct(*[F.col(c) for c in batch.columns]).alias("row")))
+            own = batch.groupBy("file_path").agg(greatest.alias("m")).select("m.row.*")
         known = registry.current(number, own.select("file_path"))
         done = ingest(own, known, store.spark.createDataFrame([], CHUNKS), as_of)
         touched = done.changes.filter("state in ('new', 'changed')").select("file_path")
         store.write(number, done.chunks, touched.withColumnRenamed("file_path", "source"))
         registry.write(number, done.registry.join(touched, "file_path", "left_semi"), touched)
+        done.forget()
 
     return for_batches(files, act, checkpoint)
 

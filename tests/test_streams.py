@@ -1,6 +1,7 @@
 """Streams in several batches, and the snapshots that they commit."""
 
 import datetime
+import math
 import os
 import random
 import statistics
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators import dedup as D
+from corpusloom.operators.telemetry import query_hash
 from corpusloom.plans import streaming_queries
 from corpusloom.plans.ingest import ingest
 from corpusloom.sources.store import Snapshots, chunk_store, file_registry
@@ -157,3 +159,21 @@ def test_quartiles_of_counts_follow_the_index_rule(spark):
         else:
             assert [r.p25, r.p50, r.p75, r.min, r.max] == [own[int(len(own) * p)] for p in (0.25, 0.5, 0.75)] + [own[0], own[-1]]
             assert abs(r.mean - statistics.fmean(own)) < 1e-12 and abs(r.std - statistics.stdev(own)) < 1e-12
+
+
+def test_sketches_bound_the_exact_counts(spark):
+    """Far more different queries than a sketch holds, in several windows."""
+    rng = random.Random(6)
+    base = datetime.datetime(2024, 1, 1)
+    rows = [(base + datetime.timedelta(minutes=rng.randrange(600)), f"query {int(rng.random() ** 6 * 4000)}") for _ in range(12000)] + [(base, None)]
+    requests = spark.createDataFrame(rows, "ts timestamp, query string").repartition(4)
+    sketches = T.query_sketches(requests, "1 hour", 96)
+    exact = {r.h: r.n for r in requests.groupBy(query_hash(F.col("query")).alias("h")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    got = T.top_of_sketches(sketches, 1000, 96).collect()
+    assert len(exact) > 1000 and len(got) > 2
+    room = math.ceil(12000 * 3.5 / 128)
+    for r in got:
+        assert r.least <= exact[r.query_hash] <= r.n <= r.least + room
+    found = {r.query_hash for r in got}
+    assert all(n <= room for h, n in exact.items() if h not in found)
+    assert T.top_of_sketches(sketches, 1, 96, ["start"]).count() == 10
