@@ -116,12 +116,17 @@ def masks(distance: int) -> list[int]:
 
 
 def near_values(values: DataFrame, distance: int) -> DataFrame:
-    """Pairs (a, b) with a < b of distinct values (column simhash) within a distance, found by their equal bands."""
-    cut = [F.struct(F.lit(i).alias("no"), F.col("simhash").bitwiseAND(F.lit(m).cast("long")).alias("bits")) for i, m in enumerate(masks(distance))]
+    """Pairs (a, b) with a < b of distinct values (column simhash) within a distance, found by their equal bands, each by the
+    first key that its values share. The join is never a broadcast: its keys are as many times the values as there are
+    masks, which Spark's sizes of the exploded rows leave out."""
+    keys = masks(distance)
+    cut = [F.struct(F.lit(i).alias("no"), F.col("simhash").bitwiseAND(F.lit(m).cast("long")).alias("bits")) for i, m in enumerate(keys)]
     keyed = values.select("simhash", F.explode(F.array(*cut)).alias("b")).select("simhash", "b.no", "b.bits")
     left, right = keyed.withColumnRenamed("simhash", "a"), keyed.withColumnRenamed("simhash", "b")
-    met = left.join(right, ["no", "bits"]).filter((F.col("a") < F.col("b")) & (hamming(F.col("a"), F.col("b")) <= distance))
-    return met.select("a", "b").distinct()
+    differing = F.col("a").bitwiseXOR(F.col("b"))
+    first = F.coalesce(*[F.when(differing.bitwiseAND(F.lit(m).cast("long")) == 0, i) for i, m in enumerate(keys)])
+    met = left.hint("merge").join(right, ["no", "bits"]).filter((F.col("a") < F.col("b")) & (F.bit_count(differing) <= distance))
+    return met.filter(F.col("no") == first).select("a", "b")
 
 
 def near_pairs(df: DataFrame, order: str, threshold: float = THRESHOLD, simhash: str = "simhash") -> DataFrame:

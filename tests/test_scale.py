@@ -76,6 +76,15 @@ def test_near_values_are_all_found(spark, distance):
     assert len(got) == len(want) and {(r.a, r.b) for r in got} == want
 
 
+def test_keys_of_near_values_are_never_broadcast(spark):
+    """Few values make many keys, of which Spark expects only as many as there are values."""
+    values = spark.range(3000).select(F.xxhash64("id").alias("simhash")).distinct()
+    met = D.near_values(values, 3)
+    met.collect()
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_many_queries_meet_the_corpus_in_cells(spark, monkeypatch):
     rng = random.Random(5)
     vector = lambda: [rng.gauss(0, 1) for _ in range(8)]
