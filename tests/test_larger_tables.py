@@ -37,3 +37,13 @@ def test_windows_of_more_scores_than_the_cap(spark, events, name):
 
 def test_baseline_of_more_scores_than_the_cap_on_a_stream(spark, events):
     assert len(same(spark, events, "t05_drift_checks"))
+
+
+def test_long_responses_are_not_short(spark, tmp_path):
+    texts = ["a" * 60_000, "b", None, "c" * 49_000]
+    pd.DataFrame({"doc_id": range(6, 34, 7), "text": texts}).to_parquet(tmp_path / "documents.parquet", index=False)
+    got = same(spark, tmp_path, "e18_length_issues").set_index("doc_id")
+    assert got.loc[6].tolist() == [True, False] and got.loc[20].tolist() == [True, False]
+    pd.DataFrame({"doc_id": range(4), "text": texts}).to_parquet(tmp_path / "documents.parquet", index=False)
+    got = same(spark, tmp_path, "e18_length_issues").set_index("doc_id")
+    assert [got.loc[i].tolist() for i in range(4)] == [[False, True], [False, False], [True, False], [False, False]]
