@@ -5,7 +5,9 @@ import math
 import os
 import random
 import statistics
+import types
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,3 +179,19 @@ def test_sketches_bound_the_exact_counts(spark):
     found = {r.query_hash for r in got}
     assert all(n <= room for h, n in exact.items() if h not in found)
     assert T.top_of_sketches(sketches, 1, 96, ["start"]).count() == 10
+
+
+def _answers(rows, ttl=60):
+    """The rows that Answers returns for the events of one key."""
+    held = types.SimpleNamespace(exists=lambda: False, get=lambda: None, update=lambda v: None)
+    handle = types.SimpleNamespace(getValueState=lambda *a: held, listTimers=lambda: [], registerTimer=lambda t: None)
+    own = T.Answers(ttl)
+    own.init(handle)
+    frame = pd.DataFrame([(pd.Timestamp(ts), i, stored) for ts, i, stored in rows], columns=["ts", "event_id", "stored"])
+    return pd.concat(own.handleInputRows(("k",), iter([frame]), types.SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)))
+
+
+def test_ids_next_to_expired_answers_stay_exact():
+    far = (1 << 53) + 1
+    got = _answers([("2024-01-01 00:00:00", 1, "a"), ("2024-01-01 00:02:00", 2, "b"), ("2024-01-01 00:02:01", far, None)])
+    assert got["outcome"].tolist() == ["expired", "hit"] and int(got["event_id"].iloc[1]) == far
