@@ -5,11 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from corpusloom.functions.pieces import pieced
 from corpusloom.functions.storage import spread
 
 #: Size, overlap and separators of each content type.
@@ -95,11 +95,8 @@ def split_code(text: str) -> list[str]:
 
 
 def _udf(split: Callable[[str], list[str]]):
-    @F.pandas_udf(ArrayType(StringType()))
-    def apply(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: split(t) if t is not None else [])
-
-    return apply
+    whole = pieced(split, ArrayType(StringType()))
+    return lambda text: F.coalesce(whole(text), F.array().cast("array<string>"))
 
 
 def split_fixed(text: Column, size: int = LEGACY[0], overlap: int = LEGACY[1], separators: tuple[str, ...] = LEGACY[2]) -> Column:

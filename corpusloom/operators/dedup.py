@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
 
 from corpusloom.functions.components import connected_components
+from corpusloom.functions.pieces import pieced
 from corpusloom.functions.storage import checkpoint, spread
 
 BITS, THRESHOLD = 64, 0.95
@@ -26,15 +27,14 @@ KEYS = 32
 SCAN = 1_000_000
 
 
-@F.pandas_udf(StringType())
-def nfkc(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+nfkc = pieced(lambda t: unicodedata.normalize("NFKC", t), StringType())
 
 
 def normalize_text(text: Column) -> Column:
     """NFKC, lower case, white space collapsed and trimmed; null is empty. Texts that are ASCII skip the Python step."""
     whole = F.coalesce(text, F.lit(""))
-    return F.trim(F.regexp_replace(F.lower(F.when(whole.rlike(r"[^\x00-\x7F]"), nfkc(whole)).otherwise(whole)), r"(?U)\s+", " "))
+    other = F.when(whole.rlike(r"[^\x00-\x7F]"), whole)  # null where ASCII, so that such texts are not sent
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(nfkc(other), whole)), r"(?U)\s+", " "))
 
 
 def content_hash(normal: Column) -> Column:
@@ -71,9 +71,7 @@ def _print_of(text: str) -> int:
     return int(np.packbits((total > 0).astype(np.uint8), bitorder="little").view("<i8")[0])
 
 
-@F.pandas_udf(LongType())
-def simhash_of_normal(text: pd.Series) -> pd.Series:
-    return text.map(_print_of)
+simhash_of_normal = pieced(_print_of, LongType())
 
 
 def simhash64(text: Column) -> Column:

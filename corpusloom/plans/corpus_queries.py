@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.functions.storage import new_path, spread
+from corpusloom.functions.storage import checkpoint, new_path, spread
 from corpusloom.operators import chunking as K
 from corpusloom.operators import dedup as D
 from corpusloom.operators import tracking as T
@@ -403,7 +403,8 @@ def _hashes(spark, d):
 
 @query(f"WITH {_SIM} SELECT a.doc_id, bit_count(xor(a.v, b.v)) AS distance, round(1 - bit_count(xor(a.v, b.v)) / 64, 6) AS similarity FROM sim a JOIN sim b ON b.doc_id = a.doc_id + 1")
 def d05_hamming(spark, d):
-    a, b = _hashes(spark, d), _hashes(spark, d).select((F.col("doc_id") - 1).alias("doc_id"), F.col("simhash").alias("next"))
+    a = checkpoint(_hashes(spark, d))  # hashed once, read twice
+    b = a.select((F.col("doc_id") - 1).alias("doc_id"), F.col("simhash").alias("next"))
     x, y = F.col("simhash"), F.col("next")
     return a.join(b, "doc_id").select("doc_id", D.hamming(x, y).cast("long").alias("distance"), F.round(D.similarity(x, y), 6).alias("similarity"))
 
