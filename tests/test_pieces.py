@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import pieces as P
 from corpusloom.operators import chunking as K
 from corpusloom.operators import dedup as D
+from corpusloom.operators.validate import validate_answers
 from corpusloom.plans import catalog
 
 
@@ -37,3 +38,9 @@ def test_chunks_of_null_are_none(spark):
 def test_neighbours_are_hashed_once(spark):
     plan = catalog.QUERIES["d05_hamming"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "EvalPython" not in plan
+
+
+def test_key_words_of_an_answer_are_searched_once(spark):
+    held = spark.createDataFrame([("a response", "a context", 1)], "response string, context string, n_sources int")
+    text = validate_answers(held)._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= text.count("[a-zA-Z]{3,}") <= 2
