@@ -43,3 +43,24 @@ def test_texts_meet_few_rows_found_without_a_shuffle(spark):
     out = R.with_texts(found, texts)
     assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.chunk_id, r.text) for r in out.collect()) == [(i, str(i)) for i in range(5)]
+
+
+def test_weights_of_some_terms_are_those_of_all(spark, monkeypatch):
+    texts = spark.createDataFrame([(i, f"a b{i % 3} c{i} " * (i % 4)) for i in range(20)] + [(20, None)], "chunk_id long, text string")
+    only = spark.createDataFrame([("a",), ("b1",), ("c7",), ("a",), ("z",)], "term string")
+    rows = lambda df: sorted((r.chunk_id, r.term, round(r.weight, 9)) for r in df.collect())
+    for idf in (False, True):
+        want = [r for r in rows(R.sparse_encode(texts, "chunk_id", idf=idf)) if r[1] in ("a", "b1", "c7")]
+        assert rows(R.sparse_encode(texts, "chunk_id", idf=idf, only=only)) == want
+        with monkeypatch.context() as m:
+            m.setattr(R, "HELD_TERMS", 1)
+            assert rows(R.sparse_encode(texts, "chunk_id", idf=idf, only=only)) == want
+
+
+def test_candidates_are_ranked_once(spark, monkeypatch):
+    held = {"documents": spark.createDataFrame([(i, f"word{i} common", "s", "en") for i in range(30)], "doc_id long, text string, source string, lang string"),
+            "benchmark": spark.createDataFrame([(0, "word3 common"), (1, "word4")], "item_id long, text string")}
+    monkeypatch.setattr(Q.V, "table", lambda spark, d, name: held[name])
+    out = Q.r14_carry_similarity(spark, "")
+    assert plan(out).count("Generate") == 0
+    assert len(out.collect()) == 21
