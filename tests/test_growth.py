@@ -1,11 +1,13 @@
 """Work of searches and text checks that grows no faster than the texts."""
 
+import re
 import zlib
 
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corpusloom.operators import retrieval as R
+from corpusloom.operators import validate as O
 from corpusloom.plans import retrieval_queries as Q
 
 
@@ -64,3 +66,16 @@ def test_candidates_are_ranked_once(spark, monkeypatch):
     out = Q.r14_carry_similarity(spark, "")
     assert plan(out).count("Generate") == 0
     assert len(out.collect()) == 21
+
+
+def test_patterns_are_tried_on_texts_that_hold_what_they_need(spark):
+    assert [O.needed(p) for p in (r"i don'?t have (a|b) (c )?\d+%x", r"a|bcd", r"((a|b) c)?def", r"\x41bc", r"ab(cd)*[ef]+ghi{2}j", r"(?!no)Yes sir")] == ["t have ", "", "", "", "ab", ""]
+    texts = ["I DON'T have Access to it; i cannot verify. I'm 100% sure, I'm not 100% sure", "by default the pod is up, you must", "ſ K As of MY knowledge", "İ i think this MIGHT", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for patterns in (O.UNCERTAIN, O.FABRICATED, O.CLAIMS):
+        got = [r.f for r in df.select(O.all_positions(F.col("t"), patterns).alias("f")).collect()]
+        hits = [[(m.start(), m[0]) for p in patterns for m in re.finditer(p, t or "", re.I | re.A)] for t in texts]
+        assert [[(x.first, x.hit) for x in f] for f in got] == hits
+        # one lower case of a text, and no pattern tried on a text without its piece
+        shown = plan(df.select(O.all_positions(F.col("t"), patterns).alias("f")))
+        assert shown.count("lower(t#") == 1 and shown.count("Contains") == sum(len(O.needed(p)) > 1 for p in patterns)
