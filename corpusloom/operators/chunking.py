@@ -24,6 +24,8 @@ LEGACY = (1000, 200, ("\n\n", "\n", " ", ""))
 CODE = r"(?s)```(\w*)\n(.*?)```"
 #: Code blocks longer than twice the code size are cut into pieces of that size.
 CODE_SIZE = SPLITS["code"][0]
+#: What \\s matches in a pattern without (?U).
+_SPACE = " \t\n\x0b\f\r"
 
 
 def pieces(text: str, separator: str) -> list[str]:
@@ -104,18 +106,31 @@ def split_fixed(text: Column, size: int = LEGACY[0], overlap: int = LEGACY[1], s
     return _udf(lambda t: split_text(t, size, overlap, separators))(text)
 
 
+def filled(text: Column) -> Column:
+    """Whether a text is more than white space; mostly the first character says so."""
+    return F.substring(text, 1, 1).rlike(r"(?U)\S") | text.rlike(r"(?U)\S")
+
+
+def strip(text: Column) -> Column:
+    """A text without the white space at its ends. A pattern is tried at every character, so only texts that have some are searched."""
+    ends = F.concat(F.substring(text, 1, 1), F.substring(text, -1, 1)).rlike(r"(?U)\s")
+    return F.when(ends, F.regexp_replace(F.regexp_replace(text, r"^(?U)\s+", ""), r"(?U)\s+$", "")).otherwise(text)
+
+
 def content_type(text: Column) -> Column:
     """code, table or list if more than half the lines are, mixed if any is, else prose. A line that starts with three
     backticks opens or closes a fence; lines inside count as code. Blank texts are prose."""
-    lines = F.split(F.regexp_replace(F.regexp_replace(text, r"^(?U)\s+", ""), r"(?U)\s+$", ""), "\n", -1)
+    lines = F.split(strip(text), "\n", -1)
     zero = F.lit(0)
     start = F.struct(F.lit(False).alias("fence"), zero.alias("n"), zero.alias("code"), zero.alias("table"), zero.alias("list"))
 
     def step(acc: Column, line: Column) -> Column:
         fence = line.startswith("```")
         code = fence | acc["fence"]
-        listed = ~code & line.rlike(r"^\s*[-*+]\s|^\s*\d+\.\s")
-        table = ~code & ~listed & line.rlike(r"^\|.*\|")
+        # the first character decides for most lines, so that these are not searched
+        marked = F.substring(F.ltrim(line, F.lit(_SPACE)), 1, 1).isin(*"-*+0123456789")
+        listed = ~code & marked & line.rlike(r"^\s*[-*+]\s|^\s*\d+\.\s")
+        table = ~code & ~listed & line.startswith("|") & line.rlike(r"^\|.*\|")
         return F.struct(
             (acc["fence"] != fence).alias("fence"), (acc["n"] + 1).alias("n"), (acc["code"] + code.cast("int")).alias("code"),
             (acc["table"] + table.cast("int")).alias("table"), (acc["list"] + listed.cast("int")).alias("list"),
@@ -131,7 +146,7 @@ def content_type(text: Column) -> Column:
             .otherwise("prose")
         )
 
-    blank = F.coalesce(text, F.lit("")).rlike(r"^(?U)\s*$")
+    blank = ~filled(F.coalesce(text, F.lit("")))
     return F.when(blank, "prose").otherwise(F.aggregate(lines, start, step, name))
 
 
@@ -172,11 +187,11 @@ def sections(text: Column) -> Column:
     def closed(acc: Column) -> Column:
         whole = F.array_join(acc["lines"], "\n")
         own = F.struct(*[acc[h].alias(h) for h in _HEADS], whole.alias("text"))
-        return F.when(whole.rlike(r"(?U)\S"), F.concat(acc["out"], F.array(own))).otherwise(acc["out"])
+        return F.when(filled(whole), F.concat(acc["out"], F.array(own))).otherwise(acc["out"])
 
     def step(acc: Column, line: Column) -> Column:
         fence = line.startswith("```")
-        head = ~acc["fence"] & ~fence & line.rlike(r"^#{1,4}(\s|$)")
+        head = ~acc["fence"] & ~fence & line.startswith("#") & line.rlike(r"^#{1,4}(\s|$)")
         level = F.length(F.regexp_extract(line, r"^(#{1,4})", 1))
         title = F.trim(F.regexp_replace(line, r"^#{1,4}\s*", ""))
         heads = [
@@ -188,7 +203,9 @@ def sections(text: Column) -> Column:
             F.when(head, closed(acc)).otherwise(acc["out"]).alias("out"),
         )
 
-    return F.aggregate(F.split(text, "\n", -1), start, step, closed)
+    headed = text.startswith("#") | text.contains("\n#")
+    one = F.array(F.struct(*[none.alias(h) for h in _HEADS], text.alias("text")))  # a text without headers need not be cut
+    return F.when(headed, F.aggregate(F.split(text, "\n", -1), start, step, closed)).when(filled(text), one).when(text.isNotNull(), F.array().cast(f"array<{_SECTION}>"))
 
 
 def heading_path(*heads: Column) -> Column:
@@ -223,15 +240,16 @@ def chunk_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     parts = F.when(F.length("text") <= size, F.array("text")).otherwise(cut)
     chunks = typed.withColumn("_parts", parts).withColumn("total_chunks_in_section", F.size("_parts")).select(
         *others, "section", *_HEADS, heading_path(*map(F.col, _HEADS)).alias("heading_path"), "content_type", "total_chunks_in_section",
-        F.posexplode("_parts").alias("chunk_index", "_part"),
+        F.posexplode_outer("_parts").alias("chunk_index", "_part"),
     )
     fenced = F.transform(code_blocks(F.col("_part")), lambda b: b["language"])
     languages = F.array_join(F.array_sort(F.array_distinct(F.filter(fenced, lambda x: x != "unknown"))), ",")
-    keep = F.col("_part").rlike(r"(?U)\S") | (F.col("total_chunks_in_section") == 1)
+    # rows of no part are dropped here: a plain posexplode would have Spark infer a filter on the parts and cut every text twice
+    keep = filled(F.col("_part")) | (F.col("total_chunks_in_section") == 1)
     return chunks.filter(keep).select(
         *others, "section", *_HEADS, "heading_path", "content_type", "chunk_index", "total_chunks_in_section",
         F.when((F.col("content_type") == "code") & (languages != ""), languages).alias("code_languages"),
-        F.regexp_replace(F.regexp_replace("_part", r"^(?U)\s+", ""), r"(?U)\s+$", "").alias("text"),
+        strip(F.col("_part")).alias("text"),
     )
 
 

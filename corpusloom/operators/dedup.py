@@ -9,6 +9,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -30,11 +31,20 @@ SCAN = 1_000_000
 nfkc = pieced(lambda t: unicodedata.normalize("NFKC", t), StringType())
 
 
+#: Besides single blanks and line ends, the white space that NFKC leaves; beyond ASCII it makes all other white space a blank.
+SPACES = ("  ", "\t", "\x0b", "\f", "\r", "\x85", "\u1680", "\u2028", "\u2029")
+
+
 def normalize_text(text: Column) -> Column:
-    """NFKC, lower case, white space collapsed and trimmed; null is empty. Texts that are ASCII skip the Python step."""
+    """NFKC, lower case, white space collapsed and trimmed; null is empty. Texts that are ASCII skip the Python step, and a
+    pattern, which is tried at every character, searches only texts that have white space to collapse."""
     whole = F.coalesce(text, F.lit(""))
-    other = F.when(whole.rlike(r"[^\x00-\x7F]"), whole)  # null where ASCII, so that such texts are not sent
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(nfkc(other), whole)), r"(?U)\s+", " "))
+    ascii_ = (F.octet_length(whole) == F.length(whole)) & F.is_valid_utf8(whole)
+    other = F.when(~ascii_, whole)  # null where ASCII, so that such texts are not sent
+    line = F.replace(F.lower(F.coalesce(nfkc(other), whole)), F.lit("\n"), F.lit(" "))
+    # bound as a lambda variable, so that it is computed once
+    odd = lambda x: reduce(lambda a, b: a | b, [x.contains(c) for c in SPACES])
+    return F.trim(F.transform(F.array(line), lambda x: F.when(odd(x), F.regexp_replace(x, r"(?U)\s+", " ")).otherwise(x))[0])
 
 
 def content_hash(normal: Column) -> Column:

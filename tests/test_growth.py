@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import retrieval as R
 from corpusloom.operators import validate as O
+from corpusloom.operators.chunking import chunk_documents
+from corpusloom.operators.dedup import nfkc, normalize_text
 from corpusloom.plans import retrieval_queries as Q
+from corpusloom.sources.store import chunk_store, file_registry
+from corpusloom.streaming import streams as T
 
 
 def plan(df):
@@ -79,3 +83,38 @@ def test_patterns_are_tried_on_texts_that_hold_what_they_need(spark):
         # one lower case of a text, and no pattern tried on a text without its piece
         shown = plan(df.select(O.all_positions(F.col("t"), patterns).alias("f")))
         assert shown.count("lower(t#") == 1 and shown.count("Contains") == sum(len(O.needed(p)) > 1 for p in patterns)
+
+
+def test_chunking_sends_a_text_to_python_once(spark):
+    docs = spark.createDataFrame([("a", "# Head\n" + "word " * 600), ("b", None), ("c", "```py\n" + "x = 1\n" * 700 + "```"), ("d", " \n")], "source string, text string")
+    chunks = chunk_documents(docs)
+    assert chunks._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    got = {r.source: r.n for r in chunks.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got["b"] == got["d"] == 1 and got["a"] > 2 and got["c"] > 2
+
+
+def test_text_is_normalised_without_a_search_of_every_character(spark):
+    """The same as the pattern over the whole text, for every character of the basic plane alone, twice and between letters."""
+    rows = [(t,) for c in map(chr, [*range(0xD800), *range(0xE000, 0x10000)]) for t in (c, f"a{c}{c} B\n{c}")] + [(" \n\t x \r\n y ",), ("",), (None,)]
+    whole = F.coalesce("text", F.lit(""))
+    want = F.trim(F.regexp_replace(F.lower(nfkc(whole)), r"(?U)\s+", " "))
+    both = spark.createDataFrame(rows, "text string").repartition(4).select("text", normalize_text(F.col("text")).alias("got"), want.alias("want"))
+    assert both.filter(~F.col("got").eqNullSafe(F.col("want"))).collect() == []
+
+
+def test_a_streamed_batch_is_read_for_its_entries_and_its_texts_alone(spark, tmp_path):
+    """Once without and once with the texts; each further use of a batch would read all of it again."""
+    schema = "file_path string, content_hash string, source_type string, file_size long, text string"
+    spark.createDataFrame([(f"f{i}", f"h{i}", "t", 9, f"# Title {i}\nwords {i}") for i in range(40)], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        seen.add(1)
+        return text
+
+    stream = T.read_table(spark, str(tmp_path / "in"), schema).withColumn("text", counted("text"))
+    store, registry = chunk_store(spark, str(tmp_path / "store")), file_registry(spark, str(tmp_path / "registry"))
+    T.ingest_stream(stream, store, registry, str(tmp_path / "check"), "2024-01-02 00:00:00").awaitTermination()
+    assert store.current().count() == 40 and registry.current().count() == 40
+    assert seen.value <= 2 * 40
