@@ -26,6 +26,8 @@ BITS, THRESHOLD = 64, 0.95
 KEYS = 32
 #: Pairs that one task scans in order at a time; more are dealt by component, and by blocks of a component.
 SCAN = 1_000_000
+#: Rows of the first part that near_dropped takes, about.
+PART = 20_000
 
 
 nfkc = pieced(lambda t: unicodedata.normalize("NFKC", t), StringType())
@@ -123,17 +125,18 @@ def masks(distance: int) -> list[int]:
     return [signed(sum(c)) for c in itertools.combinations(spans, free)]
 
 
-def near_values(values: DataFrame, distance: int) -> DataFrame:
-    """Pairs (a, b) with a < b of distinct values (column simhash) within a distance, found by their equal bands, each by the
-    first key that its values share. The join is never a broadcast: its keys are as many times the values as there are
-    masks, which Spark's sizes of the exploded rows leave out."""
+def near_values(values: DataFrame, distance: int, others: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b) with a < b of distinct values (column simhash) within a distance, or with a of values and b of others, which
+    hold none of them. Pairs are found by their equal bands, each by the first key that its values share. The join is never
+    a broadcast: its keys are as many times the values as there are masks, which Spark's sizes of the exploded rows leave out."""
     keys = masks(distance)
     cut = [F.struct(F.lit(i).alias("no"), F.col("simhash").bitwiseAND(F.lit(m).cast("long")).alias("bits")) for i, m in enumerate(keys)]
-    keyed = values.select("simhash", F.explode(F.array(*cut)).alias("b")).select("simhash", "b.no", "b.bits")
-    left, right = keyed.withColumnRenamed("simhash", "a"), keyed.withColumnRenamed("simhash", "b")
+    keyed = lambda df: df.select("simhash", F.explode(F.array(*cut)).alias("b")).select("simhash", "b.no", "b.bits")
+    left, right = keyed(values).withColumnRenamed("simhash", "a"), keyed(values if others is None else others).withColumnRenamed("simhash", "b")
     differing = F.col("a").bitwiseXOR(F.col("b"))
     first = F.coalesce(*[F.when(differing.bitwiseAND(F.lit(m).cast("long")) == 0, i) for i, m in enumerate(keys)])
-    met = left.hint("merge").join(right, ["no", "bits"]).filter((F.col("a") < F.col("b")) & (F.bit_count(differing) <= distance))
+    wanted = F.bit_count(differing) <= distance
+    met = left.hint("merge").join(right, ["no", "bits"]).filter((F.col("a") < F.col("b")) & wanted if others is None else wanted)
     return met.filter(F.col("no") == first).select("a", "b")
 
 
@@ -176,24 +179,39 @@ def _scanned(pairs: DataFrame) -> DataFrame:
     return pairs.sortWithinPartitions("component", "later", "earlier").select("component", "earlier", "later").mapInPandas(_scan, kind)
 
 
+def _dealt(pairs: DataFrame) -> DataFrame:
+    """Pairs of a component in one task. They are dealt by a hash of the component: Spark drops a repartition by the key of a join
+    before it, and where it then broadcasts that join's other side, nothing keeps a component together."""
+    return pairs.repartition(F.xxhash64("component"))
+
+
 def fuzzy_dropped(pairs: DataFrame, keep: str = "first", scan: int = SCAN) -> DataFrame:
     """Rows (column r) that a scan in order drops: with keep first, those with an earlier similar row that stays; with
     keep last, those with any later similar row.
 
-    Pairs up to `scan` are scanned in order by one task. More are dealt by connected component, as components decide
-    for themselves, and a task scans the components it has one after the other. A component of more pairs than that is
+    Pairs up to `scan` are scanned in order by one task. Of more, all rows without an earlier similar row stay, those similar to
+    them fall, and pairs with rows that fell are gone; this is repeated while it halves the pairs. What is still more
+    is dealt by connected component, as components decide for themselves, and a task scans the components it has one after the other. A component of more pairs than that is
     cut in order into blocks of about so many; the first block of each such component is scanned, then the second, and so on, each
     without the pairs whose rows have fallen. So no task scans more at a time, and the blocks of the largest component are
     the number of rounds, whatever the pairs look like."""
     if keep == "last":
         return pairs.select(F.col("earlier").alias("r")).distinct()
     open_ = checkpoint(pairs.distinct())
-    if open_.limit(scan + 1).count() <= scan:
-        return _scanned(open_.withColumn("component", F.lit(0)).coalesce(1)).select("r")
+    out, before = pairs.select(F.col("later").alias("r")).limit(0), 0
+    while (n := open_.count()) > scan and (not before or 2 * n <= before):
+        before, later = n, open_.select(F.col("later").alias("earlier")).distinct()
+        fell = checkpoint(open_.join(later, "earlier", "left_anti").select(F.col("later").alias("r")).distinct())
+        out = out.unionByName(fell)
+        for name in ("earlier", "later"):
+            open_ = open_.join(fell.select(F.col("r").alias(name)), name, "left_anti")
+        open_ = checkpoint(open_)
+    if n <= scan:
+        return out.unionByName(_scanned(open_.withColumn("component", F.lit(0)).coalesce(1)).select("r"))
     groups = checkpoint(connected_components(open_.select(F.col("earlier").alias("a"), F.col("later").alias("b"))))
     named = checkpoint(open_.join(groups.withColumnRenamed("node", "earlier"), "earlier"))
     huge = checkpoint(named.groupBy("component").agg(F.count(F.lit(1)).alias("pairs")).filter(F.col("pairs") > scan))  # at most a row for `scan` pairs
-    dropped = _scanned(named.join(huge, "component", "left_anti").repartition("component")).select("r")
+    dropped = out.unionByName(_scanned(_dealt(named.join(huge, "component", "left_anti"))).select("r"))
     total = huge.agg(F.sum("pairs").alias("n")).first()["n"]
     if not total:
         return dropped
@@ -207,25 +225,57 @@ def fuzzy_dropped(pairs: DataFrame, keep: str = "first", scan: int = SCAN) -> Da
         own = blocks.filter(F.col("turn") == i).select("component", "earlier", "later")
         for name in ("earlier", "later") if fallen is not None else ():
             own = own.join(fallen.select("component", F.col("r").alias(name)), ["component", name], "left_anti")
-        new = checkpoint(_scanned(own.repartition("component")))
+        new = checkpoint(_scanned(_dealt(own)))
         fallen = new if fallen is None else fallen.unionByName(new)
     return dropped.unionByName(fallen.select("r"))
 
 
+def near_dropped(rows: DataFrame, order: str, threshold: float = THRESHOLD, part: int = PART, scan: int = SCAN) -> DataFrame:
+    """fuzzy_dropped(near_pairs(rows), "first") for rows (order, simhash) of different hashes, without making all pairs, whose
+    number grows faster than the rows.
+
+    The rows are taken in order in parts, each three times as long as all before it. Rows of a part that are similar to a row
+    that stayed before fall; then the pairs of the others among themselves are scanned. So rows that fell meet no
+    later rows, and dense groups are mostly gone after the first parts."""
+    distance = max_distance(threshold)
+    n = max(1, math.ceil(rows.count() / part))
+    rows = checkpoint(rows.select(order, "simhash").repartitionByRange(n, order).withColumn("_part", F.spark_partition_id()))
+    parts = (rows.agg(F.max("_part")).first()[0] or 0) + 1
+    stayed, dropped, low, high = None, None, 0, max(1, parts // n)
+    while low < parts:
+        own = rows.filter((F.col("_part") >= low) & (F.col("_part") < high)).select(order, "simhash")
+        if stayed is not None:
+            hit = near_values(stayed, distance, own).select(F.col("b").alias("simhash"), F.lit(True).alias("_hit")).distinct()
+            own = checkpoint(own.join(hit, "simhash", "left"))
+            dropped = dropped.unionByName(own.filter("_hit").select(F.col(order).alias("r")))
+            own = own.filter("_hit is null").select(order, "simhash")
+        fell = checkpoint(fuzzy_dropped(near_pairs(own, order, threshold), scan=scan))
+        dropped = fell if dropped is None else dropped.unionByName(fell)
+        stays = checkpoint(own.join(fell.withColumnRenamed("r", order), order, "left_anti").select("simhash"))
+        stayed = stays if stayed is None else stayed.unionByName(stays)
+        low, high = high, 4 * high
+    return dropped
+
+
 def mark_duplicates(df: DataFrame, order: str, text: str = "text", keep: str = "first", threshold: float = THRESHOLD) -> DataFrame:
-    """df with content_hash, is_exact_duplicate and is_fuzzy_duplicate; the fuzzy step runs over the exact survivors."""
-    exact = mark_exact(df, order, text, keep)
+    """df with content_hash, is_exact_duplicate and is_fuzzy_duplicate; the fuzzy step runs over the exact survivors. Texts are
+    read once, for both hashes, and only these are shuffled."""
     if threshold >= 1.0:
-        return exact.withColumn("is_fuzzy_duplicate", F.lit(False))
-    exact = checkpoint(exact)
-    left = checkpoint(exact.filter(~F.col("is_exact_duplicate")).select(order, simhash64(F.col(text)).alias("simhash")))
+        return mark_exact(df, order, text, keep).withColumn("is_fuzzy_duplicate", F.lit(False))
+    normal = spread(df.select(order, text)).select(order, normalize_text(F.col(text)).alias("_normal"))
+    hashed = checkpoint(normal.select(order, content_hash(F.col("_normal")).alias("content_hash"), simhash_of_normal(F.col("_normal")).alias("simhash")))
+    pick = F.min if keep == "first" else F.max
+    left = hashed.filter(F.col(order).isNotNull()).groupBy("content_hash").agg(pick(F.struct(order, "simhash")).alias("m"))
+    left = checkpoint(left.select("m.*"))
     # of rows with equal hashes all but the first (or last) fall whatever else happens: only that one is compared
-    pick = F.min(order) if keep == "first" else F.max(order)
-    ends = checkpoint(left.groupBy("simhash").agg(pick.alias(order)))
-    fallen = fuzzy_dropped(near_pairs(ends, order, threshold), keep).select(F.col("r").alias(order))
+    ends = checkpoint(left.groupBy("simhash").agg(pick(order).alias(order)))
+    fallen = near_dropped(ends, order, threshold) if keep == "first" else fuzzy_dropped(near_pairs(ends, order, threshold), keep)
     equal = left.select(order).join(ends.select(order), order, "left_anti")
-    fallen = fallen.unionByName(equal).withColumn("_f", F.lit(True))
-    return exact.join(fallen, order, "left").select(*exact.columns, F.coalesce("_f", F.lit(False)).alias("is_fuzzy_duplicate"))
+    fallen = fallen.select(F.col("r").alias(order)).unionByName(equal).withColumn("_f", F.lit(True))
+    marks = hashed.select(order, "content_hash").join(left.select(order, F.lit(True).alias("_left")), order, "left").join(fallen, order, "left")
+    marks = marks.select(order, "content_hash", F.col("_left").isNull().alias("is_exact_duplicate"), F.col("_f").isNotNull().alias("_f"))
+    fuzzy = F.coalesce("_f", F.lit(False)).alias("is_fuzzy_duplicate")
+    return df.join(marks, order, "left").select(*df.columns, "content_hash", "is_exact_duplicate", fuzzy)
 
 
 def dedup_stats(marked: DataFrame) -> DataFrame:

@@ -51,6 +51,57 @@ def test_components_beyond_a_scan_are_cut_in_blocks(spark, monkeypatch):
     assert max(r or 0 for r in rounds) <= 400 and len(rounds) < 12
 
 
+def test_components_are_scanned_whole_after_a_join(spark):
+    """Chains, which rounds don't halve, in several partitions: those of one component stay together."""
+    pairs = [(i, i + 1) for i in range(700)] + [(1000 * c + i, 1000 * c + i + 1) for c in range(1, 60) for i in range(60)]
+    random.Random(5).shuffle(pairs)
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    try:
+        got = [r.r for r in D.fuzzy_dropped(spark.createDataFrame(pairs, "earlier long, later long").repartition(8), scan=300).collect()]
+    finally:
+        spark.conf.unset(name)
+    assert sorted(got) == sorted(greedy(pairs))
+
+
+def test_rounds_decide_dense_pairs(spark, monkeypatch):
+    rng = random.Random(2)
+    pairs = sorted({tuple(sorted(rng.sample(range(400), 2))) for _ in range(9000)})
+    asked = []
+    whole = D.connected_components
+    monkeypatch.setattr(D, "connected_components", lambda e: asked.append(1) or whole(e))
+    got = [r.r for r in D.fuzzy_dropped(spark.createDataFrame(pairs, "earlier long, later long"), scan=500).collect()]
+    assert sorted(got) == sorted(greedy(pairs)) and not asked
+
+
+@pytest.mark.parametrize(("part", "scan"), [(20, D.SCAN), (60, 40), (1000, D.SCAN)])
+def test_parts_drop_what_a_scan_of_all_pairs_drops(spark, monkeypatch, part, scan):
+    rng = random.Random(part)
+    values, v = [], 0
+    for i in range(300):
+        v = rng.getrandbits(64) if i % 50 == 0 else v ^ (1 << rng.randrange(64))
+        values.append(v - (1 << 64) if v >> 63 else v)
+    values = list(dict.fromkeys(values))
+    rng.shuffle(values)
+    near = lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count() <= 3
+    pairs = [(i, j) for j in range(len(values)) for i in range(j) if near(values[i], values[j])]
+    made, whole = [], D.near_pairs
+    monkeypatch.setattr(D, "near_pairs", lambda *a: made.append(whole(*a).count()) or whole(*a))
+    rows = spark.createDataFrame(list(enumerate(values)), "i long, simhash long").repartition(3)
+    got = [r.r for r in D.near_dropped(rows, "i", part=part, scan=scan).collect()]
+    assert sorted(got) == sorted(greedy(pairs))
+    assert sum(made) < len(pairs) / 2 or part == 1000
+
+
+def test_texts_are_hashed_once_and_not_kept(spark, monkeypatch):
+    kept, whole = [], D.checkpoint
+    monkeypatch.setattr(D, "checkpoint", lambda df: kept.append(df.columns) or whole(df))
+    rows = [(i, t) for i, t in enumerate(["a b c", "A  b c", None, "", "x y z w", "x y z w"])]
+    got = {r.i: (r.is_exact_duplicate, r.is_fuzzy_duplicate, r.text) for r in D.mark_duplicates(spark.createDataFrame(rows, "i long, text string"), "i").collect()}
+    assert [got[i][0] for i in range(6)] == [False, True, False, True, False, True] and not any(f for _, f, _ in got.values())
+    assert [got[i][2] for i in range(6)] == [t for _, t in rows] and not any("text" in c for c in kept)
+
+
 def test_no_pairs_and_text_keys(spark):
     none = spark.createDataFrame([], "earlier string, later string")
     assert D.fuzzy_dropped(none).collect() == []
